@@ -73,7 +73,7 @@ PREPARED_COLUMNS = {
     "topic_financial_stability": "CAST((o_custkey * 3) % 101 AS DOUBLE)",
     "topic_labor_market": "CAST((o_orderkey + o_custkey) % 101 AS DOUBLE)",
     "topic_international": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST((o_orderkey * 3) % 101 AS DOUBLE) END",
-    "uncertainty": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 5000 END",
+    "uncertainty": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice / 5003 END",
     "forward_guidance_strength": "CAST(o_custkey % 101 AS DOUBLE)",
     "market_impact_stocks": "CASE o_orderstatus WHEN 'P' THEN 'rise' WHEN 'O' THEN 'neutral' ELSE 'fall' END",
     "market_impact_bonds": "CASE o_orderkey % 4 WHEN 0 THEN 'rise' WHEN 1 THEN 'fall' WHEN 2 THEN 'neutral' ELSE NULL END",

@@ -83,10 +83,10 @@ def g11(spark, sf):
     return rounded(P.group_difference(B.prepared(spark, sf), "1-URGENT", "5-LOW", threshold=0.5), "difference")
 
 
-@query("g12_category_share", """WITH {}, long AS ({}), both AS (SELECT coalesce(grp, 'OVERALL') AS "group", "column", value, count(*) AS count FROM (
+@query("g12_category_share", """WITH {}, long AS ({}), counted AS (SELECT coalesce(grp, 'OVERALL') AS "group", "column", value, count(*) AS count FROM (
   SELECT 'OVERALL' AS grp, "column", value FROM long UNION ALL SELECT grp, "column", value FROM long) GROUP BY 1, 2, 3),
-base AS (SELECT "group", "column", sum(count) AS total FROM both GROUP BY 1, 2)
-SELECT b."group", b."column", value, count, round(count * 100.0 / total, 6) AS percent FROM both b JOIN base USING ("group", "column") WHERE value IS NOT NULL""".format(
+base AS (SELECT "group", "column", sum(count) AS total FROM counted GROUP BY 1, 2)
+SELECT b."group", b."column", value, count, round(count * 100.0 / total, 6) AS percent FROM counted b JOIN base USING ("group", "column") WHERE value IS NOT NULL""".format(
     B.PREPARED, " UNION ALL ".join(f"SELECT country AS grp, '{m}' AS \"column\", {m} AS value FROM prepared" for m in K.IMPACT_METRICS)))
 def g12(spark, sf):
     return rounded(P.category_shares(B.prepared(spark, sf)), "percent")

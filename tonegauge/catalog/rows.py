@@ -194,9 +194,9 @@ def i4(spark, sf):
 
 
 @query("i5_middle_sample", f"""WITH {B.PREPARED}, p AS (SELECT country, speech_id, date, hawkish_dovish_score,
-    row_number() OVER (PARTITION BY country ORDER BY date, speech_id) - 1 AS at, count(*) OVER (PARTITION BY country) AS n FROM prepared),
+    row_number() OVER (PARTITION BY country ORDER BY date, speech_id) - 1 AS place, count(*) OVER (PARTITION BY country) AS n FROM prepared),
   m AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5(concat('42:', speech_id)), speech_id) AS pick FROM p
-    WHERE at >= floor(n * 0.2) AND at < floor(n * 0.8))
+    WHERE place >= floor(n * 0.2) AND place < floor(n * 0.8))
 SELECT country, speech_id, date, hawkish_dovish_score FROM m WHERE pick = 1""")
 def i5(spark, sf):
     return audit.middle_rows(B.prepared(spark, sf))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
-from tonegauge import schemas
+from tonegauge.functions.once import with_columns_once
 
 _DOUBLE_PATHS = {
     "hawkish_dovish_score": "$.hawkish_dovish_score",
@@ -36,24 +36,27 @@ def classify_responses(lines: DataFrame, raw: str = "raw", profile: str = "full"
     """
     if profile not in ("full", "reduced"):
         raise ValueError("profile must be 'full' or 'reduced'")
-    opened = lines.withColumn("_envelope", F.from_json(F.col(raw), schemas.ENVELOPE)).withColumns({
-        "custom_id": F.col("_envelope.custom_id"),
-        "status_code": F.col("_envelope.response.status_code"),
-        "_answer": F.get(F.col("_envelope.response.body.choices"), F.lit(0))["message"]["content"],
+    opened = lines.withColumn("_envelope", F.try_parse_json(F.col(raw))).withColumns({
+        "_id": F.try_variant_get("_envelope", "$.custom_id", "string"),
+        "_status": F.try_variant_get("_envelope", "$.response.status_code", "int"),
+        "_content": F.try_parse_json(F.try_variant_get("_envelope", "$.response.body.choices[0].message.content", "string")),
     })
-    parsed = opened.withColumn("content", F.try_parse_json("_answer"))
-    absent = F.lit(False)
-    for path in REQUIRED_PATHS.values():
-        absent = absent | _get(path, "variant").isNull()
-    is_object = F.schema_of_variant("content").startswith("OBJECT")
+    status = F.col("_status")
+    is_object = F.schema_of_variant("_content").startswith("OBJECT")
     reason = (
-        F.when(F.col("custom_id").isNull(), F.lit("malformed envelope"))
-        .when(F.coalesce(F.col("status_code") != 200, F.lit(True)), F.concat(F.lit("request failed: "), F.coalesce(F.col("status_code").cast("string"), F.lit("no status"))))
-        .when(F.col("content").isNull() | ~is_object, F.lit("content is not a JSON object"))
+        F.when(F.col("_id").isNull(), F.lit("malformed envelope"))
+        .when(status.isNull() | (status != 200), F.concat(F.lit("request failed: "), F.coalesce(status.cast("string"), F.lit("no status"))))
+        .when(F.col("_content").isNull() | ~is_object, F.lit("content is not a JSON object"))
     )
     if profile == "reduced":
+        absent = F.lit(False)
+        for path in REQUIRED_PATHS.values():
+            absent = absent | _get(path, "variant", "_content").isNull()
         reason = reason.when(absent, F.lit("missing field"))
-    return parsed.withColumn("reason", reason).drop("_envelope", "_answer")
+    parsed = with_columns_once(opened, {
+        "custom_id": F.col("_id"), "status_code": status, "content": F.col("_content"), "reason": reason,
+    })
+    return parsed.drop("_envelope", "_id", "_status", "_content")
 
 
 def usable(classified: DataFrame) -> DataFrame:

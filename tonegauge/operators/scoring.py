@@ -45,7 +45,7 @@ def keyword_scorer(
         return sum((texts.str.contains(term, regex=False).astype(int) for term in terms), start=pd.Series(0, index=texts.index))
 
     def score(prompts: pd.Series) -> pd.Series:
-        texts = prompts.str.split(start, n=1).str[-1].str.split(end, n=1).str[0].str.lower()
+        texts = prompts.str.partition(start)[2].str.partition(end)[0].str.lower()
         up, down = hits(texts, hawkish), hits(texts, dovish)
         scores = ((up - down) * step).clip(*K.SCORE_RANGE)
         return pd.Series([_answer(int(s), int(u), int(d)) for s, u, d in zip(scores, up, down)], index=prompts.index)

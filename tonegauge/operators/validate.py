@@ -4,128 +4,144 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
+from tonegauge.functions.once import with_columns_once
 from tonegauge.functions.scoring import quality_tier
-from tonegauge.functions.text import no_strings
 
-_DOMAIN_TEXT = "['rise', 'fall', 'neutral']"
 
+PATHS = (
+    *K.TOP_FIELDS, *[f"topics.{field}" for field in K.TOPIC_FIELDS], *[f"market_impact.{field}" for field in K.MARKET_FIELDS],
+)
 
-def _value(path: str) -> Column:
-    return F.try_variant_get("content", path, "variant")
 
+def _column(kind: str, path: str) -> str:
+    return f"_{kind}_{path.replace('.', '_')}"
 
-def _kind(value: Column) -> Column:
+
+def _value(path: str) -> str:
+    return _column("v", path)
+
+
+def _kind(path: str) -> str:
     """BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, VOID, ARRAY<..>, OBJECT<..>; NULL for an absent path."""
-    return F.schema_of_variant(value)
+    return _column("k", path)
+
+
+def _with_fields(parsed: DataFrame) -> DataFrame:
+    """Every path of ``content`` taken out once, as a value and as the name of its type."""
+    valued = parsed.selectExpr("*", *[f"try_variant_get(content, '$.{p}', 'variant') AS {_value(p)}" for p in PATHS])
+    return valued.selectExpr("*", *[f"schema_of_variant({_value(p)}) AS {_kind(p)}" for p in PATHS])
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
+# The rules are SQL text over those columns: one expression to parse instead of hundreds of calls.
+# Every rule yields its message or NULL.
 
 
-def _type_name(kind: Column) -> Column:
+def _quoted(text: str) -> str:
+    return '"' + text + '"'
+
+
+def _is_number(path: str) -> str:
+    kind = _kind(path)
+    return f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT', 'BOOLEAN') OR startswith({kind}, 'DECIMAL'))"
+
+
+def _type_name(path: str) -> str:
     """The type as the messages name it."""
-    name = (
-        F.when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int")
-        .when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict")
-        .when(kind == "VOID", "NoneType").otherwise("float")
+    kind = _kind(path)
+    return (
+        f"""concat("<class '", CASE WHEN {kind} = 'STRING' THEN 'str' WHEN {kind} = 'BOOLEAN' THEN 'bool' """
+        f"""WHEN {kind} = 'BIGINT' THEN 'int' WHEN startswith({kind}, 'ARRAY') THEN 'list' """
+        f"""WHEN startswith({kind}, 'OBJECT') THEN 'dict' WHEN {kind} = 'VOID' THEN 'NoneType' ELSE 'float' END, "'>")"""
     )
-    return F.concat(F.lit("<class '"), name, F.lit("'>"))
 
 
-def _number_text(value: Column, kind: Column) -> Column:
-    text = value.cast("string")
-    return F.when(kind.startswith("DECIMAL") & ~text.contains("."), F.concat(text, F.lit(".0"))).otherwise(text)
+def _number_text(path: str) -> str:
+    text = f"CAST({_value(path)} AS STRING)"
+    return f"CASE WHEN startswith({_kind(path)}, 'DECIMAL') AND NOT contains({text}, '.') THEN concat({text}, '.0') ELSE {text} END"
 
 
-def _value_text(value: Column, kind: Column) -> Column:
+def _value_text(path: str) -> str:
+    value, kind = _value(path), _kind(path)
     return (
-        F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(value.cast("string")))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+        f"CASE WHEN {kind} = 'VOID' THEN 'None' WHEN {kind} = 'BOOLEAN' THEN initcap(CAST({value} AS STRING)) "
+        f"WHEN {kind} = 'STRING' THEN try_variant_get({value}, '$', 'string') ELSE to_json({value}) END"
     )
 
 
-def _rule(broken: Column, message: Column) -> Column:
-    return F.when(broken, F.array(message)).otherwise(no_strings())
+def _absent(path: str, message: str, inside: str | None = None) -> str:
+    nested = f"startswith({_kind(inside)}, 'OBJECT') AND " if inside else ""
+    return f"CASE WHEN {nested}{_kind(path)} IS NULL THEN {_quoted(message)} END"
 
 
-def _number_rules(label: str, path: str, bounds: tuple[int, int], name_type: bool, null_is_number: bool) -> Column:
-    value = _value(path)
-    kind = _kind(value)
-    number = _is_number(kind) | (kind == "VOID") if null_is_number else _is_number(kind)
-    wrong = F.concat(F.lit(f"{label} must be numeric, got: "), _type_name(kind)) if name_type else F.lit(f"{label} must be numeric")
-    amount = F.when(kind != "BOOLEAN", F.try_variant_get(value, "$", "double"))
-    outside = (amount < bounds[0]) | (amount > bounds[1])
-    message = F.concat(F.lit(f"{label} out of range [{bounds[0]}, {bounds[1]}]: "), _number_text(value, kind))
-    return F.when(value.isNull(), no_strings()).when(~number, F.array(wrong)).when(outside, F.array(message)).otherwise(no_strings())
+def _number_rule(label: str, path: str, bounds: tuple[int, int], name_type: bool, null_is_number: bool) -> str:
+    low, high = bounds
+    number = f"({_is_number(path)} OR {_kind(path)} = 'VOID')" if null_is_number else _is_number(path)
+    wrong = f"concat({_quoted(label + ' must be numeric, got: ')}, {_type_name(path)})" if name_type else _quoted(label + " must be numeric")
+    return (
+        f"CASE WHEN NOT {number} THEN {wrong} "
+        f"WHEN {_kind(path)} <> 'BOOLEAN' AND try_variant_get({_value(path)}, '$', 'double') NOT BETWEEN {low} AND {high} "
+        f"THEN concat({_quoted(f'{label} out of range [{low}, {high}]: ')}, {_number_text(path)}) END"
+    )
 
 
-def error_list(profile: str = "full", null_is_number: bool = False) -> Column:
-    """Messages for the VARIANT column ``content``, in rule order; empty for a valid record.
+def _type_rule(path: str, prefix: str, what: str, name_type: bool = True) -> str:
+    wrong = f"concat({_quoted(f'{path} must be a {what}, got: ')}, {_type_name(path)})" if name_type else _quoted(f"{path} must be a {what}")
+    return f"WHEN NOT startswith({_kind(path)}, '{prefix}') THEN {wrong}"
 
-    ``reduced`` leaves out the key-sentence, summary and missing-market-field rules.
-    ``null_is_number`` lets NULL scores pass, as a NaN read from a table would.
-    """
+
+def _domain_rule(field: str) -> str:
+    """An absent field is another rule's matter: its kind is NULL, so this rule is silent."""
+    path = f"market_impact.{field}"
+    allowed = ", ".join(f"'{value}'" for value in K.IMPACT_DOMAIN)
+    text = _quoted(f"{path} must be one of {list(K.IMPACT_DOMAIN)}, got: ")
+    return (
+        f"CASE WHEN NOT ({_kind(path)} = 'STRING' AND try_variant_get({_value(path)}, '$', 'string') IN ({allowed})) "
+        f"THEN concat({text}, {_value_text(path)}) END"
+    )
+
+
+def _rules(profile: str, null_is_number: bool) -> list[str]:
+    """All rules in message order; ``reduced`` leaves out those on sentences, summary and absent market fields."""
     full = profile == "full"
-    missing = F.concat(*[
-        _rule(_value(f"$.{field}").isNull(), F.lit(f"Missing required field: {field}"))
-        for field in K.TOP_FIELDS
-    ])
-    topics, market = _kind(_value("$.topics")), _kind(_value("$.market_impact"))
-    sentences, summary = _kind(_value("$.key_sentences")), _kind(_value("$.summary"))
-    score = _number_rules("hawkish_dovish_score", "$.hawkish_dovish_score", K.SCORE_RANGE, True, null_is_number)
-    topic_rules = F.concat(*[
-        F.concat(
-            _rule(_value(f"$.topics.{field}").isNull(), F.lit(f"Missing topic field: {field}")),
-            _number_rules(f"Topic '{field}'", f"$.topics.{field}", K.LEVEL_RANGE, full, null_is_number),
-        )
-        for field in K.TOPIC_FIELDS
-    ])
-    levels = [
-        _number_rules(field, f"$.{field}", K.LEVEL_RANGE, full, null_is_number)
-        for field in ("uncertainty", "forward_guidance_strength")
+    rules = [
+        _number_rule("hawkish_dovish_score", "hawkish_dovish_score", K.SCORE_RANGE, True, null_is_number),
+        f"CASE {_type_rule('topics', 'OBJECT', 'dictionary')} END",
     ]
-    market_rules = []
+    for field in K.TOPIC_FIELDS:
+        path = f"topics.{field}"
+        rules.append(_absent(path, f"Missing topic field: {field}", inside="topics"))
+        rules.append(_number_rule(f"Topic '{field}'", path, K.LEVEL_RANGE, full, null_is_number))
+    for field in ("uncertainty", "forward_guidance_strength"):
+        rules.append(_number_rule(field, field, K.LEVEL_RANGE, full, null_is_number))
     if full:
-        market_rules += [
-            _rule(_value(f"$.market_impact.{field}").isNull(), F.lit(f"Missing market_impact field: {field}"))
-            for field in K.MARKET_FIELDS
-        ]
-    for field in K.IMPACT_FIELDS:
-        value = _value(f"$.market_impact.{field}")
-        allowed = F.coalesce(F.try_variant_get(value, "$", "string").isin(*K.IMPACT_DOMAIN) & (_kind(value) == "STRING"), F.lit(False))
-        text = F.concat(F.lit(f"market_impact.{field} must be one of {_DOMAIN_TEXT}, got: "), _value_text(value, _kind(value)))
-        market_rules.append(_rule(value.isNotNull() & ~allowed, text))
-
-    def dictionary(kind: Column, label: str, rules: Column, name_type: bool) -> Column:
-        wrong = F.lit(f"{label} must be a dictionary")
-        wrong = F.concat(wrong, F.lit(", got: "), _type_name(kind)) if name_type else wrong
-        return F.when(kind.startswith("OBJECT"), rules).otherwise(F.array(wrong))
-
-    parts = [score, dictionary(topics, "topics", topic_rules, True), *levels]
+        entries = f"size(try_variant_get({_value('key_sentences')}, '$', 'array<variant>'))"
+        rules.append(f"CASE {_type_rule('key_sentences', 'ARRAY', 'list')} WHEN {entries} = 0 THEN 'key_sentences is empty' END")
+    rules.append(f"CASE {_type_rule('market_impact', 'OBJECT', 'dictionary', full)} END")
     if full:
-        parts.append(
-            F.when(~sentences.startswith("ARRAY"), F.array(F.concat(F.lit("key_sentences must be a list, got: "), _type_name(sentences))))
-            .when(F.size(F.try_variant_get(_value("$.key_sentences"), "$", "array<variant>")) == 0, F.array(F.lit("key_sentences is empty")))
-            .otherwise(no_strings())
-        )
-    parts.append(dictionary(market, "market_impact", F.concat(*market_rules), full))
+        rules += [_absent(f"market_impact.{f}", f"Missing market_impact field: {f}", inside="market_impact") for f in K.MARKET_FIELDS]
+    rules += [_domain_rule(field) for field in K.IMPACT_FIELDS]
     if full:
-        blank = F.regexp_replace(_value("$.summary").cast("string"), r"(?U)\s", "") == ""
-        parts.append(
-            F.when(summary != "STRING", F.array(F.concat(F.lit("summary must be a string, got: "), _type_name(summary))))
-            .when(blank, F.array(F.lit("summary is empty"))).otherwise(no_strings())
-        )
-    return F.when(F.size(missing) > 0, missing).otherwise(F.concat(*parts))
+        text = f"try_variant_get({_value('summary')}, '$', 'string')"
+        rules.append(f"CASE {_type_rule('summary', 'STRING', 'string')} WHEN NOT rlike({text}, r'(?U)\S') THEN 'summary is empty' END")
+    return rules
 
 
 def validate(parsed: DataFrame, profile: str = "full", null_is_number: bool = False) -> DataFrame:
-    """Add ``errors`` and ``is_valid`` to rows holding the VARIANT column ``content``."""
-    return parsed.withColumn("errors", error_list(profile, null_is_number)).withColumn("is_valid", F.size("errors") == 0)
+    """Add ``errors`` (messages in rule order) and ``is_valid`` to rows holding the VARIANT ``content``.
+
+    Absent top-level fields hide all other errors. ``null_is_number`` lets NULL scores pass, as a NaN
+    read from a table would.
+    """
+    missing = ", ".join(_absent(field, f"Missing required field: {field}") for field in K.TOP_FIELDS)
+    any_missing = " OR ".join(f"{_kind(field)} IS NULL" for field in K.TOP_FIELDS)
+    rules = ", ".join(_rules(profile, null_is_number))
+    found = F.expr(f"array_compact(CASE WHEN {any_missing} THEN array({missing}) ELSE array({rules}) END)")
+    checked = with_columns_once(_with_fields(parsed), {"errors": found})
+    return checked.select(*parsed.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
 
 
 def batch_summary(validated: DataFrame) -> DataFrame:
