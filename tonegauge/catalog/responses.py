@@ -9,7 +9,7 @@ from tonegauge.operators import parse, validate
 
 # DuckDB's JSON functions read the same lines
 _ENVELOPE = "CASE WHEN json_valid(raw) THEN json_extract_string(raw, '{}') END"
-_CLASSIFIED = f"""{B.RESPONSES}, opened AS (SELECT *, {_ENVELOPE.format('$.custom_id')} AS custom_id,
+CLASSIFIED = f"""{B.RESPONSES}, opened AS (SELECT *, {_ENVELOPE.format('$.custom_id')} AS custom_id,
   TRY_CAST({_ENVELOPE.format('$.response.status_code')} AS INT) AS status_code,
   {_ENVELOPE.format('$.response.body.choices[0].message.content')} AS c FROM responses),
 classified AS (SELECT *, CASE WHEN custom_id IS NULL THEN 'malformed envelope'
@@ -45,7 +45,7 @@ def _classified(spark, sf, profile="full"):
     return parse.classify_responses(B.responses(spark, sf), profile=profile)
 
 
-@query("d1_lenient_parse", f"WITH {_CLASSIFIED} SELECT {_FLAT} FROM good")
+@query("d1_lenient_parse", f"WITH {CLASSIFIED} SELECT {_FLAT} FROM good")
 def d1(spark, sf):
     return parse.parse_responses(B.responses(spark, sf)).select(*_FLAT_COLUMNS)
 
@@ -53,7 +53,7 @@ def d1(spark, sf):
 _COMPLETE = " AND ".join(f"{_kind(path[2:])} IS NOT NULL" for path in parse.REQUIRED_PATHS.values())
 
 
-@query("d2_strict_parse", f"WITH {_CLASSIFIED} SELECT {_FLAT} FROM good WHERE {_COMPLETE}")
+@query("d2_strict_parse", f"WITH {CLASSIFIED} SELECT {_FLAT} FROM good WHERE {_COMPLETE}")
 def d2(spark, sf):
     return parse.parse_responses(B.responses(spark, sf), profile="reduced").select(*_FLAT_COLUMNS)
 
@@ -66,7 +66,7 @@ def d3(spark, sf):
     )
 
 
-@query("d4_array_join_split", f"""WITH {_CLASSIFIED}
+@query("d4_array_join_split", f"""WITH {CLASSIFIED}
 SELECT custom_id AS speech_id, coalesce(array_to_string(json_extract_string(c, '$.key_sentences[*]'), '|'), '') AS joined,
   CAST(greatest(1, json_array_length(c, '$.key_sentences')) AS BIGINT) AS parts FROM good""")
 def d4(spark, sf):
@@ -75,7 +75,7 @@ def d4(spark, sf):
     return flat.select("speech_id", F.col("key_sentences").alias("joined"), parts.alias("parts"))
 
 
-@query("d5_parse_quarantine", f"WITH {_CLASSIFIED} SELECT md5(raw) AS raw_md5, custom_id, reason FROM classified WHERE reason IS NOT NULL")
+@query("d5_parse_quarantine", f"WITH {CLASSIFIED} SELECT md5(raw) AS raw_md5, custom_id, reason FROM classified WHERE reason IS NOT NULL")
 def d5(spark, sf):
     aside = parse.quarantine(_classified(spark, sf))
     return aside.select(F.md5(F.col("raw").cast("binary")).alias("raw_md5"), "custom_id", "reason")
@@ -116,7 +116,7 @@ _MISSING = "nullif(concat_ws(' | ', " + ", ".join(f"CASE WHEN {_kind(f)} IS NULL
 
 
 def _checked_sql(full: bool) -> str:
-    return f"{_CLASSIFIED}, checked AS (SELECT doc_id, custom_id, c, coalesce({_MISSING}, concat_ws(' | ', {', '.join(_rules_sql(full))})) AS errors FROM good)"
+    return f"{CLASSIFIED}, checked AS (SELECT doc_id, custom_id, c, coalesce({_MISSING}, concat_ws(' | ', {', '.join(_rules_sql(full))})) AS errors FROM good)"
 
 
 _FULL, _REDUCED = _checked_sql(True), _checked_sql(False)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tonegauge import constants as K
 from tonegauge.catalog import base as B
 from tonegauge.catalog.base import query, rounded
+from tonegauge.catalog.responses import CLASSIFIED
 from tonegauge.operators import calendar, indices
 from tonegauge.plans.jobs import index_job
 from tonegauge.session import scratch_path
@@ -145,7 +146,7 @@ def events_daily(spark, sf):
     return rounded(calendar.fill_calendar(indices.daily_indices(events, means=["value"], impacts=[])), "value")
 
 
-@query("l_incremental_responses", f"""WITH {B.RESPONSES} SELECT json_extract_string(raw, '$.custom_id') AS speech_id FROM responses WHERE doc_id % 23 NOT IN (0, 15, 16)""")
+@query("l_incremental_responses", f"WITH {CLASSIFIED} SELECT custom_id AS speech_id FROM good")
 def incremental(spark, sf):
     """Two deliveries of response files, each taken in once by the same checkpointed stream."""
     inbox, table, checkpoint = (scratch_path(spark, name) for name in ("inbox", "parsed", "stream"))

@@ -93,7 +93,7 @@ def a7(spark, sf):
 SELECT concat('chunk0', CAST(chunk_number AS VARCHAR), '_input') AS chunk_file, count(*) AS lines FROM responses GROUP BY chunk_number""")
 def a8(spark, sf):
     path = scratch_path(spark, "sink")
-    writers.write_chunks(B.responses(spark, sf), path, "raw", "chunk_number", "doc_id")
+    writers.write_chunks(B.responses(spark, sf), path, "raw", "chunk_number", ["doc_id"])
     return spark.read.schema("value STRING, chunk_file STRING").text(path).groupBy("chunk_file").agg(F.count("*").alias("lines"))
 
 

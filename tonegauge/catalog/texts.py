@@ -206,10 +206,8 @@ _REQUEST_ROWS = f"{B.SPEECHES}, {PROMPT_SQL}, {TOKENS_SQL}, rows AS (SELECT doc_
 
 
 def _packed_requests(spark, sf):
-    speeches = B.speeches(spark, sf)
-    order = speeches.select(F.col("speech_id").alias("custom_id"), "date", "doc_id")
-    tokens = requests.build_requests(speeches).select("custom_id", "tokens").join(order, "custom_id")
-    return packing.greedy_chunks(tokens, ["date", "doc_id"])
+    built = requests.build_requests(B.speeches(spark, sf).withColumn("day", F.col("date")), keep=["day", "doc_id"])
+    return packing.greedy_chunks(built.select("custom_id", "tokens", "day", "doc_id"), ["day", "doc_id"])
 
 
 @query("g20_chunk_statistics", f"""WITH RECURSIVE {_REQUEST_ROWS}, {_chunk_sql('rows', K.CHUNK_TOKENS['full'])}

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from tonegauge import constants as K
 
 
+# all characters that count as white space at the ends of a text
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def no_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -23,17 +30,16 @@ def token_estimate(text: Column) -> Column:
 def escaped_length(text: Column) -> Column:
     """Length of ``text`` inside a JSON string with every non-ASCII character escaped, quotes excluded.
 
-    Backslash, quote and the five named controls take two characters, other controls, DEL and the
-    basic plane six, astral characters twelve (a surrogate pair). Rows that are pure ASCII, which
-    two byte counts reveal, skip the two non-ASCII scans.
+    Spark's own JSON writer gives the length with quotes, backslashes and controls escaped. What it
+    leaves alone (DEL and all beyond) is six characters each, twelve in the astral planes, where one
+    code point makes two UTF-16 units. Two byte counts tell which rows need that second part.
     """
-    characters = F.length(text)
-    named = F.regexp_count(text, F.lit(r'["\\\n\r\t\x08\x0c]'))
-    controls = F.regexp_count(text, F.lit(r"[\x00-\x07\x0b\x0e-\x1f\x7f]"))
-    wide = F.regexp_count(text, F.lit(r"[\x{80}-\x{FFFF}]"))
-    astral = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    beyond_ascii = F.when(F.octet_length(text) == characters, F.lit(0)).otherwise(5 * wide + 11 * astral)
-    return (characters + named + 5 * controls + beyond_ascii).cast("bigint")
+    written = F.length(F.to_json(F.struct(text.alias("t")))) - len('{"t":""}')
+    rest = F.regexp_replace(text, r"[\x00-\x7e]+", "")
+    astral = F.octet_length(F.encode(rest, "UTF-16BE")) / 2 - F.length(rest)
+    plain = (F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit("\x7f"))
+    beyond = F.when(plain, F.lit(0)).otherwise(5 * F.length(rest) + 6 * astral)
+    return F.when(text.isNotNull(), (written + beyond).cast("bigint"))
 
 
 def clip_to_limit(text: Column, max_tokens: int = K.MAX_TEXT_TOKENS, note: str = K.TRUNCATION_NOTE) -> Column:
@@ -52,17 +58,14 @@ def excerpt(text: Column, characters: int = 500) -> Column:
     return F.concat(F.substring(text, 1, characters), F.lit("..."))
 
 
-def section_between(content: Column, start: str = K.TEXT_MARKER, end: str = K.TASK_MARKER) -> Column:
-    """Lines after the first line holding ``start``, up to ``end``.
+def text_after_marker(content: Column, marker: str = K.TEXT_MARKER) -> Column:
+    """All lines after the first line that holds ``marker``; NULL where there are none."""
+    return F.nullif(F.regexp_extract(content, rf"(?s)\Q{marker}\E[^\n]*\n(.*)", 1), F.lit(""))
 
-    NULL without a start line or with nothing after it; trimmed only where ``end`` was found.
-    """
-    after_marker = F.substr(content, F.locate(start, content) + F.lit(len(start)))
-    line_break = F.locate("\n", after_marker)
-    body = F.substr(after_marker, line_break + F.lit(1))
-    whole = F.when((F.locate(start, content) > 0) & (line_break > 0), body)
-    cut = F.regexp_replace(F.substring_index(whole, end, 1), r"(?U)^\s+|\s+$", "")
-    return F.when(F.locate(end, whole) > 0, cut).otherwise(whole)
+
+def until_marker(text: Column, marker: str = K.TASK_MARKER) -> Column:
+    """The part before ``marker``, stripped of blanks; the whole text, unstripped, without it."""
+    return F.when(F.contains(text, F.lit(marker)), F.btrim(F.substring_index(text, marker, 1), F.lit(BLANKS))).otherwise(text)
 
 
 def matched_terms(text: Column, terms: Sequence[str], word_boundary: bool = False) -> Column:

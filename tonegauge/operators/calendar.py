@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
@@ -24,22 +24,21 @@ def calendar_spine(daily: DataFrame, keys: Sequence[str] = ("country",)) -> Data
 
 def fill_calendar(
     daily: DataFrame, keys: Sequence[str] = ("country",), count: str = COUNT,
-    common_end: bool = False, extend_only: Sequence[str] | None = None,
+    end: Column | None = None, extend_only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Complete each key's calendar, carry values forward and count 0 on filled days.
 
     Each row is stretched up to the day before its successor, so one sort by key and day serves the
     carrying of values over NULLs, the missing days and the zero counts; no spine is joined.
-    ``common_end`` stretches the last row of each key (or of those in ``extend_only``, compared with
-    the first key column) to the latest day of all keys.
+    ``end`` (see ``common_end``) stretches the last row of each key, or only of those whose first key
+    column is in ``extend_only``, to that day.
     """
     ordered = Window.partitionBy(*keys).orderBy("date")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dated = daily.where(F.col("date").isNotNull())
     last_day = F.col("date")
-    if common_end:
-        latest = dated.agg(F.max("date")).scalar()
-        last_day = latest if extend_only is None else F.when(F.col(keys[0]).isin(*extend_only), latest).otherwise(last_day)
+    if end is not None:
+        last_day = end if extend_only is None else F.when(F.col(keys[0]).isin(*extend_only), end).otherwise(last_day)
     values = _values(daily, keys, count)
     until = F.coalesce(F.date_sub(F.lead("date").over(ordered), 1), last_day)
     carried = dated.select(
@@ -53,6 +52,11 @@ def fill_calendar(
     return stretched.select(*keys, "date", *values, filled.alias(count))
 
 
+def common_end(daily: DataFrame) -> Column:
+    """Latest day of all keys, as a scalar subquery."""
+    return daily.agg(F.max("date")).scalar()
+
+
 def carry_forward(series: DataFrame, keys: Sequence[str], values: Sequence[str], order: str = "date") -> DataFrame:
     """Last non-NULL value so far, per key; leading NULLs stay."""
     so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -44,7 +44,7 @@ def lookup(sample: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def untracked_chunks(chunk_files: DataFrame, ledger: DataFrame, key: str = "chunk_name") -> DataFrame:
     """Chunk files the ledger does not know; ledger entries starting with ``_`` are metadata."""
-    tracked = ledger.where(~F.col(key).startswith("_")).select(key)
+    tracked = ledger.where(~F.col(key).startswith("_")).select(key).distinct()
     return chunk_files.join(tracked, key, "left_anti")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonegauge.operators.positions import OFFSET, SLICE, default_slices, ordered_slices
+from tonegauge.session import cut_lineage
 
 _SUMMARY = "_slice int, _low bigint, _out bigint, _opened bigint, _adds boolean"
 _ENTRY = "_slice int, _carry bigint, _before bigint"
@@ -103,7 +104,9 @@ def greedy_chunks(
     join wide columns back by key: the rows are range-partitioned and checkpointed here.
     """
     slices = slices or default_slices(df)
-    sliced = ordered_slices(df.withColumn("_tokens", F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))), order_by, slices)
+    # counted once: range partitioning reads its input twice, first for a sample of the keys
+    counted = cut_lineage(df.withColumn("_tokens", F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))))
+    sliced = ordered_slices(counted, order_by, slices)
     empty_start = max_tokens + 1  # "no open chunk" acts like a chunk that is already over-full
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
-from tonegauge.operators.quantiles import exact_quantiles
+from tonegauge.operators.quantiles import BUFFER_ROWS, bracketed_quantiles, fits_buffer
 
 
 def _rows() -> Column:
@@ -99,24 +99,36 @@ def distinct_dates(df: DataFrame, date: str = "date") -> DataFrame:
     return days.agg(_rows().alias("unique_dates"), F.count_distinct(month("_d")).alias("unique_months"))
 
 
-def describe_by_group(df: DataFrame, metrics: Sequence[str] = K.MEAN_METRICS, group: str = "country") -> DataFrame:
+def describe_by_group(
+    df: DataFrame, metrics: Sequence[str] = K.MEAN_METRICS, group: str = "country", buffer_rows: int = BUFFER_ROWS,
+) -> DataFrame:
     """Rows, mean, sample deviation, minimum, quartiles and maximum per metric: OVERALL and per group.
 
-    ``rows`` counts all rows of the group, also those whose metric is NULL.
+    ``rows`` counts all rows of the group, also those whose metric is NULL. All metrics are reduced
+    in one pass over grouping sets; quartiles beyond ``buffer_rows`` rows come from brackets.
     """
-    long = df.select(F.col(group).alias("_g"), *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        ["_g"], list(metrics), "metric", "value"
-    )
-    both = long.where(F.col("_g").isNotNull()).select(
-        F.explode(F.array(F.lit("OVERALL"), F.col("_g"))).alias("grp"), "metric", "value"
-    ).unionByName(long.where(F.col("_g").isNull()).select(F.lit("OVERALL").alias("grp"), "metric", "value"))
-    moments = both.groupBy("grp", "metric").agg(
-        _rows().alias("rows"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(both, ["grp", "metric"], "value", [0.25, 0.5, 0.75])
-    return moments.join(quartiles, ["grp", "metric"], "left").select(
-        F.col("grp").alias("group"), "metric", "rows", "mean", "std", "min",
+    small = fits_buffer(df, buffer_rows)
+    points = [0.25, 0.5, 0.75]
+    values = df.select(F.col(group).alias("_g"), *[F.col(m).cast("double").alias(m) for m in metrics])
+    stats = [
+        F.struct(
+            F.lit(m).alias("metric"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.min(m).alias("min"), F.max(m).alias("max"),
+            *([F.percentile(m, points).alias("q")] if small else []),
+        ) for m in metrics
+    ]
+    sets = values.groupingSets([[], [F.col("_g")]], F.col("_g")).agg(
+        _rows().alias("rows"), F.grouping("_g").alias("_all"), F.array(*stats).alias("_stats")
+    ).where((F.col("_all") == 1) | F.col("_g").isNotNull())
+    label = F.when(F.col("_all") == 1, F.lit("OVERALL")).otherwise(F.col("_g"))
+    moments = sets.select(label.alias("group"), "rows", F.inline("_stats"))
+    if small:
+        quartiles = [F.col("q")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+        return moments.select("group", "metric", "rows", "mean", "std", "min", *quartiles, "max")
+    long = values.unpivot(["_g"], list(metrics), "metric", "value")
+    labels = F.array_compact(F.array(F.lit("OVERALL"), F.col("_g")))
+    ranked = bracketed_quantiles(long.select(F.explode(labels).alias("group"), "metric", "value"), ["group", "metric"], "value", points)
+    return moments.join(ranked, ["group", "metric"], "left").select(
+        "group", "metric", "rows", "mean", "std", "min",
         F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"), "max",
     )
 
@@ -164,11 +176,15 @@ def invalid_dates(coerced: DataFrame, column: str = "date") -> DataFrame:
     return coerced.agg(_rows().alias("rows"), F.count_if(F.col(column).isNull()).alias("invalid_dates"))
 
 
-def score_distribution(df: DataFrame, metrics: Sequence[str] = ("hawkish_dovish_score", "uncertainty", "forward_guidance_strength")) -> DataFrame:
+def score_distribution(
+    df: DataFrame, metrics: Sequence[str] = ("hawkish_dovish_score", "uncertainty", "forward_guidance_strength"),
+    buffer_rows: int = BUFFER_ROWS,
+) -> DataFrame:
     """Mean, median, deviation, range and stance buckets per metric; NULLs are dropped.
 
     Buckets are filled for the first metric only.
     """
+    small = fits_buffer(df, buffer_rows)
     long = df.select(F.lit(0).alias("_all"), *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         ["_all"], list(metrics), "metric", "value"
     ).where(F.col("value").isNotNull()).drop("_all")
@@ -177,15 +193,16 @@ def score_distribution(df: DataFrame, metrics: Sequence[str] = ("hawkish_dovish_
         "very_dovish": v < -50, "dovish": (v >= -50) & (v < -10), "neutral": (v >= -10) & (v <= 10),
         "hawkish": (v > 10) & (v <= 50), "very_hawkish": v > 50,
     }
-    scored = F.col("metric") == metrics[0]
     moments = long.groupBy("metric").agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[F.count_if(test).alias(name) for name, test in bucket.items()],
+        *[F.count_if(test).alias(name) for name, test in bucket.items()], *([F.median(v).alias("median")] if small else []),
     )
-    medians = exact_quantiles(long, ["metric"], "value", [0.5])
-    return moments.join(medians, "metric").select(
-        "metric", "mean", F.col("q_0").alias("median"), "std", "min", "max",
-        *[F.when(scored, F.col(name)).alias(name) for name in bucket],
+    if not small:
+        medians = bracketed_quantiles(long, ["metric"], "value", [0.5])
+        moments = moments.join(medians.withColumnRenamed("q_0", "median"), "metric")
+    first = F.col("metric") == metrics[0]
+    return moments.select(
+        "metric", "mean", "median", "std", "min", "max", *[F.when(first, F.col(name)).alias(name) for name in bucket]
     )
 
 

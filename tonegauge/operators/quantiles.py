@@ -1,7 +1,9 @@
-"""Exact interpolated quantiles that never hold a group's values in one place.
+"""Exact interpolated quantiles at any group size.
 
-A mergeable sketch brackets every wanted rank; a second pass counts what lies below the bracket and
-ranks only the values inside it, about a thousandth of a large group.
+Spark's exact ``percentile`` keeps a group's distinct values in one aggregation buffer. That is the
+fast way while the counted rows bound that buffer; beyond, a mergeable sketch brackets every wanted
+rank and a second pass counts what lies below the bracket and ranks only the values inside it, about
+a thousandth of a large group.
 """
 
 from __future__ import annotations
@@ -18,7 +20,14 @@ MARGIN = 0.0005
 SMALL_GROUP = 10_000  # below this the bracket is the whole group, so MARGIN always covers one row
 
 
-def exact_quantiles(values: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+BUFFER_ROWS = 2_000_000  # most rows, hence distinct values, that ``percentile`` may have to hold
+
+
+def fits_buffer(df: DataFrame, buffer_rows: int = BUFFER_ROWS) -> bool:
+    return df.count() <= buffer_rows
+
+
+def bracketed_quantiles(values: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """One row per group with columns ``q_0``, ``q_1`` ... (linear interpolation between neighbours).
 
     ``values`` is a long frame of group keys and one DOUBLE; NULL and NaN values are left out.

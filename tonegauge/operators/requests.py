@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -85,10 +86,12 @@ def serialized_length(
 def build_requests(
     speeches: DataFrame, template: str = DEFAULT_TEMPLATE, profile: str = "full", id_column: str = "speech_id",
     text_column: str = "text", speaker_column: str = "author", institution_column: str = "country",
-    date_column: str = "date", model: str = K.MODEL_NAME,
+    date_column: str = "date", model: str = K.MODEL_NAME, keep: Sequence[str] = (),
 ) -> DataFrame:
     """One request per speech with its token counts; rows without text belong to ``without_text``.
 
+    ``keep`` names columns to carry along, such as those that order the requests.
+
     The full profile cuts long texts and names missing speakers ``Unknown``; the reduced one does neither.
     """
     text = F.col(text_column)
@@ -99,15 +102,15 @@ def build_requests(
     slotted = speeches.where(text.isNotNull()).select(
         F.col(id_column).alias("custom_id"), sent.alias("_text"), speaker.alias("_speaker"),
         institution.alias("_institution"), date.alias("_date"),
-        (token_estimate(text) > K.MAX_TEXT_TOKENS).alias("over_limit"),
+        (token_estimate(text) > K.MAX_TEXT_TOKENS).alias("over_limit"), *keep,
     )
     slots = [F.col(name) for name in ("_text", "_speaker", "_institution", "_date")]
     rendered = slotted.select(
-        "custom_id", "over_limit", render_prompt(*slots, template).alias("prompt"),
+        *keep, "custom_id", "over_limit", render_prompt(*slots, template).alias("prompt"),
         F.shiftright(serialized_length(F.col("custom_id"), *slots, template, profile, model), 2).alias("tokens"),
     )
     return rendered.select(
-        "custom_id", "prompt", token_estimate(F.col("prompt")).alias("prompt_tokens"), "tokens", "over_limit",
+        *keep, "custom_id", "prompt", token_estimate(F.col("prompt")).alias("prompt_tokens"), "tokens", "over_limit",
         request_record(F.col("custom_id"), F.col("prompt"), profile, model).alias("request"),
     )
 

@@ -29,7 +29,8 @@ class Responses(NamedTuple):
 
 def index_job(prepared: DataFrame, keys: Sequence[str] = ("country",), common_end: bool = False) -> DataFrame:
     """Prepared records to a calendar-complete daily index."""
-    return fill_calendar(daily_indices(prepared, keys), keys, common_end=common_end)
+    end = prepared.agg(F.max("date")).scalar() if common_end else None  # reads one column
+    return fill_calendar(daily_indices(prepared, keys), keys, end=end)
 
 
 def request_job(
@@ -41,13 +42,12 @@ def request_job(
     Only ids, order and token counts are ordered and packed. The texts are scanned once for the
     counts and once for the lines that are written.
     """
-    requests = build_requests(speeches, template, profile, id_column)
-    order = speeches.select(F.col(id_column).alias("custom_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)])
-    names = [f"_o{i}" for i in range(len(order_by))]
-    counted = requests.select("custom_id", "tokens").join(order, "custom_id")
-    packed = cut_lineage(greedy_chunks(counted, names, "tokens", max_tokens or K.CHUNK_TOKENS[profile]))
-    lines = request_lines(requests, "custom_id").join(packed.select("custom_id", "chunk_id", *names), "custom_id")
-    write_chunks(lines, path, order=names[0])
+    names = [f"_order_{i}" for i in range(len(order_by))]
+    ordered = speeches.withColumns({name: F.col(column) for name, column in zip(names, order_by)})
+    requests = build_requests(ordered, template, profile, id_column, keep=names)
+    packed = cut_lineage(greedy_chunks(requests.select("custom_id", "tokens", *names), names, "tokens", max_tokens or K.CHUNK_TOKENS[profile]))
+    lines = request_lines(requests, "custom_id", *names).join(packed.select("custom_id", "chunk_id"), "custom_id")
+    write_chunks(lines, path, order=names)
     return packed.select("custom_id", "chunk_id", "tokens")
 
 

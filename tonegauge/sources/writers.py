@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +24,14 @@ def chunk_file_name(chunk_id: Column) -> Column:
     return F.concat(F.lit("chunk"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits), F.lit("_input"))
 
 
-def write_chunks(df: DataFrame, path: str, line: str = "request", chunk_id: str = "chunk_id", order: str = "row_index") -> None:
+def write_chunks(df: DataFrame, path: str, line: str = "request", chunk_id: str = "chunk_id", order: Sequence[str] = ("row_index",)) -> None:
     """JSON Lines, one folder ``chunk_file=chunkNN_input`` per chunk, lines in request order.
 
     A chunk is bounded by its token budget, so one task per chunk is bounded too.
     """
     (
         df.withColumn("chunk_file", chunk_file_name(F.col(chunk_id)))
-        .repartition("chunk_file").sortWithinPartitions("chunk_file", order)
+        .repartition("chunk_file").sortWithinPartitions("chunk_file", *order)
         .select(F.col(line).alias("value"), "chunk_file")
         .write.mode("overwrite").partitionBy("chunk_file").text(path)
     )
