@@ -126,7 +126,7 @@ def _rules(profile: str, null_is_number: bool) -> list[str]:
     rules += [_domain_rule(field) for field in K.IMPACT_FIELDS]
     if full:
         text = f"try_variant_get({_value('summary')}, '$', 'string')"
-        rules.append(f"CASE {_type_rule('summary', 'STRING', 'string')} WHEN NOT rlike({text}, r'(?U)\S') THEN 'summary is empty' END")
+        rules.append(f"CASE {_type_rule('summary', 'STRING', 'string')} WHEN NOT rlike({text}, r'(?U)\\S') THEN 'summary is empty' END")
     return rules
 
 
