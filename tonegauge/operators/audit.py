@@ -25,16 +25,18 @@ def assess(
     scored: DataFrame, texts: DataFrame, score: str = "hawkish_dovish_score", key: str = "speech_id",
     hawkish: Sequence[str] = K.HAWKISH_TERMS, dovish: Sequence[str] = K.DOVISH_TERMS, word_boundary: bool = False,
 ) -> DataFrame:
-    """Every scored row with the terms found in its text and the verdict on its score."""
-    found = lookup(scored, texts, key)
-    terms = found.withColumns({
-        "hawkish_terms": matched_terms(F.col("speech_text"), hawkish, word_boundary),
-        "dovish_terms": matched_terms(F.col("speech_text"), dovish, word_boundary),
-        "excerpt": excerpt(F.col("speech_text")),
-    })
+    """Every scored row with the terms found in its text and the verdict on its score.
+
+    The texts are read where they lie: terms and excerpt, not the texts, take part in the join.
+    """
+    text = F.col("speech_text")
+    read = texts.where(F.length(text) > 0).select(
+        key, matched_terms(text, hawkish, word_boundary).alias("hawkish_terms"),
+        matched_terms(text, dovish, word_boundary).alias("dovish_terms"), excerpt(text).alias("excerpt"),
+    )
     verdict = score_verdict(F.col(score), F.size("hawkish_terms"), F.size("dovish_terms"))
-    has_text = F.coalesce(F.length("speech_text") > 0, F.lit(False))
-    return terms.withColumn("assessment", F.when(has_text, verdict).otherwise(F.lit("ERROR: Speech not found in batch input file")))
+    missing = F.lit("ERROR: Speech not found in batch input file")
+    return lookup(scored, read, key).withColumn("assessment", F.when(F.col("found"), verdict).otherwise(missing)).drop("found")
 
 
 def extreme_rows(

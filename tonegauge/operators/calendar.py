@@ -95,7 +95,7 @@ def calendar_grid(daily: DataFrame, keys: Sequence[str] = ("country",), count: s
     diverging = F.array(*[F.struct(F.lit(m[0]).alias("metric"), F.lit(m[2]).alias("neutral")) for m in K.METRIC_CATALOG if m[2] is not None and m[0] in metrics])
     grid = years.select(*keys, F.explode(days).alias("date")).select(*keys, "date", F.explode(diverging).alias("_m"))
     grid = grid.select(*keys, "date", "_m.metric", F.col("_m.neutral").alias("value"))
-    lifted = F.when((F.col("value") == 0) & F.col("metric").rlike("^(topic_|uncertainty$|forward_guidance_strength$)"), F.lit(K.ZERO_DISPLAY_VALUE)).otherwise(F.col("value"))
+    lifted = F.when((F.col("value") == 0) & (F.startswith("metric", F.lit("topic_")) | F.col("metric").isin("uncertainty", "forward_guidance_strength")), F.lit(K.ZERO_DISPLAY_VALUE)).otherwise(F.col("value"))
     present = own.withColumn("value", lifted).withColumn("_own", F.lit(1))
     # own rows win over grid rows: one shuffle of union rows instead of a join
     merged = present.unionByName(grid.withColumn("_own", F.lit(0))).groupBy(*keys, "metric", "date").agg(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tonegauge import constants as K
 from tonegauge.operators.quantiles import BUFFER_ROWS, bracketed_quantiles, fits_buffer
+from tonegauge.session import cut_lineage
 
 
 def _rows() -> Column:
@@ -150,11 +151,11 @@ def category_shares(df: DataFrame, columns: Sequence[str] = K.IMPACT_METRICS, gr
     """Count and percentage of all rows per value: OVERALL and per group; NULL counts in the base only."""
     long = df.select(F.col(group).alias("_g"), *columns).unpivot(["_g"], list(columns), "column", "value")
     counted = long.groupBy("_g", "column", "value").agg(_rows().alias("_c"))
-    both = counted.select(
-        F.explode(F.when(F.col("_g").isNull(), F.array(F.lit("OVERALL"))).otherwise(F.array(F.lit("OVERALL"), F.col("_g")))).alias("group"),
-        "column", "value", "_c",
-    ).groupBy("group", "column", "value").agg(F.sum("_c").alias("count"))
-    base = both.groupBy("group", "column").agg(F.sum("count").alias("_total"))
+    # cut, so that the input is scanned once for the counts and for their base
+    levels = F.array_compact(F.array(F.lit("OVERALL"), F.col("_g")))
+    spread = cut_lineage(counted).select(F.explode(levels).alias("group"), "column", "value", "_c")
+    both = spread.groupBy("group", "column", "value").agg(F.sum("_c").alias("count"))
+    base = spread.groupBy("group", "column").agg(F.sum("_c").alias("_total"))
     return both.where(F.col("value").isNotNull()).join(base, ["group", "column"]).select(
         "group", "column", "value", "count", (F.col("count") / F.col("_total") * 100).alias("percent")
     )
@@ -215,6 +216,6 @@ def most_active_month(df: DataFrame, group: str = "country", date: str = "date")
 
 def average_per_month(df: DataFrame, group: str = "country", date: str = "date") -> DataFrame:
     """Rows of a group divided by the distinct months of all groups."""
-    counts = month_counts(df, date, [group])
+    counts = cut_lineage(month_counts(df, date, [group]))  # used twice
     months = counts.agg(F.count_distinct("month")).scalar()
     return counts.groupBy(group).agg(F.sum("count").alias("total")).withColumn("avg_per_month", F.col("total") / months)

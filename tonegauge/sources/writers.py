@@ -13,7 +13,8 @@ def write_table(df: DataFrame, path: str, format: str = "csv", mode: str = "over
     if format == "parquet":
         df.write.mode(mode).parquet(path)
     elif format == "csv":
-        df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+        options = {"header": True, "quote": '"', "escape": '"'}
+        df.write.mode(mode).options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         raise ValueError(f"Unsupported format: {format}")
 
