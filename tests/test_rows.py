@@ -157,9 +157,9 @@ def test_busy_days_and_load(scored):
     assert P.date_span(scored).first()["days"] == 65
 
 
-@pytest.mark.parametrize("buffer_rows", [10**6, 0])
-def test_describe(scored, buffer_rows):
-    rows = {r["group"]: r for r in P.describe_by_group(scored, ["hawkish_dovish_score"], buffer_rows=buffer_rows).collect()}
+@pytest.mark.parametrize("buffer_values", [10**6, 0])
+def test_describe(scored, buffer_values):
+    rows = {r["group"]: r for r in P.describe_by_group(scored, ["hawkish_dovish_score"], buffer_values=buffer_values).collect()}
     assert set(rows) == {"OVERALL", "us", "ea"}
     assert (rows["OVERALL"]["rows"], rows["us"]["rows"], rows["ea"]["rows"]) == (8, 4, 3)
     us = rows["us"]
@@ -168,9 +168,9 @@ def test_describe(scored, buffer_rows):
     assert rows["OVERALL"]["p50"] == 10.0
 
 
-@pytest.mark.parametrize("buffer_rows", [10**6, 0])
-def test_score_distribution(scored, buffer_rows):
-    row = P.score_distribution(scored, ["hawkish_dovish_score"], buffer_rows).first()
+@pytest.mark.parametrize("buffer_values", [10**6, 0])
+def test_score_distribution(scored, buffer_values):
+    row = P.score_distribution(scored, ["hawkish_dovish_score"], buffer_values).first()
     assert row["median"] == 10.0
     assert [row[b] for b in ("very_dovish", "dovish", "neutral", "hawkish", "very_hawkish")] == [1, 0, 3, 2, 1]
 

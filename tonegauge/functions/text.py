@@ -35,10 +35,10 @@ def escaped_length(text: Column) -> Column:
     code point makes two UTF-16 units. Two byte counts tell which rows need that second part.
     """
     written = F.length(F.to_json(F.struct(text.alias("t")))) - len('{"t":""}')
-    rest = F.regexp_replace(text, r"[\x00-\x7e]+", "")
-    astral = F.octet_length(F.encode(rest, "UTF-16BE")) / 2 - F.length(rest)
+    left_alone = F.length(F.regexp_replace(text, r"[\x00-\x7e]+", ""))
+    astral = F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1) - F.length(text)
     plain = (F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit("\x7f"))
-    beyond = F.when(plain, F.lit(0)).otherwise(5 * F.length(rest) + 6 * astral)
+    beyond = F.when(plain, F.lit(0)).otherwise(5 * left_alone + 6 * astral)
     return F.when(text.isNotNull(), (written + beyond).cast("bigint"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
+from tonegauge.functions.once import with_columns_once
 from tonegauge.functions.text import excerpt, matched_terms, score_verdict, text_after_marker, until_marker
 from tonegauge.operators.joins import lookup
 from tonegauge.operators.positions import add_positions
@@ -18,7 +19,7 @@ def request_texts(requests: DataFrame) -> DataFrame:
     """Speech text taken back out of each request's user message."""
     content = F.get(F.col("body.messages"), F.lit(1))["content"]
     rest = requests.select(F.col("custom_id").alias("speech_id"), text_after_marker(content).alias("_rest"))
-    return rest.select("speech_id", until_marker(F.col("_rest")).alias("speech_text"))
+    return with_columns_once(rest, {"speech_text": until_marker(F.col("_rest"))}).drop("_rest")
 
 
 def assess(

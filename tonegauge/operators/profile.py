@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
-from tonegauge.operators.quantiles import BUFFER_ROWS, bracketed_quantiles, fits_buffer
+from tonegauge.operators.quantiles import BUFFER_VALUES, bracketed_quantiles, fits_buffer
 from tonegauge.session import cut_lineage
 
 
@@ -101,34 +101,35 @@ def distinct_dates(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def describe_by_group(
-    df: DataFrame, metrics: Sequence[str] = K.MEAN_METRICS, group: str = "country", buffer_rows: int = BUFFER_ROWS,
+    df: DataFrame, metrics: Sequence[str] = K.MEAN_METRICS, group: str = "country", buffer_values: int = BUFFER_VALUES,
 ) -> DataFrame:
     """Rows, mean, sample deviation, minimum, quartiles and maximum per metric: OVERALL and per group.
 
     ``rows`` counts all rows of the group, also those whose metric is NULL. All metrics are reduced
-    in one pass over grouping sets; quartiles beyond ``buffer_rows`` rows come from brackets.
+    in one pass over grouping sets; quartiles of more than ``buffer_values`` values come from brackets.
     """
-    small = fits_buffer(df, buffer_rows)
     points = [0.25, 0.5, 0.75]
     values = df.select(F.col(group).alias("_g"), *[F.col(m).cast("double").alias(m) for m in metrics])
-    stats = [
-        F.struct(
-            F.lit(m).alias("metric"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.min(m).alias("min"), F.max(m).alias("max"),
-            *([F.percentile(m, points).alias("q")] if small else []),
-        ) for m in metrics
-    ]
+    aggregates = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     sets = values.groupingSets([[], [F.col("_g")]], F.col("_g")).agg(
-        _rows().alias("rows"), F.grouping("_g").alias("_all"), F.array(*stats).alias("_stats")
+        _rows().alias("rows"), F.grouping("_g").alias("_all"),
+        *[f(m).alias(f"{name}_{m}") for m in metrics for name, f in aggregates.items()],
     ).where((F.col("_all") == 1) | F.col("_g").isNotNull())
+    stats = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{name}_{m}").alias(name) for name in aggregates]) for m in metrics]
     label = F.when(F.col("_all") == 1, F.lit("OVERALL")).otherwise(F.col("_g"))
-    moments = sets.select(label.alias("group"), "rows", F.inline("_stats"))
-    if small:
-        quartiles = [F.col("q")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
-        return moments.select("group", "metric", "rows", "mean", "std", "min", *quartiles, "max")
+    moments = sets.select(label.alias("group"), "rows", F.inline(F.array(*stats)))
+
     long = values.unpivot(["_g"], list(metrics), "metric", "value")
-    labels = F.array_compact(F.array(F.lit("OVERALL"), F.col("_g")))
-    ranked = bracketed_quantiles(long.select(F.explode(labels).alias("group"), "metric", "value"), ["group", "metric"], "value", points)
-    return moments.join(ranked, ["group", "metric"], "left").select(
+    labels = F.explode(F.array_compact(F.array(F.lit("OVERALL"), F.col("_g")))).alias("group")
+    if fits_buffer(df, metrics, buffer_values):
+        # equal values fold before they are copied for OVERALL and before they meet in a buffer
+        folded = long.where(F.col("value").isNotNull()).groupBy("_g", "metric", "value").agg(_rows().alias("_c"))
+        quartiles = folded.select(labels, "metric", "value", "_c").groupBy("group", "metric").agg(
+            F.percentile("value", points, F.col("_c")).alias("_q")
+        ).select("group", "metric", *[F.col("_q")[i].alias(f"q_{i}") for i in range(3)])
+    else:
+        quartiles = bracketed_quantiles(long.select(labels, "metric", "value"), ["group", "metric"], "value", points)
+    return moments.join(quartiles, ["group", "metric"], "left").select(
         "group", "metric", "rows", "mean", "std", "min",
         F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"), "max",
     )
@@ -179,13 +180,13 @@ def invalid_dates(coerced: DataFrame, column: str = "date") -> DataFrame:
 
 def score_distribution(
     df: DataFrame, metrics: Sequence[str] = ("hawkish_dovish_score", "uncertainty", "forward_guidance_strength"),
-    buffer_rows: int = BUFFER_ROWS,
+    buffer_values: int = BUFFER_VALUES,
 ) -> DataFrame:
     """Mean, median, deviation, range and stance buckets per metric; NULLs are dropped.
 
     Buckets are filled for the first metric only.
     """
-    small = fits_buffer(df, buffer_rows)
+    small = fits_buffer(df, metrics, buffer_values)
     long = df.select(F.lit(0).alias("_all"), *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         ["_all"], list(metrics), "metric", "value"
     ).where(F.col("value").isNotNull()).drop("_all")

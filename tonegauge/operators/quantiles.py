@@ -1,7 +1,7 @@
 """Exact interpolated quantiles at any group size.
 
 Spark's exact ``percentile`` keeps a group's distinct values in one aggregation buffer. That is the
-fast way while the counted rows bound that buffer; beyond, a mergeable sketch brackets every wanted
+fast way while counted rows or values bound that buffer, as scores from 0 to 100 do; beyond, a mergeable sketch brackets every wanted
 rank and a second pass counts what lies below the bracket and ranks only the values inside it, about
 a thousandth of a large group.
 """
@@ -20,11 +20,15 @@ MARGIN = 0.0005
 SMALL_GROUP = 10_000  # below this the bracket is the whole group, so MARGIN always covers one row
 
 
-BUFFER_ROWS = 2_000_000  # most rows, hence distinct values, that ``percentile`` may have to hold
+BUFFER_VALUES = 1_000_000  # most distinct values that ``percentile`` may hold per group
 
 
-def fits_buffer(df: DataFrame, buffer_rows: int = BUFFER_ROWS) -> bool:
-    return df.count() <= buffer_rows
+def fits_buffer(df: DataFrame, columns: Sequence[str], limit: int = BUFFER_VALUES) -> bool:
+    """Do few rows, or few distinct values in each column, bound the buffers? Two cheap scans at most."""
+    if df.count() <= limit:
+        return True
+    distinct = df.agg(F.greatest(*[F.approx_count_distinct(c) for c in columns], F.lit(0))).first()[0]
+    return distinct <= limit
 
 
 def bracketed_quantiles(values: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:

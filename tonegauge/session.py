@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites kept per column expression; building a plan of hundreds of them is dominated by it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
