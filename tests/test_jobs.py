@@ -2,6 +2,8 @@
 
 import importlib.util
 import json
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -175,3 +177,19 @@ def test_queries_agree_with_sql(spark, contract):
     connection = check.duck(str(DATA))
     outcomes = {name: check.compare(spark, connection, str(DATA), name) for name in contract.queries()}
     assert {n: o for n, o in outcomes.items() if not o.startswith(("ok", "rows only"))} == {}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_tasks_do_not_import_the_package(tmp_path):
+    """Workers that cannot see the repository still run the Python stages."""
+    script = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {str(ROOT / "__spark_entry__.py")!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("ROWS", [entry.queries()[n](spark, {str(DATA)!r}).count() for n in ("h6_token_chunks", "k1_scored_requests")])
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS [200, 200]" in done.stdout, done.stderr[-2000:]

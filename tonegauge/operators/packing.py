@@ -8,10 +8,12 @@ slice), and every slice then numbers its chunks knowing how it was entered.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from pyspark.sql import types as T
 from tonegauge.operators.positions import OFFSET, SLICE, default_slices, ordered_slices
 from tonegauge.session import cut_lineage
 
+# the small task-side functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SUMMARY = "_slice int, _low bigint, _out bigint, _opened bigint, _adds boolean"
 _ENTRY = "_slice int, _carry bigint, _before bigint"
 

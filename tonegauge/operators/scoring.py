@@ -7,13 +7,18 @@ batches inside the tasks; partitioning, retries and the envelope are Spark's and
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge import constants as K
+from tonegauge.constants import DOVISH_TERMS, HAWKISH_TERMS, SCORE_RANGE, TASK_MARKER, TEXT_MARKER, TOPIC_FIELDS
+
+# the task-side functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Scorer = Callable[[pd.Series], pd.Series]
 
@@ -36,8 +41,8 @@ def envelope_lines(envelopes: DataFrame) -> DataFrame:
 
 
 def keyword_scorer(
-    hawkish: tuple[str, ...] = K.HAWKISH_TERMS, dovish: tuple[str, ...] = K.DOVISH_TERMS, step: int = 20,
-    start: str = K.TEXT_MARKER, end: str = K.TASK_MARKER,
+    hawkish: tuple[str, ...] = HAWKISH_TERMS, dovish: tuple[str, ...] = DOVISH_TERMS, step: int = 20,
+    start: str = TEXT_MARKER, end: str = TASK_MARKER,
 ) -> Scorer:
     """Deterministic stand-in for a model: ``step`` points per distinct term, clipped to the score range."""
 
@@ -47,7 +52,7 @@ def keyword_scorer(
     def score(prompts: pd.Series) -> pd.Series:
         texts = prompts.str.partition(start)[2].str.partition(end)[0].str.lower()
         up, down = hits(texts, hawkish), hits(texts, dovish)
-        scores = ((up - down) * step).clip(*K.SCORE_RANGE)
+        scores = ((up - down) * step).clip(*SCORE_RANGE)
         return pd.Series([_answer(int(s), int(u), int(d)) for s, u, d in zip(scores, up, down)], index=prompts.index)
 
     return score
@@ -57,7 +62,7 @@ def _answer(score: int, up: int, down: int) -> str:
     move = "neutral" if score == 0 else "rise" if score > 0 else "fall"
     return json.dumps({
         "hawkish_dovish_score": score,
-        "topics": {field: min(100, 10 * (up + down)) for field in K.TOPIC_FIELDS},
+        "topics": {field: min(100, 10 * (up + down)) for field in TOPIC_FIELDS},
         "uncertainty": 50,
         "forward_guidance_strength": min(100, 10 * up),
         "key_sentences": [f"{up} hawkish and {down} dovish terms"],
