@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,9 +109,11 @@ def greedy_chunks(
     join wide columns back by key: the rows are range-partitioned and checkpointed here.
     """
     slices = slices or default_slices(df)
-    # counted once: range partitioning reads its input twice, first for a sample of the keys
-    counted = cut_lineage(df.withColumn("_tokens", F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))))
-    sliced = ordered_slices(counted, order_by, slices)
+    # range partitioning reads its input twice, first for a sample of the keys: count tokens once
+    counted = df.withColumn("_tokens", F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))).persist(StorageLevel.DISK_ONLY)
+    # a checkpoint keeps partitions and row order, which the numbering below relies on
+    sliced = cut_lineage(ordered_slices(counted, order_by, slices))
+    counted.unpersist()
     empty_start = max_tokens + 1  # "no open chunk" acts like a chunk that is already over-full
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +127,8 @@ def greedy_chunks(
 
     width = max(1, int(slices**0.5))
     block = (F.col(SLICE) / F.lit(width)).cast("int")
-    summaries = sliced.select(SLICE, "_tokens").mapInPandas(summarise, _SUMMARY).withColumn("_block", block)
+    # a few steps per slice, used twice
+    summaries = cut_lineage(sliced.select(SLICE, "_tokens").mapInPandas(summarise, _SUMMARY).withColumn("_block", block))
 
     def fold_block(pdf: pd.DataFrame) -> pd.DataFrame:
         folded = None

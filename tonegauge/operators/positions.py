@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegauge.session import cut_lineage
+from tonegauge.session import settle
 
 SLICE, OFFSET = "_slice", "_offset"
 
@@ -19,14 +19,13 @@ def default_slices(df: DataFrame) -> int:
 def ordered_slices(df: DataFrame, order_by: Sequence[str], slices: int | None = None) -> DataFrame:
     """Range-partitioned, sorted rows with their slice number and offset inside the slice.
 
-    The result is checkpointed: the sampled range bounds are drawn once, so every later reader,
-    also one that runs after an executor was lost, sees the same slices.
+    The range bounds come from a sample, so the result has to be kept (``settle``, ``cut_lineage``)
+    before two readers may rely on the same slices.
     """
-    slices = slices or default_slices(df)
     slice_id = F.spark_partition_id()
     offset = F.monotonically_increasing_id() - F.shiftleft(slice_id.cast("bigint"), 33)
-    ranged = df.repartitionByRange(slices, *order_by).sortWithinPartitions(*order_by)
-    return cut_lineage(ranged.withColumns({SLICE: slice_id, OFFSET: offset}))
+    ranged = df.repartitionByRange(slices or default_slices(df), *order_by).sortWithinPartitions(*order_by)
+    return ranged.withColumns({SLICE: slice_id, OFFSET: offset})
 
 
 def slice_starts(sliced: DataFrame) -> DataFrame:
@@ -42,11 +41,11 @@ def add_positions(
 ) -> DataFrame:
     """Add the 0-based position of each row in the total order ``order_by``.
 
-    With a unique ``key`` only the key and the order columns are range-partitioned and
-    checkpointed, and the positions are joined back; wide text is then shuffled at most once.
+    With a unique ``key`` only the key and the order columns are range-partitioned and kept, and
+    the positions are joined back; wide text is then shuffled at most once.
     """
     narrow = df.select(*dict.fromkeys([*(key or []), *order_by])) if key else df
-    sliced = ordered_slices(narrow, order_by, slices)
+    sliced = settle(ordered_slices(narrow, order_by, slices), "slices")
     # one row per slice: small enough to broadcast whatever the size of the table
     starts = F.broadcast(slice_starts(sliced))
     placed = sliced.join(starts, SLICE).withColumn(name, F.col(OFFSET) + F.col("_start")).drop(SLICE, OFFSET, "_start")

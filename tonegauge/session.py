@@ -55,6 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: columnar, so later scans take what they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 50_000) -> DataFrame:
     """Join to a per-group table: broadcast once its counted size allows it, else a shuffled join.
 
