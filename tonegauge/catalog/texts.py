@@ -217,7 +217,7 @@ def g20(spark, sf):
 
 
 @query("c14_flat_estimates", f"""WITH RECURSIVE {_REQUEST_ROWS}, {_chunk_sql('rows', K.CHUNK_TOKENS['full'])}
-SELECT max(chunk_id) AS num_chunks, count(*) AS num_requests, round(count(*) * 0.0075, 6) AS estimated_cost,
+SELECT max(chunk_id) AS num_chunks, count(*) AS num_requests, round(CAST(count(*) * 0.0075 AS DOUBLE), 6) AS estimated_cost,
   max(chunk_id) * 3 AS minutes_low, max(chunk_id) * 5 AS minutes_high FROM packed""")
 def c14(spark, sf):
     totals = packing.chunk_totals(packing.chunk_statistics(_packed_requests(spark, sf)))

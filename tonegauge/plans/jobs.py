@@ -17,7 +17,7 @@ from tonegauge.operators.packing import greedy_chunks
 from tonegauge.operators.parse import classify_responses, flatten_content, quarantine, usable
 from tonegauge.operators.requests import DEFAULT_TEMPLATE, build_requests, request_lines
 from tonegauge.operators.validate import validate
-from tonegauge.session import cut_lineage
+from tonegauge.session import cut_lineage, settle
 from tonegauge.sources.writers import write_chunks
 
 
@@ -54,9 +54,12 @@ def request_job(
 def response_job(lines: DataFrame, profile: str = "full") -> Responses:
     """Raw response lines to flat records, validated records and the rows set aside.
 
-    The classified rows feed three outputs, so they are cut once instead of parsed three times.
+    The classified rows feed three outputs, so they are written once instead of parsed three times;
+    each output then reads its own columns. Raw lines are only kept where they were set aside.
     """
-    classified = cut_lineage(classify_responses(lines, profile=profile))
+    parsed = classify_responses(lines.select("raw"), profile=profile)
+    aside_only = F.when(F.col("reason").isNotNull(), F.col("raw"))
+    classified = settle(parsed.withColumn("raw", aside_only), "classified")
     good = usable(classified)
     return Responses(flatten_content(good, profile), validate(good, profile), quarantine(classified))
 
