@@ -9,7 +9,7 @@ from tonegauge.operators import audit, contracts, ingest, joins
 from tonegauge.operators.calendar import long_index
 from tonegauge.operators.indices import daily_indices
 from tonegauge.operators.ledger import latest_states
-from tonegauge.operators.positions import sequential_ids
+from tonegauge.operators.positions import add_positions, sequential_ids
 from tonegauge.operators.profile import invalid_dates
 
 
@@ -183,9 +183,10 @@ def i1(spark, sf):
     return ingest.by_time(B.prepared(spark, sf).select("speech_id", "date"))
 
 
-@query("i2_id_sort", f"WITH {B.SPEECHES} SELECT speech_id FROM speeches ORDER BY speech_id LIMIT 25")
+@query("i2_id_sort", f"WITH {B.SPEECHES} SELECT speech_id, row_number() OVER (ORDER BY speech_id) - 1 AS place FROM speeches")
 def i2(spark, sf):
-    return ingest.by_id(B.speeches(spark, sf).select("speech_id")).limit(25)
+    # the place in the sorted result shows the order, which a set of rows would not
+    return add_positions(B.speeches(spark, sf).select("speech_id"), ["speech_id"], name="place")
 
 
 @query("i4_extreme_pick", f"""WITH {B.PREPARED}, a AS (SELECT country, max(hawkish_dovish_score) AS hi, min(hawkish_dovish_score) AS lo FROM prepared GROUP BY country),
