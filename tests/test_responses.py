@@ -135,10 +135,27 @@ def test_filters_do_not_copy_the_parsing(mixed):
 
 def test_flat_rows_meet_the_same_rules(mixed):
     flat = P.parse_responses(mixed)
-    found = {r["speech_id"]: r["errors"] for r in V.validate(P.flat_to_content(flat)).collect()}
+    found = {r["speech_id"]: r["errors"] for r in V.validate_flat(flat).collect()}
     assert found["good"] == []
     assert found["no_uncertainty"] == ["uncertainty must be numeric, got: <class 'NoneType'>"]
     assert len(found["null_topics"]) == 5
+    assert found["wrong"] == ["hawkish_dovish_score must be numeric, got: <class 'NoneType'>"]  # an empty string is one sentence
+    lenient = {r["speech_id"]: r["errors"] for r in V.validate_flat(flat, null_is_number=True).collect()}
+    assert lenient["null_topics"] == [] and lenient["wrong"] == []
+
+
+def test_flat_rows_out_of_range(mixed):
+    flat = P.parse_responses(mixed).where("speech_id = 'good'")
+    off = flat.withColumns({
+        "hawkish_dovish_score": F.lit(150.0), "topic_growth": F.lit(-1.0), "key_sentences": F.lit(None).cast("string"),
+        "market_impact_bonds": F.lit(None).cast("string"), "market_impact_stocks": F.lit("up"), "summary": F.lit(" "),
+    })
+    assert V.validate_flat(off).first()["errors"] == [
+        "hawkish_dovish_score out of range [-100, 100]: 150.0", "Topic 'growth' out of range [0, 100]: -1.0", "key_sentences is empty",
+        "market_impact.stocks must be one of ['rise', 'fall', 'neutral'], got: up",
+        "market_impact.bonds must be one of ['rise', 'fall', 'neutral'], got: None", "summary is empty",
+    ]
+    assert len(V.validate_flat(off, "reduced").first()["errors"]) == 4
 
 
 def test_sentences_split_on_every_pipe(one):

@@ -164,7 +164,7 @@ _PREPARED_BAD = "market_impact_bonds IS NULL OR market_impact_currency IS NULL O
 
 @query("e7_flat_records", f"WITH {B.PREPARED} SELECT speech_id, NOT ({_PREPARED_BAD}) AS is_valid FROM prepared")
 def e7_flat(spark, sf):
-    return validate.validate(parse.flat_to_content(B.prepared(spark, sf))).select("speech_id", "is_valid")
+    return validate.validate_flat(B.prepared(spark, sf)).select("speech_id", "is_valid")
 
 
 _RATE = "100.0 * valid / total"

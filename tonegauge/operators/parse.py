@@ -96,18 +96,3 @@ def parse_responses(lines: DataFrame, raw: str = "raw", profile: str = "full") -
 
 def split_sentences(joined: Column) -> Column:
     return F.split(joined, r"\|")
-
-
-def flat_to_content(flat: DataFrame) -> DataFrame:
-    """Rebuild the nested record of flat rows as VARIANT, so one rule set validates both forms."""
-    sentences = F.when(F.col("key_sentences").isNull(), F.array().cast("array<string>")).otherwise(
-        split_sentences(F.col("key_sentences"))
-    )
-    record = F.struct(
-        "hawkish_dovish_score",
-        F.struct(*[F.col(f"topic_{field}").alias(field) for field in K.TOPIC_FIELDS]).alias("topics"),
-        "uncertainty", "forward_guidance_strength", sentences.alias("key_sentences"),
-        F.struct(*[F.col(f"market_impact_{field}").alias(field) for field in K.MARKET_FIELDS]).alias("market_impact"),
-        "summary",
-    )
-    return flat.withColumn("content", F.to_variant_object(record))

@@ -136,12 +136,36 @@ def validate(parsed: DataFrame, profile: str = "full", null_is_number: bool = Fa
     Absent top-level fields hide all other errors. ``null_is_number`` lets NULL scores pass, as a NaN
     read from a table would.
     """
+    return _checked(parsed.columns, _with_fields(parsed), profile, null_is_number)
+
+
+def validate_flat(flat: DataFrame, profile: str = "full", null_is_number: bool = False) -> DataFrame:
+    """The same rules on flat columns: every field is there, a NULL stands for a missing value.
+
+    The columns' types are known, so no record is rebuilt and taken apart again.
+    """
+    names = {f"topics.{field}": f"topic_{field}" for field in K.TOPIC_FIELDS}
+    names |= {f"market_impact.{field}": f"market_impact_{field}" for field in K.MARKET_FIELDS}
+    scalars = {path: names.get(path, path) for path in PATHS if path not in ("topics", "market_impact", "key_sentences")}
+    numbers = {"hawkish_dovish_score", "uncertainty", "forward_guidance_strength", *(f"topics.{f}" for f in K.TOPIC_FIELDS)}
+    columns = {_kind("topics"): "'OBJECT<>'", _kind("market_impact"): "'OBJECT<>'", _kind("key_sentences"): "'ARRAY<STRING>'"}
+    sentences = "CASE WHEN key_sentences IS NULL THEN CAST(array() AS ARRAY<STRING>) ELSE array(key_sentences) END"
+    columns[_value("key_sentences")] = f"CAST({sentences} AS VARIANT)"
+    for path, name in scalars.items():
+        kind = "DOUBLE" if path in numbers else "STRING"
+        columns[_kind(path)] = f"CASE WHEN {name} IS NULL THEN 'VOID' ELSE '{kind}' END"
+        columns[_value(path)] = f"CAST(CAST({name} AS {kind}) AS VARIANT)"
+    fields = flat.selectExpr("*", *[f"{expression} AS {name}" for name, expression in columns.items()])
+    return _checked(flat.columns, fields, profile, null_is_number)
+
+
+def _checked(kept: Sequence[str], fields: DataFrame, profile: str, null_is_number: bool) -> DataFrame:
     missing = ", ".join(_absent(field, f"Missing required field: {field}") for field in K.TOP_FIELDS)
     any_missing = " OR ".join(f"{_kind(field)} IS NULL" for field in K.TOP_FIELDS)
     rules = ", ".join(_rules(profile, null_is_number))
     found = F.expr(f"array_compact(CASE WHEN {any_missing} THEN array({missing}) ELSE array({rules}) END)")
-    checked = with_columns_once(_with_fields(parsed), {"errors": found})
-    return checked.select(*parsed.columns, "errors", (F.size("errors") == 0).alias("is_valid"))
+    checked = with_columns_once(fields, {"errors": found})
+    return checked.select(*kept, "errors", (F.size("errors") == 0).alias("is_valid"))
 
 
 def batch_summary(validated: DataFrame) -> DataFrame:
