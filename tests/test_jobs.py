@@ -151,7 +151,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
 
 
 def test_shared_dir_is_the_configured_one(spark):
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (configured or spark.sparkContext.getCheckpointDir())
 
 

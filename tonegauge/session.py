@@ -34,9 +34,11 @@ def build_session(app_name: str = "tonegauge", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a fresh local one in local mode only."""
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if configured:
-        return configured
+    configured, current = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if configured or current:
+        if not current:  # named after the context had started
+            context.setCheckpointDir(configured)
+        return configured or current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="tonegauge-")
