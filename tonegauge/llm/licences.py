@@ -53,8 +53,8 @@ def place_of(part: list[str], whole: list[str]) -> int:
 
 def inverse_frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, float]:
     """IDF of every vocabulary word over all documents; one number for each word reaches the driver."""
-    seen = docs.select(F.explode(F.array_intersect(words(F.col(text)), F.expr(text_array(vocabulary)))).alias("word"))
-    found = {row["word"]: row["n"] for row in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    seen = docs.select(F.explode_outer(F.array_intersect(words(F.col(text)), F.expr(text_array(vocabulary)))).alias("word"))
+    found = {row["word"]: row["n"] for row in seen.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = docs.count()
     return {word: math.log((total + 1) / (found.get(word, 0) + 1)) for word in vocabulary}
 

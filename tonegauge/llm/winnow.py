@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonegauge.functions.once import with_columns_once
 from tonegauge.llm.common import row_key, words
 
 WINDOW, RUN = 13, 5
@@ -49,7 +50,8 @@ def document_prints(docs: DataFrame, doc_id: str, text: str, short: list[int], w
     frame = with_smallest(frame.withColumn("k", F.expr(run_hashes(run))), "k", window - run + 1, "kept")
     kept = [F.expr(f"transform(array_distinct(kept), x -> struct({window} AS len, x AS fp))")]
     kept += [F.expr(f"transform(array_distinct({run_hashes(size)}), x -> struct({size} AS len, x AS fp))") for size in short]
-    return frame.select("doc_id", "row", F.explode(F.concat(*kept)).alias("f")).select("doc_id", "row", "f.len", "f.fp")
+    # the outer form: for the other, the optimizer would copy the whole expression into a filter below
+    return frame.select("doc_id", "row", F.explode_outer(F.concat(*kept)).alias("f")).where("f IS NOT NULL").select("doc_id", "row", "f.len", "f.fp")
 
 
 def item_prints(items: DataFrame, item_id: str, text: str, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -97,12 +99,12 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     rows = rows.select("doc_id", "row", "hits", words(F.col("_text")).alias("w"), *kept)
     rows = rows.withColumn("k", F.when(F.col("hits").isNotNull(), F.expr(run_hashes(run))))
     rows = rows.select("doc_id", "row", F.size("w").cast("bigint").alias("n_words"), F.expr(extended(window, run)).alias("windows"), *kept)
-    return rows.select(
-        "doc_id", "row", "n_words",
-        F.size(F.array_distinct(F.flatten(F.expr("transform(windows, x -> sequence(x.start, x.start + x.len - 1))")))).cast("bigint").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten("windows.ids"))).alias("item_ids"),
-        *[F.col(f"_keep_{name}").alias(name) for name in keep],
-    )
+    # once: a filter on these would copy all of the above below itself
+    found = with_columns_once(rows, {
+        "n_hit": F.size(F.array_distinct(F.flatten(F.expr("transform(windows, x -> sequence(x.start, x.start + x.len - 1))")))).cast("bigint"),
+        "item_ids": F.array_sort(F.array_distinct(F.flatten("windows.ids"))),
+    })
+    return found.select("doc_id", "row", "n_words", "n_hit", "item_ids", *[F.col(f"_keep_{name}").alias(name) for name in keep])
 
 
 def contaminated() -> Column:
