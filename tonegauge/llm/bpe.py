@@ -13,7 +13,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Sequence
 
 import regex
 from pyspark.sql import Column, DataFrame
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from tonegauge.llm.common import map_columns
 
-LEAF = 24
+#: Letters in a leaf: short ones recur, so most are looked up, and so are most windows.
+LEAF = 6
 #: White space as the tokenizer files' patterns mean it (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+NEVER = 1 << 30
 WORD_TABLE = 400_000
 
 
@@ -48,30 +50,36 @@ class BpeModel:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
+        self.leaves: tuple[dict, dict] = ({}, {})
+        self.windows: dict = {}
+        self.table = 200_000
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.pieces = regex.compile(splitter["pattern"]["Regex"].replace(r"\s", SPACE))
         self.added = {token["content"]: token["id"] for token in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.names = {number: name for name, number in [*self.vocab.items(), *self.added.items()]}
+        self.numbers = {**self.vocab, **self.added}
+        self.names = {number: name for name, number in self.numbers.items()}
+        self.written = {name: str(number) for name, number in self.numbers.items()}
+        self.words = _Table()
+        self.words.model = self
 
     # merging
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Lowest rank first, leftmost among equals."""
-        if len(symbols) > 2 * LEAF:
+        if len(symbols) > 48:
             return self._merge_long(symbols)
-        parts, ranks = list(symbols), self.ranks
+        parts, rank_of = list(symbols), self.ranks.get
         while len(parts) > 1:
-            best, at = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 30:
+            ranks = [rank_of(pair, NEVER) for pair in zip(parts, parts[1:])]
+            best = min(ranks)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [self.joined(parts[at], parts[at + 1])]
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def joined(self, left: str, right: str) -> str:
-        return left + right
-
     def _merge_long(self, symbols: list[str]) -> list[str]:
         parts: list[str | None] = list(symbols)
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
@@ -82,7 +90,7 @@ class BpeModel:
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = self.joined(a, b), None
+            parts[i], parts[j] = a + b, None
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -99,29 +107,45 @@ class BpeModel:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def concatenate(self, left: list[str], right: list[str]) -> list[str]:
+    def concatenate(self, left: tuple[str, ...], right: tuple[str, ...]) -> tuple[str, ...]:
         """The encoding of two neighbours' joint text from their encodings."""
-        width = 2
+        width = 1
         while True:
             inner, outer = left[-width:], right[:width]
-            window = self.merge([s for token in (*inner, *outer) for s in self.symbols(token)])
+            window = self.window(inner, outer)
             agrees_left = width >= len(left) or window[0] == inner[0]
             agrees_right = width >= len(right) or window[-1] == outer[-1]
             if agrees_left and agrees_right:
                 return left[:-width] + window + right[width:]
             width *= 2
 
-    def encode_piece(self, piece: str) -> list[str]:
-        """Tokens of one unsplit piece."""
-        letters = [self.letters[b] for b in piece.encode("utf-8")]
-        letters[-1] += self.end
-        seen: dict[tuple[str, ...], list[str]] = {}
-        level = []
-        for i in range(0, len(letters), LEAF):
-            leaf = tuple(letters[i : i + LEAF])
-            if leaf not in seen:
-                seen[leaf] = self.merge(list(leaf))
-            level.append(seen[leaf])
+    def window(self, inner: tuple[str, ...], outer: tuple[str, ...]) -> tuple[str, ...]:
+        """The encoding of a few tokens' text; what was seen before is looked up."""
+        known = self.windows.get((inner, outer))
+        if known is None:
+            known = tuple(self.merge([s for token in (*inner, *outer) for s in self.symbols(token)]))
+            if len(inner) + len(outer) <= 8:
+                if len(self.windows) >= self.table:
+                    self.windows.clear()
+                self.windows[inner, outer] = known
+        return known
+
+    def leaf(self, letters: str, last: bool) -> tuple[str, ...]:
+        seen = self.leaves[last]
+        known = seen.get(letters)
+        if known is None:
+            if len(seen) >= self.table:
+                seen.clear()
+            known = seen[letters] = tuple(self.merge([*letters[:-1], letters[-1] + self.end] if last else list(letters)))
+        return known
+
+    def encode_piece(self, piece: str) -> tuple[str, ...]:
+        """Tokens of one unsplit piece: leaves first, then their joins level by level."""
+        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        size = len(letters)
+        if size <= LEAF:
+            return self.leaf(letters, True)
+        level = [self.leaf(letters[i : i + LEAF], i + LEAF >= size) for i in range(0, size, LEAF)]
         while len(level) > 1:
             pairs = [self.concatenate(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
             level = pairs + level[len(pairs) * 2 :]
@@ -143,13 +167,15 @@ class BpeModel:
                 result.extend(low.split() if not SEPARATORS.search(low) else (c for c in self.spaces.split(low) if c))
         return result
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def chunk_tokens(self, chunk: str) -> Sequence[str]:
         if chunk in self.added:
-            return [self.added[chunk]]
-        return [self.vocab[token] for piece in self.pieces.findall(chunk) for token in self.encode_piece(piece)]
+            return (chunk,)
+        if chunk.isalpha():  # one piece for the pattern too
+            return self.encode_piece(chunk)
+        return [token for piece in self.pieces.findall(chunk) for token in self.encode_piece(piece)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [number for chunk in self.chunks(text or "") for number in self.encode_chunk(chunk)]
+        return [self.numbers[token] for chunk in self.chunks(text or "") for token in self.chunk_tokens(chunk)]
 
     def decode(self, ids: list[int]) -> str:
         """Token names joined by a space: the file has no decoder."""
@@ -157,16 +183,15 @@ class BpeModel:
 
 
 class _Table(dict):
-    """Values by chunk, made when first asked for; emptied when full, so its size is bounded."""
+    """Ids and names by chunk, made when first asked for; emptied when full, so its size is bounded."""
 
-    def __init__(self, make: Callable[[str], str]):
-        super().__init__()
-        self.make = make
+    model: BpeModel
 
-    def __missing__(self, chunk: str) -> str:
+    def __missing__(self, chunk: str) -> tuple[str, str]:
         if len(self) >= WORD_TABLE:
             self.clear()
-        value = self.make(chunk)
+        tokens = self.model.chunk_tokens(chunk)
+        value = " ".join(map(self.model.written.__getitem__, tokens)), " ".join(tokens)
         if len(chunk) <= 64:
             self[chunk] = value
         return value
@@ -184,22 +209,21 @@ def encode_texts(df: DataFrame, text: Column, tokenizer: str, keys: dict[str, st
     empty texts have no tokens: count 0 and the digests of the empty text. Repeated rows give a row each.
     ``with_ids`` adds the ids and the decoded text.
     """
-    spec = df.sparkSession.sparkContext.broadcast(load_spec(tokenizer))
+    # what a task has seen stays with the broadcast model in its worker, for the tasks that follow there
+    shipped = df.sparkSession.sparkContext.broadcast(BpeModel(load_spec(tokenizer)))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
     def make():
-        model = BpeModel(spec.value)
-        ids_of = _Table(lambda chunk: " ".join(map(str, model.encode_chunk(chunk))))
-        names_of = _Table(lambda chunk: " ".join(model.names[int(i)] for i in ids_of[chunk].split(" ")))
+        model = shipped.value
+        table = model.words
 
         def step(*columns):
             counts, ids_digest, text_digest, all_ids, all_texts = [], [], [], [], []
             for value in columns[-1]:
-                chunks = model.chunks(value or "")
-                ids = " ".join(map(ids_of.__getitem__, chunks))
-                decoded = " ".join(map(names_of.__getitem__, chunks))
+                found = list(map(table.__getitem__, model.chunks(value or "")))
+                ids, decoded = " ".join([a for a, _ in found]), " ".join([b for _, b in found])
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 ids_digest.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_digest.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
