@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tonegauge import schemas
 from tonegauge.operators.packing import chunk_statistics
-from tonegauge.operators.scoring import envelope_lines, keyword_scorer, score_requests
+from tonegauge.operators.scoring import envelope_lines, keyword_scorer, score_requests, score_with_function
 from tonegauge.operators.requests import build_requests
 from tonegauge.plans import jobs
 from tonegauge.session import shared_dir
@@ -83,12 +83,17 @@ def test_report_keeps_null_fields(spark, tmp_path):
     W.write_report(spark.range(1).select(F.struct(F.lit(1).alias("total")).alias("counts"), F.lit(None).cast("string").alias("note")), path)
     text = "".join(p.read_text() for p in Path(path).glob("part-*"))
     assert json.loads(text) == {"counts": {"total": 1}, "note": None}
+    W.write_report(spark.range(3), path)
+    assert spark.read.json(path).count() == 3
 
 
 def test_requests_to_indices(spark, dated, tmp_path):
     """The whole way: chunk files, scoring, parsing, validation, join and index."""
     folder = str(tmp_path / "chunks")
-    packed = jobs.request_job(dated, folder, ["date", "speech_id"], max_tokens=1500)
+    packed, aside = jobs.request_job(dated.withColumn("text", F.when(F.col("speech_id") != "none", F.col("text"))), folder, ["date", "speech_id"], max_tokens=1500)
+    assert aside.count() == 0
+    with pytest.raises(ValueError, match="unique"):
+        jobs.request_job(dated.union(dated), folder, ["date"])
     stats = chunk_statistics(packed)
     assert stats.agg(F.sum("num_requests")).first()[0] == 60
     assert stats.where("chunk_tokens > 1500 and num_requests > 1").count() == 0
@@ -128,7 +133,7 @@ def test_scorer_sees_prompts_and_keeps_ids(spark, speeches):
         return prompts.str.len().map(lambda n: json.dumps({"n": int(n)}))
 
     built = build_requests(speeches)
-    rows = score_requests(built, scorer).collect()
+    rows = score_with_function(built, scorer).collect()
     lengths = {r["custom_id"]: len(r["prompt"]) for r in built.collect()}
     assert {r["custom_id"]: json.loads(r["response"]["body"]["choices"][0]["message"]["content"])["n"] for r in rows} == lengths
 
@@ -148,6 +153,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     collect_responses(spark, str(inbox), table, checkpoint)
     collect_responses(spark, str(inbox), table, checkpoint)
     assert sorted(r["speech_id"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+    assert [r["raw"] for r in spark.read.parquet(f"{table}_set_aside").collect()] == ["{broken"] * 2
 
 
 def test_shared_dir_is_the_configured_one(spark):
@@ -189,7 +195,7 @@ entry = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry)
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
-print("ROWS", [entry.queries()[n](spark, {str(DATA)!r}).count() for n in ("h6_token_chunks", "k1_scored_requests")])
+print("ROWS", [entry.queries()[n](spark, {str(DATA)!r}).count() for n in ("h6_token_chunks", "k1_user_function")])
 """
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS [200, 200]" in done.stdout, done.stderr[-2000:]

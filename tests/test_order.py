@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from tonegauge.operators import packing as P
 from tonegauge.operators.positions import add_positions, sequential_ids
-from tonegauge.operators.quantiles import bracketed_quantiles
-from tonegauge.session import join_sized
+from tonegauge.operators.quantiles import exact_quantiles
 
 
 def fold(tokens, limit):
@@ -114,13 +113,13 @@ def test_sequential_ids(spark):
 
 
 @pytest.mark.parametrize("spread", [5, 10**9])
-def test_bracketed_quantiles_are_exact(spark, spread):
+def test_quantiles_are_exact(spark, spread):
     rows = spark.range(60000, numPartitions=6).select(
         F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, "small").otherwise(F.lit(None)).alias("g"),
         F.when(F.col("id") % 11 != 0, (F.abs(F.xxhash64("id")) % spread).cast("double")).alias("v"),
     )
     points = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: [r[f"q_{i}"] for i in range(5)] for r in bracketed_quantiles(rows, ["g"], "v", points).collect()}
+    got = {r["g"]: [r[f"q_{i}"] for i in range(5)] for r in exact_quantiles(rows, ["g"], "v", points).collect()}
     want = {r["g"]: r["q"] for r in rows.groupBy("g").agg(F.percentile("v", points).alias("q")).collect()}
     assert got.keys() == want.keys()
     for group, values in want.items():
@@ -129,14 +128,12 @@ def test_bracketed_quantiles_are_exact(spark, spread):
 
 def test_quantiles_of_few_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 10.0), ("b", 5.0), ("c", None), ("d", float("nan"))], "g string, v double")
-    got = {r["g"]: (r["q_0"], r["q_1"]) for r in bracketed_quantiles(df, ["g"], "v", [0.5, 0.75]).collect()}
+    got = {r["g"]: (r["q_0"], r["q_1"]) for r in exact_quantiles(df, ["g"], "v", [0.5, 0.75]).collect()}
     assert got == {"a": (2.0, 6.0), "b": (5.0, 5.0)}
 
 
-def test_join_beyond_the_broadcast_bound(spark):
-    big, small = spark.range(100).withColumn("k", F.col("id") % 10), spark.range(10).withColumnRenamed("id", "k")
-    for bound in (3, 1000):
-        joined = join_sized(big, small, "k", max_rows=bound)
-        assert joined.count() == 100
-        hinted = "broadcast" in joined._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in joined._jdf.queryExecution().analyzed().toString()
-        assert hinted == (bound == 1000)
+def test_quantiles_of_one_group_with_most_values(spark):
+    rows = spark.range(1_000_000, numPartitions=8).select(F.when(F.col("id") % 10 == 0, "other").otherwise("hot").alias("g"), (F.col("id") * 7919 % 1_000_003).cast("double").alias("v"))
+    got = {r["g"]: r["q_0"] for r in exact_quantiles(rows, ["g"], "v", [0.5]).collect()}
+    want = {r["g"]: r["q"] for r in rows.groupBy("g").agg(F.percentile("v", 0.5).alias("q")).collect()}
+    assert got == pytest.approx(want)

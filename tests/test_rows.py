@@ -23,7 +23,7 @@ def day(n, month=1, year=2022):
 def test_required_columns(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert C.require_columns(df, ["a"])
-    with pytest.raises(ValueError, match=r"speeches is missing required columns: \['c', 'd'\]"):
+    with pytest.raises(ValueError, match=r"speeches: no columns \['c', 'd'\]"):
         C.require_columns(df, ["d", "a", "c"], "speeches")
 
 
@@ -51,10 +51,21 @@ def test_nan_becomes_null(spark):
 def test_year_sample(spark):
     df = spark.createDataFrame([(day(1, 1, y), c) for y in (2021, 2022, 2023, 2024) for c in ("us", "ea")], "date date, country string")
     assert N.sample_years(df, 2022, 2023).count() == 4
-    assert N.sample_years(df, 2022, 2023, "us").count() == 4  # no column of that name: the filter is skipped
+    assert N.sample_years(df, 2022, 2023, "us", skip_unknown=True).count() == 4
+    with pytest.raises(ValueError, match="no column institution"):
+        N.sample_years(df, 2022, 2023, "us")
     assert N.sample_years(df, 2022, 2023, "us", "country").count() == 2
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp_ntz"])
+def test_year_bounds_reach_the_scan(spark, tmp_path, kind):
+    path = str(tmp_path / "dated")
+    spark.range(10).select(F.date_add(F.lit("2021-06-01").cast("date"), F.col("id").cast("int") * 100).cast(kind).alias("date")).write.parquet(path)
+    kept = N.sample_years(spark.read.parquet(path), 2022, 2022)
+    pushed = [line for line in kept._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "PushedFilters" in line]
+    assert kept.count() == 4 and any("GreaterThanOrEqual" in line and "LessThan(" in line for line in pushed)
+
+
 def test_date_range_keeps_the_whole_last_day(spark):
     stamps = ["2022-01-01 00:00:00", "2022-01-31 00:00:00", "2022-01-31 10:00:00", "2022-02-01 00:00:00"]
     df = spark.createDataFrame([(s,) for s in stamps], "Date string").select(F.col("Date").cast("timestamp_ntz").alias("Date"))
@@ -148,6 +159,14 @@ def test_crosstab(scored):
     assert (wide["2022-01"]["us"], wide["2022-01"]["ea"], wide["Total"]["Total"]) == (3, 1, 6)
 
 
+def test_a_group_named_like_a_margin_stays_apart(spark):
+    df = spark.createDataFrame([(day(1), "Total", 1.0), (day(1), "OVERALL", 3.0)], "date date, country string, v double")
+    cells = {(r["month"], r["country"], r["all_months"], r["all_groups"]): r["count"] for r in P.month_crosstab(df).collect()}
+    assert cells["2022-01", "Total", False, False] == 1 and cells["2022-01", "Total", False, True] == 2
+    rows = {(r["group"], r["is_total"]): r["p50"] for r in P.describe_by_group(df, ["v"]).collect()}
+    assert rows == {("OVERALL", True): 2.0, ("OVERALL", False): 3.0, ("Total", False): 1.0}
+
+
 def test_busy_days_and_load(scored):
     assert [tuple(r) for r in P.busy_days(scored).collect()] == [(day(1), "us", 2)]
     assert P.busiest_days(scored, k=1).count() == 1
@@ -157,9 +176,9 @@ def test_busy_days_and_load(scored):
     assert P.date_span(scored).first()["days"] == 65
 
 
-@pytest.mark.parametrize("buffer_values", [10**6, 0])
-def test_describe(scored, buffer_values):
-    rows = {r["group"]: r for r in P.describe_by_group(scored, ["hawkish_dovish_score"], buffer_values=buffer_values).collect()}
+def test_describe(scored):
+    rows = {r["group"]: r for r in P.describe_by_group(scored, ["hawkish_dovish_score"]).collect()}
+    assert [g for g, r in rows.items() if r["is_total"]] == ["OVERALL"]
     assert set(rows) == {"OVERALL", "us", "ea"}
     assert (rows["OVERALL"]["rows"], rows["us"]["rows"], rows["ea"]["rows"]) == (8, 4, 3)
     us = rows["us"]
@@ -168,9 +187,8 @@ def test_describe(scored, buffer_values):
     assert rows["OVERALL"]["p50"] == 10.0
 
 
-@pytest.mark.parametrize("buffer_values", [10**6, 0])
-def test_score_distribution(scored, buffer_values):
-    row = P.score_distribution(scored, ["hawkish_dovish_score"], buffer_values).first()
+def test_score_distribution(scored):
+    row = P.score_distribution(scored, ["hawkish_dovish_score"]).first()
     assert row["median"] == 10.0
     assert [row[b] for b in ("very_dovish", "dovish", "neutral", "hawkish", "very_hawkish")] == [1, 0, 3, 2, 1]
 
@@ -269,3 +287,11 @@ def test_chunks_left_to_do(spark, events):
     assert sorted(r[0][:7] for r in J.untracked_chunks(files, events).collect()) == ["chunk05", "chunk06"]
     again = J.chunks_to_submit(files, L.latest_states(events), ["completed", "in_progress"])
     assert sorted(r[0][:7] for r in again.collect()) == [f"chunk0{i}" for i in (2, 3, 4, 5, 6)]
+
+
+def test_audit_reads_whole_texts(spark):
+    """A term that first occurs behind 40,000 characters counts."""
+    scored = spark.createDataFrame([("s1", 10.0), ("s2", 0.0)], "speech_id string, hawkish_dovish_score double")
+    texts = spark.createDataFrame([("s1", "x " * 20_000 + "inflation"), ("s3", "inflation")], "speech_id string, speech_text string")
+    rows = {r["speech_id"]: r for r in A.assess(scored, texts, hawkish=["inflation"], dovish=["ease"]).collect()}
+    assert rows["s1"]["hawkish_terms"] == ["inflation"] and rows["s2"]["assessment"].startswith("ERROR")

@@ -134,7 +134,7 @@ def speeches(spark):
 
 @pytest.mark.parametrize("profile", ["full", "reduced"])
 def test_requests_and_their_serialized_tokens(speeches, profile):
-    built = R.build_requests(speeches, profile=profile).collect()
+    built = R.build_requests(speeches, profile=profile, max_text_tokens=K.MAX_TEXT_TOKENS if profile == "full" else None).collect()
     assert [r["custom_id"] for r in built] == ["speech_1", "speech_2"]
     for row in built:
         request = row["request"].asDict(recursive=True)

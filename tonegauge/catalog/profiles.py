@@ -28,7 +28,8 @@ def g6(spark, sf):
 
 
 @query("g7_month_crosstab", f"""WITH {B.PREPARED}, m AS (SELECT strftime(date, '%Y-%m') AS month, country FROM prepared)
-SELECT coalesce(month, 'Total') AS month, coalesce(country, 'Total') AS country, CAST(count(*) AS BIGINT) AS count FROM m GROUP BY CUBE (month, country)""")
+SELECT coalesce(month, 'Total') AS month, coalesce(country, 'Total') AS country, CAST(count(*) AS BIGINT) AS count,
+  grouping(month) = 1 AS all_months, grouping(country) = 1 AS all_groups FROM m GROUP BY CUBE (month, country)""")
 def g7(spark, sf):
     return P.month_crosstab(B.prepared(spark, sf))
 
@@ -65,13 +66,13 @@ def _long_sql(source: str, group: str, metrics) -> str:
 
 
 @query("g10_grouped_describe", f"""WITH {B.PREPARED}, {_long_sql('prepared', 'country', K.MEAN_METRICS)}
-SELECT coalesce(grp, 'OVERALL') AS "group", metric, {_DESCRIBE} FROM long GROUP BY GROUPING SETS ((metric), (metric, grp))""")
+SELECT coalesce(grp, 'OVERALL') AS "group", grouping(grp) = 1 AS is_total, metric, {_DESCRIBE} FROM long GROUP BY GROUPING SETS ((metric), (metric, grp))""")
 def g10(spark, sf):
     return rounded(P.describe_by_group(B.prepared(spark, sf)), *_STATS)
 
 
 @query("g10_describe_balances", f"""WITH {_long_sql('customer', 'c_mktsegment', ['c_acctbal'])}
-SELECT coalesce(grp, 'OVERALL') AS "group", metric, {_DESCRIBE} FROM long GROUP BY GROUPING SETS ((metric), (metric, grp))""")
+SELECT coalesce(grp, 'OVERALL') AS "group", grouping(grp) = 1 AS is_total, metric, {_DESCRIBE} FROM long GROUP BY GROUPING SETS ((metric), (metric, grp))""")
 def g10_balances(spark, sf):
     return rounded(P.describe_by_group(B.table(spark, sf, "customer"), ["c_acctbal"], "c_mktsegment"), *_STATS)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tonegauge import constants as K
 from tonegauge.catalog import base as B
 from tonegauge.catalog.base import query, rounded
+from tonegauge.plans import jobs
 from tonegauge.operators import parse, validate
 
 # DuckDB's JSON functions read the same lines
@@ -198,3 +199,18 @@ def e11(spark, sf):
         (F.count_if(F.col("is_valid")) / F.count("*") * 100).alias("rate")
     )
     return rounded(rates.withColumn("tier", quality_tier(F.col("rate"))), "rate")
+
+
+@query("validation_report", f"""WITH {_FULL}, t AS (SELECT count(*) AS total, count(*) FILTER (WHERE errors = '') AS valid FROM checked),
+k AS (SELECT split_part(unnest(string_split(errors, ' | ')), ':', 1) AS kind FROM checked WHERE errors <> ''),
+h AS (SELECT kind, count(*) AS n FROM k GROUP BY kind), f AS (SELECT kind, n FROM h ORDER BY n DESC, kind LIMIT 1),
+x AS (SELECT custom_id FROM checked WHERE errors <> '' GROUP BY custom_id ORDER BY custom_id LIMIT 5)
+SELECT total, valid, total - valid AS invalid, round(valid * 100.0 / total, 6) AS validation_rate, (SELECT count(*) FROM h) AS kinds, (SELECT kind FROM f) AS first_kind,
+  (SELECT n FROM f) AS first_count, (SELECT string_agg(custom_id, ',' ORDER BY custom_id) FROM x) AS sample FROM t""")
+def validation_report(spark, sf):
+    report = jobs.validation_report(B.responses(spark, sf).select("raw"))
+    return report.select(
+        "summary.total", "summary.valid", "summary.invalid", F.round("summary.validation_rate", 6).alias("validation_rate"), F.size("errors").cast("bigint").alias("kinds"),
+        F.col("errors")[0]["error_type"].alias("first_kind"), F.col("errors")[0]["occurrences"].alias("first_count"),
+        F.array_join(F.col("invalid_sample.custom_id"), ",").alias("sample"),
+    )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tonegauge import constants as K
 from tonegauge.catalog import base as B
 from tonegauge.catalog.base import query, rounded
 from tonegauge.functions.scoring import number_in, polarity, result_name, stance
@@ -26,9 +27,9 @@ def b1(spark, sf):
 WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21' GROUP BY event_type""")
 def b2(spark, sf):
     events = B.table(spark, sf, "events").withColumnRenamed("ts", "date")
-    whole = ingest.between_dates(events, "2024-01-05", "2024-01-20").groupBy("event_type").agg(F.count("*").alias("n"))
-    cut = ingest.between_dates(events, "2024-01-05", "2024-01-20", midnight_end=True)
-    return whole.join(cut.groupBy("event_type").agg(F.count("*").alias("n_midnight")), "event_type")
+    whole = ingest.between_dates(events, "2024-01-05", "2024-01-20")
+    until_midnight = F.col("date") <= F.lit("2024-01-20").cast("date")
+    return whole.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(until_midnight).alias("n_midnight"))
 
 
 @query("b3_institution_filter", f"WITH {B.PREPARED} SELECT speech_id, country FROM prepared WHERE country = '2-HIGH'")
@@ -128,6 +129,18 @@ def b12(spark, sf):
     )
 
 
+_FAMILY = {entry[0]: entry[1] for entry in K.METRIC_CATALOG}["speech_count"]
+
+
+@query("b12_unknown_metric", f"""WITH d AS (SELECT event_type AS country, CAST(ts AS DATE) AS date, avg(value) AS value, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT country, date, 'value' AS metric, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS family FROM d
+UNION ALL SELECT country, date, 'speech_count', CAST(n AS DOUBLE), '{_FAMILY}' FROM d""")
+def b12_unknown(spark, sf):
+    events = B.table(spark, sf, "events").select(F.col("event_type").alias("country"), F.col("ts").cast("date").alias("date"), "value")
+    daily = daily_indices(events, means=["value"], impacts=[])
+    return rounded(long_index(daily), "value").select("country", "date", "metric", "value", "family")
+
+
 def _scored_documents(spark, sf):
     scored = B.table(spark, sf, "labels")
     return scored.select(ingest.speech_id(F.col("doc_id")).alias("speech_id"), "quality", "toxic")
@@ -225,8 +238,8 @@ def j1(spark, sf):
 SELECT batch_id, max(event_id) AS event_id, count(*) AS n FROM ledger GROUP BY batch_id""")
 def j1_latest(spark, sf):
     events = B.ledger(spark, sf)
-    latest = ingest.latest_per_key(events.select("batch_id", "event_id", "status"), ["batch_id"], ["event_id"])
-    return latest.drop("status").join(events.groupBy("batch_id").agg(F.count("*").alias("n")), "batch_id")
+    latest = ingest.latest_per_key(events.select("batch_id", "event_id", "status"), ["batch_id"], ["event_id"], count="n")
+    return latest.drop("status")
 
 
 @query("j2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

@@ -155,3 +155,12 @@ def incremental(spark, sf):
         lines.where(delivery).select("raw").write.mode("append").text(inbox)
         collect_responses(spark, inbox, table, checkpoint)
     return spark.read.parquet(table).select("speech_id")
+
+
+@query("l_set_aside", f"WITH {CLASSIFIED} SELECT md5(raw) AS raw_md5, custom_id, reason FROM classified WHERE reason IS NOT NULL")
+def set_aside(spark, sf):
+    """What the stream could not use is kept beside what it could."""
+    inbox, table, checkpoint = (scratch_path(spark, name) for name in ("inbox", "parsed", "stream"))
+    B.responses(spark, sf).select("raw").write.text(inbox)
+    collect_responses(spark, inbox, table, checkpoint)
+    return spark.read.parquet(f"{table}_set_aside").select(F.md5(F.col("raw").cast("binary")).alias("raw_md5"), "custom_id", "reason")

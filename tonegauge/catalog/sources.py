@@ -109,6 +109,14 @@ def a9(spark, sf):
     return spark.read.schema(schema).json(path).select("counts.total", "counts.toxic", "note", F.col("quality.mean").alias("mean_quality"))
 
 
+@query("a9_report_rows", "SELECT quality, count(*) AS total, count(*) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY quality")
+def a9_rows(spark, sf):
+    path = scratch_path(spark, "reports")
+    labels = B.table(spark, sf, "labels")
+    writers.write_report(labels.groupBy("quality").agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("toxic")), path)
+    return spark.read.schema("quality INT, total BIGINT, toxic BIGINT").json(path)
+
+
 @query("a10_required_columns", "SELECT 'o_reviewer' AS missing, count(*) AS orders FROM orders")
 def a10(spark, sf):
     orders = B.table(spark, sf, "orders")

@@ -11,8 +11,11 @@ from tonegauge.catalog.base import query, rounded
 from tonegauge.functions import scoring as S
 from tonegauge.functions import text as X
 from tonegauge.operators import audit, packing, requests
+from tonegauge.plans import jobs
+from tonegauge.session import scratch_path
+from tonegauge.sources import writers
 from tonegauge.operators.parse import classify_responses, flatten_content
-from tonegauge.operators.scoring import envelope_lines, keyword_scorer, score_requests
+from tonegauge.operators.scoring import envelope_lines, keyword_scorer, score_requests, score_with_function
 
 
 def _quoted(text: str) -> str:
@@ -33,7 +36,8 @@ _PROMPT = "concat(" + ", ".join(
     part for literal, slot, _, _ in _PIECES for part in ([_quoted(literal)] if literal else []) + ([_SLOTS[slot]] if slot else [])
 ) + ")"
 _SENT = f"CASE WHEN length(text) // 4 > 8000 THEN concat(substring(text, 1, 32000), {_quoted(K.TRUNCATION_NOTE)}) ELSE text END"
-PROMPT_SQL = f"cut AS (SELECT *, {_SENT} AS sent FROM speeches), prompts AS (SELECT *, {_PROMPT} AS prompt FROM cut)"
+# whole texts; only c3 shows the cut
+PROMPT_SQL = f"cut AS (SELECT *, text AS sent FROM speeches), prompts AS (SELECT *, {_PROMPT} AS prompt FROM cut)"
 _FRAME = json.dumps({
     "custom_id": "", "method": K.REQUEST_METHOD, "url": K.REQUEST_URL,
     "body": {"model": K.MODEL_NAME, "messages": [{"role": "system", "content": K.SYSTEM_MESSAGE}, {"role": "user", "content": ""}],
@@ -55,7 +59,7 @@ def c2(spark, sf):
     return requests.build_requests(B.speeches(spark, sf)).select("custom_id", "tokens")
 
 
-@query("c3_limit_truncation", f"""WITH {B.SPEECHES}, {PROMPT_SQL}
+@query("c3_limit_truncation", f"""WITH {B.SPEECHES}, cut AS (SELECT *, {_SENT} AS sent FROM speeches)
 SELECT speech_id, CAST(length(sent) AS BIGINT) AS sent_length, md5(sent) AS sent_md5, sent <> text AS cut FROM cut""")
 def c3(spark, sf):
     sent = B.speeches(spark, sf).withColumn("sent", X.clip_to_limit(F.col("text")))
@@ -81,7 +85,6 @@ def c5(spark, sf):
 SELECT speech_id AS custom_id, '{K.REQUEST_URL}' AS url, 'user' AS second_role, '{K.RESPONSE_FORMAT}' AS response_format,
   0.0::DOUBLE AS temperature, md5(replace(prompt, sent, text)) AS content_md5 FROM prompts""")
 def c6(spark, sf):
-    # the reduced profile sends texts uncut
     built = requests.build_requests(B.speeches(spark, sf), profile="reduced")
     return built.select(
         "custom_id", "request.url", F.col("request.body.messages")[1]["role"].alias("second_role"),
@@ -143,7 +146,7 @@ SELECT speech_id, score, {_count_sql(UP_TERMS)} AS up, {_count_sql(DOWN_TERMS)}
 FROM scored""")
 def c9_audit(spark, sf):
     speeches = B.speeches(spark, sf)
-    texts = audit.request_texts(requests.build_requests(speeches).select("request.*"))
+    texts = speeches.select("speech_id", F.col("text").alias("speech_text"))
     scored = speeches.select("speech_id", F.expr(_SCORE).alias("score"))
     return audit.assess(scored, texts, "score", hawkish=UP_TERMS, dovish=DOWN_TERMS).select(
         "speech_id", "score", F.size("hawkish_terms").alias("up"), F.size("dovish_terms").alias("down"), "assessment"
@@ -248,3 +251,51 @@ def k1(spark, sf):
     lines = envelope_lines(score_requests(built, keyword_scorer(UP_TERMS, DOWN_TERMS)))
     flat = flatten_content(classify_responses(lines))
     return flat.select("speech_id", "hawkish_dovish_score", "topic_growth", "market_impact_stocks", "summary")
+
+
+@query("k1_user_function", f"WITH {B.SPEECHES}, {PROMPT_SQL} SELECT speech_id, CAST(length(prompt) % 101 AS DOUBLE) AS hawkish_dovish_score FROM prompts")
+def k1_user(spark, sf):
+    def lengths(prompts):
+        return prompts.str.len().map(lambda n: f'{{"hawkish_dovish_score": {n % 101}}}')
+
+    lines = envelope_lines(score_with_function(requests.build_requests(B.speeches(spark, sf)), lengths))
+    return flatten_content(classify_responses(lines)).select("speech_id", "hawkish_dovish_score")
+
+
+_PACKED_LINES = f"""WITH RECURSIVE rows AS (SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+{_chunk_sql('rows', 20_000)} SELECT concat('chunk', CASE WHEN chunk_id < 10 THEN '0' ELSE '' END, CAST(chunk_id AS VARCHAR), '_input') AS chunk_file, count(*) AS lines FROM packed GROUP BY chunk_id"""
+
+
+def _packed_documents(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    rows = docs.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", "text").join(packing.greedy_chunks(rows, ["doc_id"], max_tokens=20_000).select("doc_id", "chunk_id"), "doc_id")
+
+
+@query("a8_packed_folders", _PACKED_LINES)
+def a8_folders(spark, sf):
+    path = scratch_path(spark, "sink")
+    lines = _packed_documents(spark, sf).withColumn("line", F.to_json(F.struct("doc_id", "text")))
+    writers.write_chunks(lines, path, "line", order=["doc_id"])
+    return spark.read.schema("value STRING, chunk_file STRING").text(path).groupBy("chunk_file").agg(F.count("*").alias("lines"))
+
+
+@query("a8_packed_table", _PACKED_LINES)
+def a8_table(spark, sf):
+    path = scratch_path(spark, "sink")
+    writers.write_chunk_table(_packed_documents(spark, sf), path, "text", order=["doc_id"])
+    return spark.read.parquet(path).groupBy("chunk_file").agg(F.count("*").alias("lines"))
+
+
+@query("score_audit", f"""WITH {B.SPEECHES}, s AS (SELECT speech_id, date, country, text, CAST({_SCORE} AS DOUBLE) AS score FROM speeches),
+p AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date, speech_id) - 1 AS place, count(*) OVER (PARTITION BY country) AS n, max(score) OVER (PARTITION BY country) AS hi, min(score) OVER (PARTITION BY country) AS lo FROM s),
+e AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date, speech_id) AS pick FROM p WHERE score = CASE WHEN abs(hi) > abs(lo) THEN hi ELSE lo END),
+m AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5(concat('42:', speech_id)), speech_id) AS pick FROM p WHERE place >= floor(n * 0.2) AND place < floor(n * 0.8)),
+u AS (SELECT 'extreme' AS sample, country, speech_id, score, text FROM e WHERE pick = 1 UNION ALL SELECT 'middle', country, speech_id, score, text FROM m WHERE pick = 1)
+SELECT sample, country, speech_id, score, {_count_sql(UP_TERMS)} AS up, {_count_sql(DOWN_TERMS)} AS down, {_verdict_sql('score', _count_sql(UP_TERMS), _count_sql(DOWN_TERMS))} AS assessment FROM u""")
+def score_audit(spark, sf):
+    speeches = B.speeches(spark, sf)
+    scored = speeches.select("speech_id", "date", "country", F.expr(_SCORE).cast("double").alias("hawkish_dovish_score"))
+    texts = speeches.select("speech_id", F.col("text").alias("speech_text"))
+    found = jobs.score_audit(scored, texts, hawkish=UP_TERMS, dovish=DOWN_TERMS)
+    return found.select("sample", "country", "speech_id", F.col("hawkish_dovish_score").alias("score"), F.size("hawkish_terms").alias("up"), F.size("dovish_terms").alias("down"), "assessment")

@@ -32,7 +32,7 @@ REQUEST_METHOD = "POST"
 REQUEST_URL = "/v1/chat/completions"
 MODEL_NAME = "gpt-4o-2024-08-06"
 RESPONSE_FORMAT = "json_object"
-SYSTEM_MESSAGE = "You are an expert in central bank communication analysis."
+SYSTEM_MESSAGE = "You rate the policy tone of central bank speeches and answer in JSON."
 TEMPERATURE = {"full": 0.3, "reduced": 0.0}
 TEXT_MARKER = "**Speech Text:**"
 TASK_MARKER = "**Your Task:**"

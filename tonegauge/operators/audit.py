@@ -12,7 +12,6 @@ from tonegauge.functions.once import with_columns_once
 from tonegauge.functions.text import excerpt, matched_terms, score_verdict, text_after_marker, until_marker
 from tonegauge.operators.joins import lookup
 from tonegauge.operators.positions import add_positions
-from tonegauge.session import join_sized
 
 
 def request_texts(requests: DataFrame) -> DataFrame:
@@ -46,17 +45,15 @@ def extreme_rows(
 ) -> DataFrame:
     """Per group the row with the larger of |maximum| and |minimum|, the minimum when they are equal.
 
-    Among equal scores the first by ``order_by``: the greatest score of a descending twin would need
-    negated keys, so the first maximum is found as the least (-score, order).
+    Among equal scores the first by ``order_by``. Both ends come from one hash aggregate; only the few rows that
+    have the chosen score are compared by order.
     """
-    row = F.struct(*columns)
     kept = scored.where(F.col(score).isNotNull())
-    ends = kept.groupBy(group).agg(
-        F.min_by(row, F.struct((-F.col(score)).alias("s"), *order_by)).alias("_max"), F.max(score).alias("_hi"),
-        F.min_by(row, F.struct(score, *order_by)).alias("_min"), F.min(score).alias("_lo"),
-    )
-    chosen = F.when(F.abs("_hi") > F.abs("_lo"), F.col("_max")).otherwise(F.col("_min"))
-    return ends.withColumn("_row", chosen).select(group, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    ends = kept.groupBy(F.col(group).alias("_g")).agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"))
+    ends = ends.select("_g", F.when(F.abs("_hi") > F.abs("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("_end"))
+    at_end = kept.join(ends, F.col(group).eqNullSafe(F.col("_g")) & (F.col(score) == F.col("_end")))
+    best = at_end.groupBy(group).agg(F.min_by(F.struct(*columns), F.struct(*order_by)).alias("_row"))
+    return best.select(group, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def middle_rows(
@@ -71,7 +68,7 @@ def middle_rows(
     narrow = scored.select(*dict.fromkeys([group, *order_by, key, *columns]))
     placed = add_positions(narrow, [group, *order_by], name="_at")
     spans = placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    inside = join_sized(placed, spans, group).where(
+    inside = placed.join(spans.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).where(
         (F.col("_at") - F.col("_first") >= F.floor(F.col("_n") * low)) & (F.col("_at") - F.col("_first") < F.floor(F.col("_n") * high))
     )
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))

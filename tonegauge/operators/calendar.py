@@ -74,12 +74,15 @@ def metric_catalog(spark) -> DataFrame:
     )
 
 
-def long_index(index: DataFrame, keys: Sequence[str] = ("country",), count: str = COUNT) -> DataFrame:
-    """One row per key, day and metric, with the metric's catalogue entry."""
+def long_index(index: DataFrame, keys: Sequence[str] = ("country",), count: str = COUNT, catalog: DataFrame | None = None) -> DataFrame:
+    """One row per key, day and metric, with the metric's catalogue entry; NULL entries for metrics it does not know.
+
+    ``catalog`` (see ``metric_catalog``) is as long as there are metrics, that is columns, so it is broadcast.
+    """
     metrics = [*_values(index, keys, count), count]
     doubles = index.withColumns({c: F.col(c).cast("double") for c in metrics})
     long = doubles.unpivot([*keys, "date"], metrics, "metric", "value")
-    return long.join(F.broadcast(metric_catalog(index.sparkSession)), "metric")  # a dozen fixed rows
+    return long.join(F.broadcast(catalog if catalog is not None else metric_catalog(index.sparkSession)), "metric", "left")
 
 
 def calendar_grid(daily: DataFrame, keys: Sequence[str] = ("country",), count: str = COUNT) -> DataFrame:
@@ -92,7 +95,7 @@ def calendar_grid(daily: DataFrame, keys: Sequence[str] = ("country",), count: s
     own = daily.withColumns({c: F.col(c).cast("double") for c in metrics}).unpivot([*keys, "date"], metrics, "metric", "value")
     years = daily.select(*keys, F.year("date").alias("_year")).distinct()
     days = F.sequence(F.make_date("_year", F.lit(1), F.lit(1)), F.make_date("_year", F.lit(12), F.lit(31)), F.expr("INTERVAL 1 DAY"))
-    diverging = F.array(*[F.struct(F.lit(m[0]).alias("metric"), F.lit(m[2]).alias("neutral")) for m in K.METRIC_CATALOG if m[2] is not None and m[0] in metrics])
+    diverging = F.array(*[F.struct(F.lit(m[0]).alias("metric"), F.lit(m[2]).alias("neutral")) for m in K.METRIC_CATALOG if m[2] is not None and m[0] in metrics]).cast("array<struct<metric: string, neutral: double>>")
     grid = years.select(*keys, F.explode(days).alias("date")).select(*keys, "date", F.explode(diverging).alias("_m"))
     grid = grid.select(*keys, "date", "_m.metric", F.col("_m.neutral").alias("value"))
     lifted = F.when((F.col("value") == 0) & (F.startswith("metric", F.lit("topic_")) | F.col("metric").isin("uncertainty", "forward_guidance_strength")), F.lit(K.ZERO_DISPLAY_VALUE)).otherwise(F.col("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def require_columns(df: DataFrame, required: Sequence[str], name: str = "DataFrame") -> bool:
     missing = sorted(missing_columns(df, required))
     if missing:
-        raise ValueError(f"{name} is missing required columns: {missing}\nAvailable columns: {df.columns}")
+        raise ValueError(f"{name}: no columns {missing} among {df.columns}")
     return True
 
 

@@ -13,13 +13,22 @@ from tonegauge.operators.contracts import resolve_column
 
 def sample_years(
     df: DataFrame, start_year: int, end_year: int,
-    institution: str | None = None, institution_column: str = "institution",
+    institution: str | None = None, institution_column: str = "institution", skip_unknown: bool = False,
 ) -> DataFrame:
-    """Rows of the years ``start_year`` to ``end_year``; the institution filter needs its column to exist."""
-    if "year" not in df.columns:
-        df = df.withColumn("year", F.year("date"))
-    kept = df.where(F.col("year").between(start_year, end_year))
-    if institution and institution_column in df.columns:
+    """Rows of the years ``start_year`` to ``end_year``. An institution filter on a column that is absent is an error,
+    unless ``skip_unknown`` asks to do without it.
+
+    A table without a ``year`` column gets one; its bounds then compare the date itself, so they reach the scan.
+    """
+    if "year" in df.columns:
+        kept = df.where(F.col("year").between(start_year, end_year))
+    else:
+        stamp, first = F.col("date"), lambda year: F.lit(f"{year:04d}-01-01").cast("date")
+        kept = df.where((stamp >= first(start_year)) & (stamp < first(end_year + 1))).withColumn("year", F.year("date"))
+    if institution and institution_column not in df.columns:
+        if not skip_unknown:
+            raise ValueError(f"no column {institution_column} to find {institution} in")
+    elif institution:
         kept = kept.where(F.col(institution_column) == institution)
     return kept
 
@@ -88,8 +97,14 @@ def union_chunks(parts: Sequence[DataFrame]) -> DataFrame:
     return first
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """One row per key, the greatest by ``order_by``: a map-side combined aggregate, no window sort."""
-    others = [c for c in df.columns if c not in keys]
-    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order_by)).alias("_row"))
-    return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*df.columns)
+def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str] | None = None, count: str | None = None) -> DataFrame:
+    """One row per key, the greatest by ``order_by``, with ``columns`` (all by default) and the number of rows as ``count``.
+
+    A map-side combined aggregate over structs, which Spark sorts by key: name the columns that are needed.
+    """
+    wanted = list(df.columns if columns is None else columns)
+    others = [c for c in wanted if c not in keys]
+    rows = F.count("*").alias("_count")
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order_by)).alias("_row"), *([rows] if count else []))
+    found = latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others], *([F.col("_count").alias(count)] if count else []))
+    return found.select(*wanted, *([count] if count else []))

@@ -36,7 +36,11 @@ def join_by_key(speeches: DataFrame, results: DataFrame, key: str = "speech_id")
 
 
 def lookup(sample: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join of a sample to its source; ``found`` tells a missing row from an empty one."""
+    """Left join of a sample to its source; ``found`` tells a missing row from an empty one.
+
+    The table is first reduced to the sample's keys, so a small sample can be sent to a large table, not the reverse.
+    """
+    table = table.join(sample.select(key).distinct(), key, "left_semi")
     return sample.join(table.withColumn("_hit", F.lit(True)), key, "left").withColumn(
         "found", F.coalesce("_hit", F.lit(False))
     ).drop("_hit")

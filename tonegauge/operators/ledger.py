@@ -23,16 +23,15 @@ def with_previous_batch(
     place = F.struct(*order_by)
     kept = events.where(~F.col(key).startswith("_"))
     others = [c for c in events.columns if c != key]
-    latest = kept.groupBy(key).agg(F.max_by(F.struct(*others), place).alias("_row"))
-    # one row per chunk and batch before the join, however many events a chunk has
-    batches = kept.where(F.col(batch).isNotNull()).groupBy(key, batch).agg(F.max(place).alias("_place"))
-    current = latest.select(key, F.col(f"_row.{batch}").alias("_current"))
-    replaced = (
-        batches.join(current, key).where(F.col(batch) != F.col("_current"))
-        .groupBy(key).agg(F.max_by(batch, "_place").alias("previous_batch_id"))
+    # one reduction of the events, to the latest row of each chunk and batch; the rest works on that
+    batches = kept.groupBy(key, batch).agg(F.max(place).alias("_place"), F.max_by(F.struct(*[c for c in others if c != batch]), place).alias("_row"))
+    per_key = batches.groupBy(key).agg(
+        F.max_by(F.struct(batch, "_row"), "_place").alias("_last"),
+        F.sort_array(F.collect_list(F.when(F.col(batch).isNotNull(), F.struct("_place", batch))), asc=False).alias("_batches"),
     )
-    return latest.join(replaced, key, "left").select(
-        key, *[F.col(f"_row.{c}").alias(c) for c in others if c not in ("previous_batch_id", "resubmitted")],
+    earlier = F.filter("_batches", lambda b: b[batch] != F.col(f"_last.{batch}"))
+    return per_key.withColumn("previous_batch_id", F.get(earlier, F.lit(0))[batch]).select(
+        key, F.col(f"_last.{batch}").alias(batch), *[F.col(f"_last._row.{c}").alias(c) for c in others if c not in (batch, "previous_batch_id", "resubmitted")],
         "previous_batch_id", F.col("previous_batch_id").isNotNull().alias("resubmitted"),
     )
 

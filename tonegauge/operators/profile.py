@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
-from tonegauge.operators.quantiles import BUFFER_VALUES, bracketed_quantiles, fits_buffer
+from tonegauge.operators.quantiles import exact_quantiles
 from tonegauge.session import cut_lineage
 
 
@@ -59,18 +59,24 @@ def date_span(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def month_crosstab(df: DataFrame, group: str = "country", date: str = "date") -> DataFrame:
-    """Long crosstab with margins: ``Total`` marks a margin; only cells with rows appear."""
+    """Long crosstab with margins; only cells with rows appear.
+
+    ``Total`` labels a margin, and ``all_months`` and ``all_groups`` mark it, so a group named ``Total`` stays apart.
+    """
     label = lambda c: F.when(F.grouping(c) == 1, F.lit("Total")).otherwise(F.col(c))
     cells = month_counts(df, date, [group]).withColumn("month", F.date_format("month", "yyyy-MM"))
     return cells.where(F.col(group).isNotNull()).cube("month", group).agg(
-        F.sum("count").alias("count"), label("month").alias("_m"), label(group).alias("_g")
-    ).select(F.col("_m").alias("month"), F.col("_g").alias(group), "count")
+        F.sum("count").alias("count"), label("month").alias("_m"), label(group).alias("_g"),
+        (F.grouping("month") == 1).alias("all_months"), (F.grouping(group) == 1).alias("all_groups"),
+    ).select(F.col("_m").alias("month"), F.col("_g").alias(group), "count", "all_months", "all_groups")
 
 
 def month_crosstab_wide(df: DataFrame, groups: Sequence[str], group: str = "country", date: str = "date") -> DataFrame:
     """Wide crosstab: one column per group and ``Total``, a ``Total`` row, 0 where there are no rows."""
     long = month_crosstab(df, group, date)
-    return long.groupBy("month").pivot(group, [*groups, "Total"]).agg(F.sum("count")).fillna(0)
+    cell = lambda test: F.coalesce(F.sum(F.when(test, F.col("count"))), F.lit(0))
+    own = [cell(~F.col("all_groups") & (F.col(group) == name)).alias(name) for name in groups if name != "Total"]
+    return long.groupBy("month").agg(*own, cell(F.col("all_groups")).alias("Total"))
 
 
 def busy_days(df: DataFrame, group: str = "country", date: str = "date", more_than: int = 1) -> DataFrame:
@@ -101,12 +107,13 @@ def distinct_dates(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def describe_by_group(
-    df: DataFrame, metrics: Sequence[str] = K.MEAN_METRICS, group: str = "country", buffer_values: int = BUFFER_VALUES,
+    df: DataFrame, metrics: Sequence[str] = K.MEAN_METRICS, group: str = "country",
 ) -> DataFrame:
     """Rows, mean, sample deviation, minimum, quartiles and maximum per metric: OVERALL and per group.
 
-    ``rows`` counts all rows of the group, also those whose metric is NULL. All metrics are reduced
-    in one pass over grouping sets; quartiles of more than ``buffer_values`` values come from brackets.
+    ``rows`` counts all rows of the group, also those whose metric is NULL. ``is_total`` marks the rows
+    of all groups together, so a group that bears their label stays apart. All metrics are reduced in one
+    pass over grouping sets; quartiles are picked by rank from folded counts.
     """
     points = [0.25, 0.5, 0.75]
     values = df.select(F.col(group).alias("_g"), *[F.col(m).cast("double").alias(m) for m in metrics])
@@ -117,20 +124,17 @@ def describe_by_group(
     ).where((F.col("_all") == 1) | F.col("_g").isNotNull())
     stats = [F.struct(F.lit(m).alias("metric"), *[F.col(f"{name}_{m}").alias(name) for name in aggregates]) for m in metrics]
     label = F.when(F.col("_all") == 1, F.lit("OVERALL")).otherwise(F.col("_g"))
-    moments = sets.select(label.alias("group"), "rows", F.inline(F.array(*stats)))
+    moments = sets.select(label.alias("group"), (F.col("_all") == 1).alias("is_total"), "rows", F.inline(F.array(*stats)))
 
     long = values.unpivot(["_g"], list(metrics), "metric", "value")
-    labels = F.explode(F.array_compact(F.array(F.lit("OVERALL"), F.col("_g")))).alias("group")
-    if fits_buffer(df, metrics, buffer_values):
-        # equal values fold before they are copied for OVERALL and before they meet in a buffer
-        folded = long.where(F.col("value").isNotNull()).groupBy("_g", "metric", "value").agg(_rows().alias("_c"))
-        quartiles = folded.select(labels, "metric", "value", "_c").groupBy("group", "metric").agg(
-            F.percentile("value", points, F.col("_c")).alias("_q")
-        ).select("group", "metric", *[F.col("_q")[i].alias(f"q_{i}") for i in range(3)])
-    else:
-        quartiles = bracketed_quantiles(long.select(labels, "metric", "value"), ["group", "metric"], "value", points)
-    return moments.join(quartiles, ["group", "metric"], "left").select(
-        "group", "metric", "rows", "mean", "std", "min",
+    # equal values fold before they are copied for all groups together
+    folded = long.where(F.col("value").isNotNull()).groupBy("_g", "metric", "value").agg(_rows().alias("_c"))
+    own = F.struct(F.col("_g").alias("group"), F.lit(False).alias("is_total"))
+    labels = F.array(F.struct(F.lit("OVERALL").alias("group"), F.lit(True).alias("is_total")), own)
+    spread = folded.select(F.explode(labels).alias("_l"), "metric", "value", "_c").where("_l.group IS NOT NULL")
+    quartiles = exact_quantiles(spread.select("_l.group", "_l.is_total", "metric", "value", "_c"), ["group", "is_total", "metric"], "value", points, "_c")
+    return moments.join(quartiles, ["group", "is_total", "metric"], "left").select(
+        "group", "is_total", "metric", "rows", "mean", "std", "min",
         F.col("q_0").alias("p25"), F.col("q_1").alias("p50"), F.col("q_2").alias("p75"), "max",
     )
 
@@ -180,13 +184,11 @@ def invalid_dates(coerced: DataFrame, column: str = "date") -> DataFrame:
 
 def score_distribution(
     df: DataFrame, metrics: Sequence[str] = ("hawkish_dovish_score", "uncertainty", "forward_guidance_strength"),
-    buffer_values: int = BUFFER_VALUES,
 ) -> DataFrame:
     """Mean, median, deviation, range and stance buckets per metric; NULLs are dropped.
 
     Buckets are filled for the first metric only.
     """
-    small = fits_buffer(df, metrics, buffer_values)
     long = df.select(F.lit(0).alias("_all"), *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
         ["_all"], list(metrics), "metric", "value"
     ).where(F.col("value").isNotNull()).drop("_all")
@@ -197,11 +199,10 @@ def score_distribution(
     }
     moments = long.groupBy("metric").agg(
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[F.count_if(test).alias(name) for name, test in bucket.items()], *([F.median(v).alias("median")] if small else []),
+        *[F.count_if(test).alias(name) for name, test in bucket.items()],
     )
-    if not small:
-        medians = bracketed_quantiles(long, ["metric"], "value", [0.5])
-        moments = moments.join(medians.withColumnRenamed("q_0", "median"), "metric")
+    medians = exact_quantiles(long, ["metric"], "value", [0.5])
+    moments = moments.join(medians.withColumnRenamed("q_0", "median"), "metric", "left")
     first = F.col("metric") == metrics[0]
     return moments.select(
         "metric", "mean", "median", "std", "min", "max", *[F.when(first, F.col(name)).alias(name) for name in bucket]

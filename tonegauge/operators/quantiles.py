@@ -1,9 +1,8 @@
-"""Exact interpolated quantiles at any group size.
+"""Exact interpolated quantiles, one way for every size.
 
-Spark's exact ``percentile`` keeps a group's distinct values in one aggregation buffer. That is the
-fast way while counted rows or values bound that buffer, as scores from 0 to 100 do; beyond, a mergeable sketch brackets every wanted
-rank and a second pass counts what lies below the bracket and ranks only the values inside it, about
-a thousandth of a large group.
+Equal values fold to one row with a count. The folded rows are range-partitioned on group and value, so a group of any
+size is spread over many slices; running counts inside the slices and the few totals of (slice, group) pieces give every
+row its rank, and the rows that cover the wanted ranks are picked where they lie.
 """
 
 from __future__ import annotations
@@ -13,65 +12,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegauge.session import join_sized
+from tonegauge.operators.positions import SLICE, ordered_slices
+from tonegauge.session import settle
 
-ACCURACY = 10_000  # the sketch is off by at most 1/ACCURACY of a group's rows
-MARGIN = 0.0005
-SMALL_GROUP = 10_000  # below this the bracket is the whole group, so MARGIN always covers one row
 
-
-BUFFER_VALUES = 1_000_000  # most distinct values that ``percentile`` may hold per group
-
-
-def fits_buffer(df: DataFrame, columns: Sequence[str], limit: int = BUFFER_VALUES) -> bool:
-    """Do few rows, or few distinct values in each column, bound the buffers? Two cheap scans at most."""
-    if df.count() <= limit:
-        return True
-    distinct = df.agg(F.greatest(*[F.approx_count_distinct(c) for c in columns], F.lit(0))).first()[0]
-    return distinct <= limit
+def _same(keys: Sequence[str], left: str, right: str) -> Column:
+    on = F.lit(True)
+    for key in keys:
+        on = on & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+    return on
 
 
-def bracketed_quantiles(values: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+def exact_quantiles(values: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], count: str | None = None) -> DataFrame:
     """One row per group with columns ``q_0``, ``q_1`` ... (linear interpolation between neighbours).
 
-    ``values`` is a long frame of group keys and one DOUBLE; NULL and NaN values are left out.
+    ``values`` is a long frame of group keys and one number, with ``count`` equal rows each if that is given; NULL and
+    NaN values are left out. A rank that no row covers is an error.
     """
-    clean = values.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    points = [bound for p in probabilities for bound in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    sketch = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", points, ACCURACY).alias("_points"),
+    keys = list(keys)
+    clean = values.select(*keys, F.col(value).cast("double").alias("_v"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("_c"))
+    clean = clean.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    folded = clean.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    # the range bounds are sampled, so the slices are kept before several readers rely on them
+    sliced = settle(ordered_slices(folded, [*keys, "_v"]).select(*keys, "_v", "_c", SLICE), "folded")
+    inside = Window.partitionBy(SLICE).orderBy(*keys, "_v").rowsBetween(Window.unboundedPreceding, 0)
+    running = sliced.withColumn("_upto", F.sum("_c").over(inside))
+    # a piece is what one slice has of one group: as few as slices and groups together
+    pieces = running.groupBy(SLICE, *keys).agg(F.sum("_c").alias("_n"), F.max("_upto").alias("_end"))
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(SLICE).agg(F.sum("_c").alias("_rows")).select(SLICE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    begun = pieces.join(F.broadcast(totals), SLICE)  # one row per slice
+    groups = begun.groupBy(*keys).agg(F.min(F.col("_start") + F.col("_end") - F.col("_n")).alias("_first"), F.sum("_n").alias("_size"))
+    placed = begun.alias("b").join(groups.alias("g"), _same(keys, "b", "g")).select(f"b.{SLICE}", *[f"b.{k}" for k in keys], "_start", "_first", "_size")
+    rows = running.alias("r").join(placed.alias("p"), (F.col(f"r.{SLICE}") == F.col(f"p.{SLICE}")) & _same(keys, "r", "p")).select(
+        *[f"r.{k}" for k in keys], "_v", "_c", (F.col("_start") + F.col("_upto") - F.col("_first")).alias("_upto"), "_size"
     )
-    small = F.col("_n") < SMALL_GROUP
 
-    def bracket(number: int, p: float) -> Column:
-        low = F.when(small | F.lit(p - MARGIN <= 0), F.col("_min")).otherwise(F.col("_points")[2 * number])
-        high = F.when(small | F.lit(p + MARGIN >= 1), F.col("_max")).otherwise(F.col("_points")[2 * number + 1])
-        rank = F.lit(p) * (F.col("_n") - 1)
-        return F.struct(F.lit(number).alias("p"), low.alias("low"), high.alias("high"), rank.alias("rank"))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank), F.col("_v")))
 
-    brackets = sketch.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.array(*[bracket(i, p) for i, p in enumerate(probabilities)]).alias("_brackets"),
-    )
-    on = F.lit(True)
-    for i, key in enumerate(keys):
-        on = on & F.col(key).eqNullSafe(F.col(f"_k{i}"))
-    pieces = join_sized(clean, brackets, on).drop(*[f"_k{i}" for i in range(len(keys))]).select(*keys, "_v", F.explode("_brackets").alias("_b"))
-    inside = pieces.where(F.col("_v") <= F.col("_b.high")).groupBy(
-        *keys, F.col("_b.p").alias("_p"), F.col("_b.rank").alias("_rank"),
-        F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"),  # all rows below fold into one NULL row
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(*keys, "_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_upto", F.sum("_c").over(order))
-    lower, upper = F.floor("_rank"), F.ceil("_rank")
-    covers = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-    per_point = ranked.groupBy(*keys, "_p").agg(
-        F.max("_rank").alias("_rank"),
-        F.max(F.when(covers(lower), F.col("_v"))).alias("_lo"), F.max(F.when(covers(upper), F.col("_v"))).alias("_hi"),
-    )
-    share = F.col("_rank") - F.floor("_rank")
-    quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share
-    return per_point.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_p") == i, quantile)).alias(f"q_{i}") for i in range(len(probabilities))]
-    )
+    ranks = [F.lit(float(p)) * (F.col("_size") - 1) for p in probabilities]
+    ends = [at(edge).alias(f"_{name}{i}") for i, rank in enumerate(ranks) for name, edge in (("lo", F.floor(rank)), ("hi", F.ceil(rank)))]
+    found = rows.groupBy(*keys).agg(F.max("_size").alias("_size"), *ends)
+
+    def between(i: int, rank: Column) -> Column:
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        missing = F.raise_error(F.lit("no row covers the rank of a quantile")).cast("double")
+        # equal neighbours are returned as they are: infinite values have no difference
+        return F.when(low.isNull() | high.isNull(), missing).when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
+
+    return found.select(*keys, *[between(i, rank).alias(f"q_{i}") for i, rank in enumerate(ranks)])

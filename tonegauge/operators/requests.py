@@ -86,23 +86,25 @@ def serialized_length(
 def build_requests(
     speeches: DataFrame, template: str = DEFAULT_TEMPLATE, profile: str = "full", id_column: str = "speech_id",
     text_column: str = "text", speaker_column: str = "author", institution_column: str = "country",
-    date_column: str = "date", model: str = K.MODEL_NAME, keep: Sequence[str] = (),
+    date_column: str = "date", model: str = K.MODEL_NAME, keep: Sequence[str] = (), max_text_tokens: int | None = None,
 ) -> DataFrame:
     """One request per speech with its token counts; rows without text belong to ``without_text``.
 
     ``keep`` names columns to carry along, such as those that order the requests.
 
-    The full profile cuts long texts and names missing speakers ``Unknown``; the reduced one does neither.
+    Missing speakers are named ``Unknown``. Texts are sent whole, unless ``max_text_tokens`` asks to cut those that are
+    longer. Tokens are counted on the line with every non-ASCII character escaped, as the packing's budget means it; the
+    lines are written unescaped and are no longer than that.
     """
     text = F.col(text_column)
     speaker = F.coalesce(F.col(speaker_column), F.lit("Unknown"))
     institution = F.coalesce(F.col(institution_column), F.lit("Unknown"))
     date = F.coalesce(F.col(date_column).cast("string"), F.lit("Unknown"))
-    sent = clip_to_limit(text) if profile == "full" else text
+    sent = text if max_text_tokens is None else clip_to_limit(text, max_text_tokens)
     slotted = speeches.where(text.isNotNull()).select(
         F.col(id_column).alias("custom_id"), sent.alias("_text"), speaker.alias("_speaker"),
         institution.alias("_institution"), date.alias("_date"),
-        (token_estimate(text) > K.MAX_TEXT_TOKENS).alias("over_limit"), *keep,
+        (token_estimate(text) > (K.MAX_TEXT_TOKENS if max_text_tokens is None else max_text_tokens)).alias("over_limit"), *keep,
     )
     slots = [F.col(name) for name in ("_text", "_speaker", "_institution", "_date")]
     rendered = slotted.select(

@@ -1,39 +1,49 @@
 """The scoring stage as a plug-in: requests in, response envelopes out.
 
-A scorer is any function from a pandas Series of prompts to a Series of JSON answers. It sees Arrow
-batches inside the tasks; partitioning, retries and the envelope are Spark's and this module's part.
+A scorer is a function from the prompt column to a column of JSON answers; it stays in the JVM. A user's function
+over pandas Series of prompts is taken by ``score_with_function`` and sees Arrow batches inside the tasks.
 """
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.constants import DOVISH_TERMS, HAWKISH_TERMS, SCORE_RANGE, TASK_MARKER, TEXT_MARKER, TOPIC_FIELDS
+from tonegauge.functions.text import matched_terms
 
 # the task-side functions travel with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-Scorer = Callable[[pd.Series], pd.Series]
+Scorer = Callable[[Column], Column]
+BatchScorer = Callable[[pd.Series], pd.Series]
+
+
+def _envelopes(answered: DataFrame) -> DataFrame:
+    choice = F.struct(F.struct(F.col("answer").alias("content")).alias("message"))
+    response = F.struct(F.lit(200).alias("status_code"), F.struct(F.array(choice).alias("choices")).alias("body"))
+    return answered.select("custom_id", response.alias("response"))
 
 
 def score_requests(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """One response envelope per request; expects columns ``custom_id`` and ``prompt``."""
+    return _envelopes(requests.select("custom_id", scorer(F.col("prompt")).alias("answer")))
+
+
+def score_with_function(requests: DataFrame, scorer: BatchScorer) -> DataFrame:
+    """Like ``score_requests``, with a Python function over batches of prompts."""
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"custom_id": pdf["custom_id"], "answer": scorer(pdf["prompt"])})
 
     answered = requests.select("custom_id", "prompt").mapInPandas(answer, "custom_id string, answer string")
-    choice = F.struct(F.struct(F.col("answer").alias("content")).alias("message"))
-    response = F.struct(F.lit(200).alias("status_code"), F.struct(F.array(choice).alias("choices")).alias("body"))
-    return answered.select("custom_id", response.alias("response"))
+    return _envelopes(answered)
 
 
 def envelope_lines(envelopes: DataFrame) -> DataFrame:
@@ -46,26 +56,20 @@ def keyword_scorer(
 ) -> Scorer:
     """Deterministic stand-in for a model: ``step`` points per distinct term, clipped to the score range."""
 
-    def hits(texts: pd.Series, terms: tuple[str, ...]) -> pd.Series:
-        return sum((texts.str.contains(term, regex=False).astype(int) for term in terms), start=pd.Series(0, index=texts.index))
-
-    def score(prompts: pd.Series) -> pd.Series:
-        texts = prompts.str.partition(start)[2].str.partition(end)[0].str.lower()
-        up, down = hits(texts, hawkish), hits(texts, dovish)
-        scores = ((up - down) * step).clip(*SCORE_RANGE)
-        return pd.Series([_answer(int(s), int(u), int(d)) for s, u, d in zip(scores, up, down)], index=prompts.index)
+    def score(prompt: Column) -> Column:
+        # between the first start marker and the first end marker after it; nothing without the start
+        behind = F.when(F.contains(prompt, F.lit(start)), F.substring(prompt, F.locate(start, prompt) + F.lit(len(start)), F.length(prompt)))
+        text = F.coalesce(F.substring_index(behind, end, 1), F.lit(""))
+        up, down = (F.size(matched_terms(text, terms)) for terms in (hawkish, dovish))
+        points = F.least(F.greatest((up - down) * step, F.lit(SCORE_RANGE[0])), F.lit(SCORE_RANGE[1])).cast("int")
+        move = F.when(points == 0, "neutral").when(points > 0, "rise").otherwise("fall")
+        topic = F.least(F.lit(100), 10 * (up + down))
+        return F.to_json(F.struct(
+            points.alias("hawkish_dovish_score"), F.struct(*[topic.alias(field) for field in TOPIC_FIELDS]).alias("topics"),
+            F.lit(50).alias("uncertainty"), F.least(F.lit(100), 10 * up).alias("forward_guidance_strength"),
+            F.array(F.concat(up.cast("string"), F.lit(" hawkish and "), down.cast("string"), F.lit(" dovish terms"))).alias("key_sentences"),
+            F.struct(move.alias("stocks"), move.alias("bonds"), move.alias("currency"), F.lit("keyword balance").alias("reasoning")).alias("market_impact"),
+            F.concat(F.lit("Keyword balance "), (up - down).cast("string")).alias("summary"),
+        ))
 
     return score
-
-
-def _answer(score: int, up: int, down: int) -> str:
-    move = "neutral" if score == 0 else "rise" if score > 0 else "fall"
-    return json.dumps({
-        "hawkish_dovish_score": score,
-        "topics": {field: min(100, 10 * (up + down)) for field in TOPIC_FIELDS},
-        "uncertainty": 50,
-        "forward_guidance_strength": min(100, 10 * up),
-        "key_sentences": [f"{up} hawkish and {down} dovish terms"],
-        "market_impact": {"stocks": move, "bonds": move, "currency": move, "reasoning": "keyword balance"},
-        "summary": f"Keyword balance {up - down}",
-    })

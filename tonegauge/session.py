@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -62,14 +61,3 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 50_000) -> DataFrame:
-    """Join to a per-group table: broadcast once its counted size allows it, else a shuffled join.
-
-    Without the check the plan would shuffle the big side by a group key before adaptive execution
-    has seen how small the other side is.
-    """
-    kept = cut_lineage(small)
-    fits = kept.count() <= max_rows
-    return big.join(broadcast(kept) if fits else kept, on, how)

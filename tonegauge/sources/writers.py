@@ -38,6 +38,16 @@ def write_chunks(df: DataFrame, path: str, line: str = "request", chunk_id: str
     )
 
 
+def write_chunk_table(df: DataFrame, path: str, line: str = "request", chunk_id: str = "chunk_id", order: Sequence[str] = ("row_index",)) -> None:
+    """All chunks in one Parquet table, many to a file: chunk_id, its name, and the lines in request order.
+
+    Rows are range-partitioned on chunk and order, so neither the number of chunks nor the size of one decides how
+    many files or tasks there are; ``write_chunks`` is for readers that want a folder for each chunk.
+    """
+    named = df.select(F.col(chunk_id).alias("chunk_id"), chunk_file_name(F.col(chunk_id)).alias("chunk_file"), F.col(line).alias("line"), *order)
+    named.repartitionByRange("chunk_id", *order).sortWithinPartitions("chunk_id", *order).drop(*order).write.mode("overwrite").parquet(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
-    """A one-row frame of nested statistics as a JSON document that keeps NULL fields."""
-    report.limit(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Nested statistics as JSON documents, one for each row, that keep NULL fields."""
+    report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

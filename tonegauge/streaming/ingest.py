@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegauge.operators.parse import classify_responses, flatten_content, usable
+from tonegauge.operators.parse import classify_responses, flatten_content, quarantine, usable
 
 
 def response_stream(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFrame:
@@ -16,17 +16,25 @@ def response_stream(spark: SparkSession, inbox: str, max_files: int = 1000) -> D
 
 
 def parsed_stream(lines: DataFrame, profile: str = "full") -> DataFrame:
-    """Stateless: every line is parsed, flattened or left out on its own."""
+    """Stateless: every line is parsed and flattened on its own; ``collect_responses`` keeps the others too."""
     return flatten_content(usable(classify_responses(lines, profile=profile)), profile)
 
 
 def collect_responses(
     spark: SparkSession, inbox: str, table: str, checkpoint: str, profile: str = "full", max_files: int = 1000,
+    set_aside: str | None = None,
 ) -> None:
     """Append everything new in ``inbox`` to the Parquet table, then stop.
 
-    The Parquet sink's commit log and the checkpoint make each file count exactly once.
+    The Parquet sink's commit log and the checkpoint make each file count exactly once. Lines that cannot be used are
+    appended to the table ``set_aside`` (by default beside the first) by a second stream with a checkpoint of its own.
     """
+    aside = quarantine(classify_responses(response_stream(spark, inbox, max_files), profile=profile))
+    (
+        aside.writeStream.format("parquet").option("path", set_aside or f"{table.rstrip('/')}_set_aside")
+        .option("checkpointLocation", f"{checkpoint.rstrip('/')}_set_aside").outputMode("append").trigger(availableNow=True)
+        .start().awaitTermination()
+    )
     writer = (
         parsed_stream(response_stream(spark, inbox, max_files), profile)
         .writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
