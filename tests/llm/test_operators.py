@@ -54,7 +54,7 @@ def plain_article(page):
 
 
 PAGE = (
-    '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>'
+    '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>'
     '<div class="ad">Buy now</div><article><h1>{0}</h1><p>{1} &amp; more<br>after</p><p><b>{1}</article><footer>&copy; site</footer></body></html>'
 )
 
