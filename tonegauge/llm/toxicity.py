@@ -25,19 +25,10 @@ SECOND_PERSONS = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 PREFIXES = (4, 5, 6)
 TOKEN = regex.compile(r"[\p{L}\p{N}@$!|*]*\p{L}[\p{L}\p{N}@$!|*]*")
-SPELLED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}(?:[ .\-_*]\p{L}){2,}(?![\p{L}\p{N}])")
 TRIM = "!*|@$"
 NEAR = 5
 
 
-@dataclasses.dataclass
-class ToxicModel:
-    lexicon: dict[str, float]
-    trees: boosting.Boosted
-    knots: tuple[np.ndarray, np.ndarray]
-    persons: frozenset[str]
-
-
 def plain(token: str) -> str:
     """A token in lower case with substituted letters put back and letters repeated over twice reduced."""
     low = token.lower().strip(TRIM)
@@ -65,55 +56,97 @@ def learn_lexicon(counts: DataFrame, toxic: int, other: int, entries: int = 1000
     return {row["entry"]: row["odds"] for row in rows}
 
 
-def features(text: str | None, lexicon: dict[str, float], persons: frozenset[str]) -> list[float]:
-    """Dense features of a whole text; all zero for an empty one."""
-    value = text or ""
-    size = max(1, len(value))
-    raw = TOKEN.findall(value)
-    spelled = SPELLED.findall(value)
-    seen: dict[str, float] = {}
-    hits, where, near, changed, weights = 0, -10 * NEAR, 0, 0, []
-    last_person = -10 * NEAR
-    count = max(1, len(raw))
-    for i, token in enumerate([*raw, *(regex.sub(r"[^\p{L}]", "", s) for s in spelled)]):
-        weight = seen.get(token)
-        if weight is None:
-            word = plain(token)
-            weight = max([lexicon.get(word, 0.0), *(lexicon.get(word[:n] + "*", 0.0) for n in PREFIXES if len(word) > n)])
-            if word in persons:
-                weight = -1.0
-            elif weight and word != token.lower():
-                weight += 100.0  # found only after its letters were put back
-            seen[token] = weight
-        if weight == -1.0:
-            last_person = i
-            near += i - where <= NEAR
-        elif weight:
-            hits += 1
-            if weight >= 100:
-                changed += 1
-                weight -= 100
-            weights.append(weight)
-            near += i - last_person <= NEAR
-            where = i
-    upper = sum(map(str.isupper, value)) if not value.islower() else 0
-    shouted = sum(1 for t in raw if len(t) > 2 and t.isupper())
-    marks = value.count("!") + value.count("?")
-    top = sorted(weights, reverse=True)[:3]
-    return [
-        hits / count, math.log1p(hits), sum(weights) / count, sum(weights), top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, top[2] if len(top) > 2 else 0.0,
-        near / count, float(near), changed / count, float(len(spelled)) / count, upper / size, shouted / count, marks / size, value.count("!!") / size, math.log1p(count),
-    ]
+class Reader:
+    """Dense features of texts. What a token adds is worked out once and kept in a bounded table."""
+
+    #: Columns of the token table: hit weight, hit after its letters were put back, person, capitals, shouted, marks, double marks, one letter.
+    WIDTH = 8
+
+    def __init__(self, lexicon: dict[str, float], persons: frozenset[str], most: int = 200_000):
+        self.lexicon, self.persons, self.most = lexicon, persons, most
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, self.WIDTH), np.float32)
+
+    def weight(self, word: str) -> float:
+        best = self.lexicon.get(word, 0.0)
+        for n in PREFIXES:
+            if len(word) > n:
+                best = max(best, self.lexicon.get(word[:n] + "*", 0.0))
+        return best
+
+    def add(self, token: str) -> int:
+        """Number of a token not seen before."""
+        number = len(self.known)
+        if number == len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        row = self.table[number]
+        row[:] = 0
+        body = token.rstrip(".,;:")
+        if body.isalpha() and body.islower():
+            row[0], row[2], row[7] = self.weight(body), body in self.persons, len(body) == 1
+        else:
+            for part in TOKEN.findall(body):
+                word = plain(part)
+                found = self.weight(word)
+                if found > row[0]:
+                    row[0], row[1] = found, word != part.lower()
+                row[2] = max(row[2], word in self.persons)
+            letters = [c for c in body if c.isalpha()]
+            row[3], row[4] = sum(map(str.isupper, body)), len(letters) > 2 and all(map(str.isupper, letters))
+            row[5], row[6], row[7] = token.count("!") + token.count("?"), token.count("!!"), len(letters) == 1
+        self.known[token] = number
+        return number
+
+    def spelled(self, tokens: list[str], single: np.ndarray) -> list[str]:
+        """Words written as three or more single letters."""
+        places = np.flatnonzero(single)
+        runs = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+        return [plain("".join(c for i in run for c in tokens[i] if c.isalpha())) for run in runs if len(run) >= 3]
+
+    def features(self, text: str | None) -> list[float]:
+        """All zero for a text without words."""
+        tokens = (text or "").split()
+        if not tokens:
+            return [0.0] * 16
+        if len(self.known) + len(tokens) > self.most + 100_000:
+            self.known.clear()
+        get, add = self.known.get, self.add
+        numbers = [n if (n := get(t)) is not None else add(t) for t in tokens]
+        rows = self.table[numbers]
+        sums = rows.sum(axis=0, dtype=np.float64)
+        hits = np.flatnonzero(rows[:, 0])
+        weights = rows[hits, 0].tolist()
+        near = 0
+        if len(hits) and sums[2]:
+            persons = np.flatnonzero(rows[:, 2])
+            near = int((np.searchsorted(persons, hits + NEAR, "right") > np.searchsorted(persons, hits - NEAR)).sum())
+        spelled = self.spelled(tokens, rows[:, 7] > 0) if sums[7] >= 3 else []
+        more = [w for word in spelled if (w := self.weight(word))]
+        weights += more
+        count, size, changed = len(tokens), len(text), float(rows[hits, 1].sum()) + len(more)
+        top = sorted(weights, reverse=True)[:3]
+        return [
+            len(weights) / count, math.log1p(len(weights)), sum(weights) / count, sum(weights), top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, top[2] if len(top) > 2 else 0.0,
+            near / count, float(near), changed / count, len(spelled) / count, sums[3] / size, sums[4] / count, sums[5] / size, sums[6] / size, math.log1p(count),
+        ]
+
+
+@dataclasses.dataclass
+class ToxicModel:
+    trees: boosting.Boosted
+    knots: tuple[np.ndarray, np.ndarray]
+    reader: Reader
 
 
 def fit_sample(rows: list[tuple[str | None, int]], lexicon: dict[str, float], persons: frozenset[str]) -> ToxicModel:
     """Trees on four fifths of the sample, isotonic calibration on the rest."""
-    x = np.array([features(text, lexicon, persons) for text, _ in rows]) if rows else np.zeros((0, 16))
+    read = Reader(lexicon, persons).features
+    x = np.array([read(text) for text, _ in rows]) if rows else np.zeros((0, 16))
     y = np.array([label for _, label in rows], float)
     held = np.arange(len(rows)) % 5 == 0
     trees = boosting.fit(x[~held], y[~held], trees=60, depth=4, rate=0.15)
     knots = boosting.isotonic(trees.score(x[held]), y[held]) if held.any() else (np.zeros(0), np.zeros(0))
-    return ToxicModel(lexicon, trees, knots, persons)
+    return ToxicModel(trees, knots, Reader(lexicon, persons))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000, most_chars: int = 20_000, entries: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel:
@@ -148,7 +181,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, keys: dict[str, str], text:
         own = shipped.value
 
         def step(*columns):
-            x = np.array([features(value, own.lexicon, own.persons) for value in columns[-1]])
+            x = np.array([own.reader.features(value) for value in columns[-1]])
             p = boosting.calibrated(own.knots, own.trees.score(x))
             return [*columns[:-1], p.tolist(), (p >= 0.5).astype(int).tolist()]
 
