@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
 
 import corpus_pipeline
 from tonegauge.llm import queries
@@ -47,3 +52,24 @@ def test_stages(spark, tmp_path):
 def test_every_operator_is_registered():
     assert sorted(int(name.split("_")[0][2:]) for name in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+ROOT, DATA = Path(__file__).resolve().parents[2], Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_tasks_do_not_import_the_package(tmp_path):
+    """Workers that cannot see the repository still run the Python stages."""
+    script = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {str(ROOT / "__spark_entry__.py")!r})
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+queries = entry.queries()
+names = [n for k in (1, 2, 3, 5, 7, 8) for n in queries if n.startswith(f"op{{k}}_")]
+print("ROWS", [queries[n](spark, {str(DATA)!r}).count() > 0 for n in names])
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert f"ROWS {[True] * 6}" in done.stdout, done.stderr[-2000:]

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import map_columns
+from tonegauge.llm.common import map_columns, ship
 
 #: Letters in a leaf: short ones recur, so most are looked up, and so are most windows.
 LEAF = 6
@@ -210,13 +210,13 @@ def encode_texts(df: DataFrame, text: Column, tokenizer: str, keys: dict[str, st
     ``with_ids`` adds the ids and the decoded text.
     """
     # what a task has seen stays with the broadcast model in its worker, for the tasks that follow there
-    shipped = df.sparkSession.sparkContext.broadcast(BpeModel(load_spec(tokenizer)))
+    shipped = ship(df.sparkSession, BpeModel(load_spec(tokenizer)))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
     def make():
-        model = shipped.value
+        model = shipped()
         table = model.words
 
         def step(*columns):

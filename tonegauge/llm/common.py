@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -33,6 +36,26 @@ def map_columns(df: DataFrame, columns: Sequence[Column], schema: str, make: Cal
     return df.select(*[column.alias(f"c{i}") for i, column in enumerate(columns)]).mapInArrow(run, fields)
 
 
+def ship(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcast a model; the result gives it in a task. It is pickled with its classes, so workers need not have this
+    package, and unpickled once in a worker, so what it has looked up serves the tasks that follow there."""
+    held = spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(value)})
+
+    def get():
+        own = held.value
+        if "value" not in own:
+            own["value"] = pickle.loads(own["pickled"])
+        return own["value"]
+
+    return get
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go: Spark removes them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, CAPITALS, SMALL)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.llm import boosting
-from tonegauge.llm.common import map_columns
+from tonegauge.llm.common import map_columns, ship
 
 # Fixed word lists: HTML's element classes, and tokens of class, id, role and aria attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -337,11 +337,11 @@ def extract(page: str | None, model: boosting.Boosted) -> str:
 
 def extract_pages(pages: DataFrame, html: Column, keys: dict[str, str], model: boosting.Boosted | None = None) -> DataFrame:
     """text and n_chars of every whole page, beside the key columns. NULL and empty pages: empty text, 0."""
-    shipped = pages.sparkSession.sparkContext.broadcast(model or train())
+    shipped = ship(pages.sparkSession, model or train())
     schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", text string, n_chars bigint"
 
     def make():
-        own = shipped.value
+        own = shipped()
 
         def step(*columns):
             texts = [""] * len(columns[-1])

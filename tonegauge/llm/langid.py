@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import map_columns
+from tonegauge.llm.common import map_columns, ship
 
 BUCKETS = 1 << 13
 LETTER = regex.compile(r"\p{L}")
@@ -133,11 +133,11 @@ def predict(docs: DataFrame, model: CodeModel, keys: dict[str, str], text: str =
 
     NULL texts and texts without a letter: `und`, score 0, not ambiguous. So are all texts where nothing was learned.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", lang_pred string, score double, ambiguous boolean, tied boolean"
 
     def make():
-        own = shipped.value
+        own = shipped()
 
         def step(*columns):
             texts = columns[-1]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.llm import boosting
-from tonegauge.llm.common import map_columns
+from tonegauge.llm.common import map_columns, ship
 
 #: Fixed word list: second persons in the four languages of the tables.
 SECOND_PERSONS = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "tu", "toi", "te", "ton", "ta", "vous", "votre", "usted", "ustedes", "ti", "tus"]
@@ -174,11 +174,11 @@ def score_texts(docs: DataFrame, model: ToxicModel, keys: dict[str, str], text:
 
     NULL and empty texts get the score of a text without any hit.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = ship(docs.sparkSession, model)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", score double, predicted int"
 
     def make():
-        own = shipped.value
+        own = shipped()
 
         def step(*columns):
             x = np.array([own.reader.features(value) for value in columns[-1]])
