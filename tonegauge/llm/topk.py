@@ -158,6 +158,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, data_block: int = 4096, q
     def search(key, data, queries):
         return _search(key, data, queries, k + 1)
 
+    # a task for each pair of blocks: they are small but take time, so they are not put together by size
+    left, right = (side.repartition(parts * groups, "b", "g", "d") for side in (left, right))
     found = left.groupBy("b", "g", "d").cogroup(right.groupBy("b", "g", "d")).applyInPandas(search, "qkey bigint, vec_id bigint, score bigint")
     order = [F.desc("score"), F.asc("vec_id")]
     merged = found.withColumn("_r", F.row_number().over(Window.partitionBy("qkey").orderBy(*order))).where(F.col("_r") <= k + 1)

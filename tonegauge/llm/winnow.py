@@ -17,7 +17,8 @@ from tonegauge.functions.once import with_columns_once
 from tonegauge.llm.common import row_key, words
 
 WINDOW, RUN = 13, 5
-#: Kept hashes of the benchmark up to which they are broadcast (24 bytes each); beyond, the join is shuffled.
+#: Kept hashes of the benchmark up to which they are broadcast (24 bytes each), and so many bytes of items with them;
+#: beyond, the joins are shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -88,11 +89,11 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     kept = [f"_keep_{name}" for name in keep]
     prints = item_prints(items, item_id, item_text, window, run)
     short = sorted(row[0] for row in prints.where(F.col("len") < window).select("len").distinct().collect())
-    count = prints.count()
+    size = prints.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.array_join("item", " ")) + 16 * F.size("ids") + 64), F.lit(0)).alias("bytes")).first()
     known = prints.select("len", "fp").distinct()
-    found = document_prints(docs, doc_id, text, short, window, run).join(F.broadcast(known) if count <= broadcast_rows else known, ["len", "fp"])
+    found = document_prints(docs, doc_id, text, short, window, run).join(F.broadcast(known) if size["rows"] <= broadcast_rows else known, ["len", "fp"])
     # only what hit is joined to the items' words
-    hits = found.join(F.broadcast(prints) if count <= broadcast_rows // 20 else prints, ["len", "fp"])
+    hits = found.join(F.broadcast(prints) if size["bytes"] <= 24 * broadcast_rows else prints, ["len", "fp"])
     hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set(F.struct("len", "fp", "at", "item", "ids")).alias("hits"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), row_key(F.col(text)).alias("row"), *[F.col(f"`{name}`").alias(f"_keep_{name}") for name in keep])
     rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
