@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tonegauge.session import settle
+
 #: ASCII capitals only: other letters keep their case.
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,10 +51,15 @@ def ship(spark: SparkSession, value) -> Callable[[], object]:
     return get
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished jobs go: Spark removes them once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def settle_lean(df: DataFrame, label: str) -> DataFrame:
+    """``settle``, with the shuffle files of its job removed when the job has ended: the table holds what they held."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return settle(df, label)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -16,10 +16,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import map_columns, row_key
+from tonegauge.llm.common import map_columns, row_key, settle_lean
 
 LENGTH, GRAM = 100, 32
 LAST = 2**63 - 1
@@ -227,8 +227,8 @@ def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in runs]
 
 
-#: What the last step is told about a document: a run whose anchor repeats, the first of its kind, a range that is not new.
-RUN, FIRST, RANGE = 0, 1, 2
+#: What the last step is told about a document: a run whose surroundings stand earlier, a range of starts that does.
+RUN, RANGE = 0, 1
 
 
 def ranges_of(data: bytes, told: list[dict], length: int) -> list[tuple[int, int]]:
@@ -241,8 +241,7 @@ def ranges_of(data: bytes, told: list[dict], length: int) -> list[tuple[int, int
             own[start, mark] = mark_of(data[start : start + count + length - 1], count) == mark
         return own[start, mark]
 
-    new = {(x["start"], x["mark"]) for x in told if x["kind"] == FIRST}
-    result = [(x["start"], x["start"] + (x["mark"] & 127)) for x in told if x["kind"] == RUN and (x["start"], x["mark"]) not in new and fits(x["start"], x["mark"])]
+    result = [(x["start"], x["start"] + (x["mark"] & 127)) for x in told if x["kind"] == RUN and fits(x["start"], x["mark"])]
     return result + [(x["first"], x["end"]) for x in told if x["kind"] == RANGE and fits(x["start"], x["mark"])]
 
 
@@ -268,68 +267,62 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             marks = [mark_of(data[i][a : a + n + length - 1], n) for i, a, n in zip(number.tolist(), start.tolist(), count.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(marks, pa.int64()), pa.array(ids[number] if len(number) else number), pa.array(start)], names=["h", "mark", "ord", "start"])
 
-    def anchor_hashes(batches):
-        for batch in batches:
-            data = [(t or "").encode("utf-8") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(anchors(data, length, gram)[1].view(np.int64))], names=["h"])
-
     # an exact copy of an earlier text has nothing to add: all of it goes
     long = rows.where(F.octet_length("text") >= length)
     originals = long.groupBy(F.sha1("text").alias("sha")).agg(F.min("ord").alias("_first"))
     copies = long.select("ord", F.sha1("text").alias("sha")).join(originals, "sha").where("ord <> _first").groupBy("ord").agg(F.collect_set("sha").alias("copies"))
 
     found = long.select("ord", "text").mapInArrow(anchor_rows, "h bigint, mark bigint, ord bigint, start bigint")
-    counted = long.select("text").mapInArrow(anchor_hashes, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    repeated = found.join(counted.hint("merge"), "h")
-    # the first occurrence of each distinct surrounding; later ones are covered whole
-    packed = F.col("ord").cast("decimal(38,0)") * F.lit(2**40).cast("decimal(20,0)") + F.col("start")
-    firsts = repeated.groupBy("h", "mark").agg(F.min(packed.cast("decimal(38,0)")).alias("key"))
-    firsts = firsts.select("h", "mark", F.floor(F.col("key") / F.lit(2**40).cast("decimal(20,0)")).cast("bigint").alias("ord"), F.pmod("key", F.lit(2**40).cast("decimal(20,0)")).cast("bigint").alias("start"))
-    several = firsts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    many = firsts.join(several.hint("merge"), "h")
-
-    def segments(wanted: DataFrame) -> DataFrame:
-        runs = wanted.groupBy("ord").agg(F.collect_list(F.struct("h", "start", "mark")).alias("runs"))
-        return rows.join(runs.hint("merge"), "ord").select("doc_id", "ord", "text", "runs", *extra)
+    # one shuffle and one sort: how often each anchor occurs, the first occurrence of each distinct surrounding (later
+    # ones are covered whole), and how many distinct surroundings the anchor has
+    same, alike = Window.partitionBy("h"), Window.partitionBy("h", "mark").orderBy("ord", "start")
+    repeated = found.withColumn("n", F.count("*").over(same)).where("n > 1").withColumn("new", F.rank().over(alike) == 1)
+    repeated = repeated.withColumn("m", F.sum(F.col("new").cast("bigint")).over(same)).drop("n")
+    # kept as a table, so that every later step reads a small part of what the shuffle held
+    repeated = settle_lean(repeated, "repeated")
+    many = repeated.where("new AND m > 1")
 
     def cut_out(batches):
         for batch in batches:
             result = []
-            for _, at, value, runs in zip(*[column.to_pylist() for column in batch.columns[:4]]):
+            for at, value, runs in zip(*[column.to_pylist() for column in batch.columns]):
                 data = (value or "").encode("utf-8")
                 for run in runs:
                     count = run["mark"] & 127
                     part = data[run["start"] : run["start"] + count + length - 1]
                     if mark_of(part, count) == run["mark"]:
-                        result.append((run["h"], at, run["start"], run["mark"], part))
+                        result.append((run["h"], run["m"], at, run["start"], run["mark"], part))
             for i in range(0, len(result), 10_000):
                 columns = list(zip(*result[i : i + 10_000]))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.binary())], names=["h", "ord", "start", "mark", "segment"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], names=["h", "m", "ord", "start", "mark", "segment"])
+
+    runs = many.groupBy("ord").agg(F.collect_list(F.struct("h", "m", "start", "mark")).alias("runs"))
+    cut = rows.select("ord", "text").join(runs.hint("merge"), "ord").select("ord", "text", "runs")
+    segments = settle_lean(cut.mapInArrow(cut_out, "h bigint, m bigint, ord bigint, start bigint, mark bigint, segment binary"), "segments")
 
     def strings(batches):
-        for batch in cut_out(batches):
+        for batch in batches:
             result = []
-            for _, at, start, mark, part in zip(*[column.to_pylist() for column in batch.columns]):
-                for i in range((mark & 127)):
+            for at, start, mark, part in zip(*[column.to_pylist() for column in batch.columns]):
+                for i in range(mark & 127):
                     both = xxhash.xxh3_128_intdigest(part[i : i + length])
                     result.append(((both >> 64) - 2**63, (both & (2**64 - 1)) - 2**63, at, start, mark, start + i))
             for i in range(0, len(result), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*result[i : i + 10_000])], names=["a", "b", "ord", "start", "mark", "first"])
 
-    few = segments(many.where(F.col("m") <= bound)).mapInArrow(cut_out, "h bigint, ord bigint, start bigint, mark bigint, segment binary")
+    few = segments.where(F.col("m") <= bound).select("h", "ord", "start", "mark", "segment")
     sorted_out = few.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _marked(batches, length), "ord bigint, start bigint, mark bigint, first bigint, end bigint")
-    each = segments(many.where(F.col("m") > bound)).mapInArrow(strings, "a bigint, b bigint, ord bigint, start bigint, mark bigint, first bigint")
+    each = segments.where(F.col("m") > bound).select("ord", "start", "mark", "segment").mapInArrow(strings, "a bigint, b bigint, ord bigint, start bigint, mark bigint, first bigint")
     at = F.col("ord").cast("decimal(38,0)") * F.lit(2**40).cast("decimal(20,0)") + F.col("first")
     each = each.withColumn("key", at.cast("decimal(38,0)"))
     least = each.groupBy("a", "b").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     hot = each.join(least, ["a", "b"]).where("key <> least").select("ord", "start", "mark", "first", (F.col("first") + 1).alias("end"))
     none = F.lit(None).cast("bigint")
     facts = [
-        repeated.select("ord", F.lit(RUN).alias("kind"), "start", "mark", none.alias("first"), none.alias("end")),
-        firsts.select("ord", F.lit(FIRST).alias("kind"), "start", "mark", none.alias("first"), none.alias("end")),
+        repeated.where("NOT new").select("ord", F.lit(RUN).alias("kind"), "start", "mark", none.alias("first"), none.alias("end")),
         sorted_out.union(hot).select("ord", F.lit(RANGE).alias("kind"), "start", "mark", "first", "end"),
     ]
-    told = facts[0].union(facts[1]).union(facts[2]).groupBy("ord").agg(F.collect_list(F.struct("kind", "start", "mark", "first", "end")).alias("told"))
+    told = facts[0].union(facts[1]).groupBy("ord").agg(F.collect_list(F.struct("kind", "start", "mark", "first", "end")).alias("told"))
     all_told = rows.join(told.hint("merge"), "ord", "left").join(copies.hint("merge"), "ord", "left").select("doc_id", "text", "told", "copies", *extra)
     schema = "doc_id bigint, row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     if texts:
