@@ -98,6 +98,15 @@ def mark_of(segment: bytes, starts: int) -> int:
     return (xxhash.xxh64_intdigest(segment, 7) >> 8) << 7 | starts
 
 
+def repeats(number: np.ndarray, hashes: np.ndarray, marks: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which runs have surroundings that stand earlier in the same text."""
+    by = np.lexsort((start, marks, hashes, number))
+    same = (number[by][1:] == number[by][:-1]) & (hashes[by][1:] == hashes[by][:-1]) & (marks[by][1:] == marks[by][:-1])
+    again = np.zeros(len(number), bool)
+    again[by[1:][same]] = True
+    return again
+
+
 # repeated strings of one group of segments
 
 
@@ -264,20 +273,26 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
             number, hashes, start, count = anchors(data, length, gram)
-            marks = [mark_of(data[i][a : a + n + length - 1], n) for i, a, n in zip(number.tolist(), start.tolist(), count.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(marks, pa.int64()), pa.array(ids[number] if len(number) else number), pa.array(start)], names=["h", "mark", "ord", "start"])
+            marks = np.array([mark_of(data[i][a : a + n + length - 1], n) for i, a, n in zip(number.tolist(), start.tolist(), count.tolist())], np.int64)
+            again = repeats(number, hashes, marks, start)
+            # what repeats inside its own text needs no comparison: it gets a key of its own, so lines that are repeated
+            # very often do not meet in one place
+            with np.errstate(over="ignore"):
+                apart = (start.astype(np.uint64) * FACTOR) ^ (ids[number].astype(np.int64).view(np.uint64) if len(number) else hashes) * np.uint64(0xD6E8FEB86659FD93)
+            key = np.where(again, hashes ^ apart, hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(marks), pa.array(ids[number] if len(number) else number), pa.array(start), pa.array(again)], names=["h", "mark", "ord", "start", "again"])
 
     # an exact copy of an earlier text has nothing to add: all of it goes
     long = rows.where(F.octet_length("text") >= length)
     originals = long.groupBy(F.sha1("text").alias("sha")).agg(F.min("ord").alias("_first"))
     copies = long.select("ord", F.sha1("text").alias("sha")).join(originals, "sha").where("ord <> _first").groupBy("ord").agg(F.collect_set("sha").alias("copies"))
 
-    found = long.select("ord", "text").mapInArrow(anchor_rows, "h bigint, mark bigint, ord bigint, start bigint")
+    found = long.select("ord", "text").mapInArrow(anchor_rows, "h bigint, mark bigint, ord bigint, start bigint, again boolean")
     # one shuffle and one sort: how often each anchor occurs, the first occurrence of each distinct surrounding (later
     # ones are covered whole), and how many distinct surroundings the anchor has
-    same, alike = Window.partitionBy("h"), Window.partitionBy("h", "mark").orderBy("ord", "start")
-    repeated = found.withColumn("n", F.count("*").over(same)).where("n > 1").withColumn("new", F.rank().over(alike) == 1)
-    repeated = repeated.withColumn("m", F.sum(F.col("new").cast("bigint")).over(same)).drop("n")
+    same, alike = Window.partitionBy("h"), Window.partitionBy("h", "mark").orderBy("again", "ord", "start")
+    repeated = found.withColumn("n", F.count("*").over(same)).where("n > 1 OR again").withColumn("new", (F.rank().over(alike) == 1) & ~F.col("again"))
+    repeated = repeated.withColumn("m", F.sum(F.col("new").cast("bigint")).over(same)).drop("n", "again")
     # kept as a table, so that every later step reads a small part of what the shuffle held
     repeated = settle_lean(repeated, "repeated")
     many = repeated.where("new AND m > 1")
@@ -315,7 +330,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     each = segments.where(F.col("m") > bound).select("ord", "start", "mark", "segment").mapInArrow(strings, "a bigint, b bigint, ord bigint, start bigint, mark bigint, first bigint")
     at = F.col("ord").cast("decimal(38,0)") * F.lit(2**40).cast("decimal(20,0)") + F.col("first")
     each = each.withColumn("key", at.cast("decimal(38,0)"))
-    least = each.groupBy("a", "b").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = each.groupBy("a", "b").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n", "again")
     hot = each.join(least, ["a", "b"]).where("key <> least").select("ord", "start", "mark", "first", (F.col("first") + 1).alias("end"))
     none = F.lit(None).cast("bigint")
     facts = [
