@@ -27,7 +27,7 @@ LEAF = 6
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 NEVER = 1 << 30
-WORD_TABLE = 400_000
+WORD_TABLE = 250_000
 
 
 def byte_letters() -> list[str]:

@@ -14,12 +14,14 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tonegauge.session import settle
 
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 512
 #: ASCII capitals only: other letters keep their case.
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def map_columns(df: DataFrame, columns: Sequence[Column], schema: str, make: Callable[[], Callable[..., Sequence]]) -> DataFrame:
-    """Python over whole Arrow batches: ``make()`` runs once in a task and returns a function from the batch's
+    """Python over slices of Arrow batches: ``make()`` runs once in a task and returns a function from the slice's
     columns (lists, in order) to the result's columns (lists, in the order of ``schema``)."""
     fields = _parse_datatype_string(schema)
     assert isinstance(fields, StructType)
@@ -27,8 +29,9 @@ def map_columns(df: DataFrame, columns: Sequence[Column], schema: str, make: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(first, SLICE_ROWS)
                 result = step(*[column.to_pylist() for column in batch.columns])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values, field.type, from_pandas=False) for values, field in zip(result, target)], schema=target
