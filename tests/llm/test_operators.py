@@ -506,6 +506,18 @@ def test_licences(spark, corpus):
     assert licences.scan(documents(spark, [], 1), ["doc_id"]).count() == 0
 
 
+def test_licences_side_by_side_in_one_text(spark):
+    """Common words of some licences must not lose against the rare words of another one in the same file."""
+    by = {t.label: t.text for t in licences.TEMPLATES}
+    wanted = ["bsd", "isc", "mit-text", "mpl-2.0"]
+    filler = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, f" {filler} ".join(by[label] for label in wanted))]
+    rows += [(10 + i, " ".join(reversed(" ".join(by[label] for label in by if label != "bsd").split()))) for i in range(6)]
+    found = {r.doc_id: r for r in licences.scan(documents(spark, rows), ["doc_id"]).collect()}
+    assert found[1].found_labels == wanted and found[1].score == 1
+    assert found[10].found_labels == []
+
+
 def test_native_plans_have_no_python(spark, corpus):
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     for frame in (winnow.find_items(documents(spark, corpus), bench), licences.scan(documents(spark, corpus), ["doc_id"])):

@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words, in DataFrame functions only.
 
 Templates are indexed by word: where in which template it stands. Document frequencies of the template words come from
-the whole corpus. Each document's highest-IDF template words are looked up, every posting proposes an alignment of its
-template by relative position, and an alignment counts when enough template words agree and each mandatory phrase
-stands in its place. Licence phrases themselves are found wherever their words are consecutive.
+the whole corpus. The highest-IDF word of each template's mandatory phrases is looked up in every document; each place of
+it proposes an alignment of its template by relative position, so no template that stands in a text can be missed. An
+alignment counts when enough template words agree and each mandatory phrase stands in its place. Licence phrases themselves are found wherever their words are consecutive.
 """
 
 from __future__ import annotations
@@ -69,12 +69,12 @@ def base_places(phrases: dict[str, str]) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def scan(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, rare: int = 8, agreement: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, agreement: float = 0.6) -> DataFrame:
     """n_words, n_base, first_word, last_word, base_labels, found_labels, score of every document, beside the keys.
 
-    ``rare``: how many of a document's template words, highest IDF first, propose alignments; ``agreement``: share of a
-    template's words that must agree. NULL and empty texts: 0 words, no place (NULL), no label, score 0. The score is
-    the best agreement of a verified template, and at least one half where a phrase stands. Repeated rows give a row each.
+    ``agreement``: share of a template's words that must agree. NULL and empty texts: 0 words, no place (NULL), no
+    label, score 0. The score is the best agreement of a verified template, and at least one half where a phrase
+    stands. Repeated rows give a row each.
     """
     phrases = PHRASES if phrases is None else phrases
     bodies = [template.text.split() for template in templates]
@@ -82,9 +82,12 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple[
     idf = inverse_frequencies(docs, vocabulary, text)
     # a verified template has its mandatory phrases, so at least their rarest word; a place of a phrase has its rarest too
     rarest = lambda phrase: max(phrase.split(), key=lambda word: (idf.get(word, 0.0), word))
-    signs = sorted({max((rarest(p) for p in t.mandatory), key=lambda w: (idf[w], w)) for t in templates} | {rarest(p) for p in phrases})
-    postings = {word: [(t, p) for t, body in enumerate(bodies) for p, other in enumerate(body) if other == word] for word in vocabulary}
-    table = ", ".join(f"'{word}', struct(CAST({-idf[word]} AS double) AS rank, array({', '.join(f'struct({t} AS t, {p} AS p)' for t, p in postings[word])}) AS postings)" for word in vocabulary)
+    offering: dict[str, list[tuple[int, int]]] = {}
+    for t, (template, body) in enumerate(zip(templates, bodies)):
+        word, phrase = max(((rarest(p), p.split()) for p in template.mandatory), key=lambda x: (idf[x[0]], x[0]))
+        offering.setdefault(word, []).append((t, place_of(phrase, body) + phrase.index(word)))
+    signs = sorted(offering.keys() | {rarest(p) for p in phrases})
+    table = ", ".join(f"'{word}', array({', '.join(f'struct({t} AS t, {p} AS p)' for t, p in places)})" for word, places in sorted(offering.items()))
     bodies_sql = f"array({', '.join(text_array(body) for body in bodies)})"
     checks = []
     for template, body in zip(templates, bodies):
@@ -96,11 +99,10 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple[
     frame = docs.select(*[F.col(f"`{key}`") for key in keys], words(F.col(text)).alias("w"))
     frame = frame.withColumn("_sign", F.expr(f"arrays_overlap(w, {text_array(signs)})"))
     frame = frame.withColumn("_base", F.when(F.col("_sign"), F.expr(base_places(phrases))))
-    known = f"transform(array_intersect(w, {text_array(vocabulary)}), x -> struct(x AS word, element_at(map({table}), x) AS e))"
-    frame = frame.withColumn("_known", F.when(F.col("_sign"), F.expr(f"slice(array_sort({known}, (a, b) -> CASE WHEN a.e.rank < b.e.rank THEN -1 WHEN a.e.rank > b.e.rank THEN 1 WHEN a.word < b.word THEN -1 WHEN a.word > b.word THEN 1 ELSE 0 END), 1, {rare})")))
-    # every place of a looked-up word with every posting: the template and where it would start
-    offers = "flatten(transform(_known, x -> flatten(transform(filter(sequence(0, size(w) - 1), i -> w[i] = x.word), i -> transform(x.e.postings, q -> struct(q.t AS t, i - q.p AS start))))))"
-    frame = frame.withColumn("_offers", F.when(F.col("_sign") & (F.size("w") > 0), F.expr(f"array_distinct({offers})")))
+    # every place of a template's looked-up word: the template and where it would start
+    own_words = text_array(sorted(offering))
+    offers = f"flatten(transform(filter(sequence(0, size(w) - 1), i -> array_contains({own_words}, w[i])), i -> transform(element_at(map({table}), w[i]), q -> struct(q.t AS t, i - q.p AS start))))"
+    frame = frame.withColumn("_offers", F.when(F.col("_sign") & (F.size("w") > 0), F.expr(offers)))
     # a start before the text can be no mandatory place of the first words; a negative slice start would count from the end
     agrees = f"size(filter(sequence(0, size({bodies_sql}[o.t]) - 1), j -> o.start + j < size(w) AND w[o.start + j] = {bodies_sql}[o.t][j])) / size({bodies_sql}[o.t])"
     checked = f"transform(filter(_offers, o -> o.start >= 0 AND {verified}), o -> struct({labels}[o.t] AS label, {agrees} AS share))"
