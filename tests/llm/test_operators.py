@@ -518,6 +518,16 @@ def test_licences_side_by_side_in_one_text(spark):
     assert found[10].found_labels == []
 
 
+def test_licences_of_texts_that_begin_inside_a_template(spark):
+    rows = [
+        (1, "Apache License Version 2.0, January 2004"), (2, "Licensed under a Creative Commons Attribution 4.0 International License"), (3, "see also our Apache License Version 2.0, January 2004"),
+        (4, "license version 2.0"), (5, "MIT License"), (6, "gnu general public license as published by the free software foundation"), (7, "the MIT License"),
+    ]
+    found = {r.doc_id: r for r in licences.scan(documents(spark, rows), ["doc_id"]).collect()}
+    assert [found[i].found_labels for i in range(1, 8)] == [["apache-2.0"], ["cc-by-4.0"], ["apache-2.0"], [], [], [], ["mit-notice"]]
+    assert [found[i].score for i in (1, 2, 3, 7)] == [5 / 8, 10 / 13, 5 / 8, 3 / 5]
+
+
 def test_native_plans_have_no_python(spark, corpus):
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     for frame in (winnow.find_items(documents(spark, corpus), bench), licences.scan(documents(spark, corpus), ["doc_id"])):

@@ -91,7 +91,9 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple[
     bodies_sql = f"array({', '.join(text_array(body) for body in bodies)})"
     checks = []
     for template, body in zip(templates, bodies):
-        tests = [f"slice(w, o.start + {place_of(p.split(), body) + 1}, {len(p.split())}) = {text_array(p.split())}" for p in template.mandatory]
+        placed = [(place_of(p.split(), body), p.split()) for p in template.mandatory]
+        # texts may begin inside a template; a phrase itself must stand in the text whole, and slices start at 1 or later
+        tests = [f"o.start >= {-at} AND slice(w, greatest(o.start + {at + 1}, 1), {len(own)}) = {text_array(own)}" for at, own in placed]
         checks.append(f"({' AND '.join(tests)})")
     verified = "CASE o.t " + " ".join(f"WHEN {i} THEN {check}" for i, check in enumerate(checks)) + " ELSE false END"
     labels = text_array([template.label for template in templates])
@@ -103,9 +105,9 @@ def scan(docs: DataFrame, keys: list[str], text: str = "text", templates: tuple[
     own_words = text_array(sorted(offering))
     offers = f"flatten(transform(filter(sequence(0, size(w) - 1), i -> array_contains({own_words}, w[i])), i -> transform(element_at(map({table}), w[i]), q -> struct(q.t AS t, i - q.p AS start))))"
     frame = frame.withColumn("_offers", F.when(F.col("_sign") & (F.size("w") > 0), F.expr(offers)))
-    # a start before the text can be no mandatory place of the first words; a negative slice start would count from the end
-    agrees = f"size(filter(sequence(0, size({bodies_sql}[o.t]) - 1), j -> o.start + j < size(w) AND w[o.start + j] = {bodies_sql}[o.t][j])) / size({bodies_sql}[o.t])"
-    checked = f"transform(filter(_offers, o -> o.start >= 0 AND {verified}), o -> struct({labels}[o.t] AS label, {agrees} AS share))"
+    # template words beyond either end of the text do not agree
+    agrees = f"size(filter(sequence(0, size({bodies_sql}[o.t]) - 1), j -> get(w, o.start + j) = {bodies_sql}[o.t][j])) / size({bodies_sql}[o.t])"
+    checked = f"transform(filter(_offers, o -> {verified}), o -> struct({labels}[o.t] AS label, {agrees} AS share))"
     frame = frame.withColumn("_found", F.when(F.col("_sign"), F.expr(f"filter({checked}, x -> x.share >= {agreement})")))
     base = F.col("_base")
     starts = F.transform(base, lambda x: x["start"])
