@@ -237,6 +237,18 @@ def test_toxicity_learns_words_and_stems(spark, words):
     assert found[900].predicted == found[901].predicted == 0 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found.values())
 
 
+@pytest.mark.parametrize("text, hits, total, changed, apart", [
+    ("what an i.d.i.o.t here", 1, 3, 1, 1), ("i-d-i-o-t, moron", 2, 5, 1, 1), ("(i_d_i_o_t.)", 1, 3, 1, 1), ("i d i o t", 1, 3, 1, 1),
+    ("idiot/moron/scum", 3, 6.5, 0, 0), ("idiot,MORON,sc0m,fine", 2, 5, 0, 0), ("you-idiot--scum/m0ron\u2014i.d.i.o.t", 4, 9.5, 2, 1), ("idiot moron scum", 3, 6.5, 0, 0), ("e.g. fine", 0, 0, 0, 0),
+])
+def test_toxicity_counts_every_word_of_a_token(text, hits, total, changed, apart):
+    found = toxicity.Reader({"idiot": 3.0, "moron": 2.0, "scum": 1.5}, frozenset(["you"])).features(text)
+    count = np.expm1(found[15])
+    assert np.allclose([np.expm1(found[1]), found[3], found[9] * count, found[10] * count], [hits, total, changed, apart])
+    assert found[4:7] == sorted(found[4:7], reverse=True) and sum(v > 0 for v in found[4:7]) == min(3, hits)
+    assert found[8] == (hits if "you" in text else 0)
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b c")])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"), F.lit(True))

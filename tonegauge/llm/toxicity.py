@@ -25,6 +25,8 @@ SECOND_PERSONS = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
 PREFIXES = (4, 5, 6)
 TOKEN = regex.compile(r"[\p{L}\p{N}@$!|*]*\p{L}[\p{L}\p{N}@$!|*]*")
+#: Three or more single letters of one token, parted by signs.
+SPELLED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}(?:[.\-_*]\p{L}){2,}(?![\p{L}\p{N}])")
 TRIM = "!*|@$"
 NEAR = 5
 
@@ -59,8 +61,9 @@ def learn_lexicon(counts: DataFrame, toxic: int, other: int, entries: int = 1000
 class Reader:
     """Dense features of texts. What a token adds is worked out once and kept in a bounded table."""
 
-    #: Columns of the token table: hit weight, hit after its letters were put back, person, capitals, shouted, marks, double marks, one letter.
-    WIDTH = 8
+    #: Columns of the token table: sum of hit weights, hits after letters were put back, person, capitals, shouted, marks, double marks, one letter,
+    #: hits, spelled-out words, words, the three largest weights.
+    WIDTH = 14
 
     def __init__(self, lexicon: dict[str, float], persons: frozenset[str], most: int = 200_000):
         self.lexicon, self.persons, self.most = lexicon, persons, most
@@ -83,16 +86,19 @@ class Reader:
         row[:] = 0
         body = token.rstrip(".,;:")
         if body.isalpha() and body.islower():
-            row[0], row[2], row[7] = self.weight(body), body in self.persons, len(body) == 1
+            row[0], row[2], row[7], row[10] = self.weight(body), body in self.persons, len(body) == 1, 1
+            row[8], row[11] = row[0] > 0, row[0]
         else:
-            for part in TOKEN.findall(body):
-                word = plain(part)
-                found = self.weight(word)
-                if found > row[0]:
-                    row[0], row[1] = found, word != part.lower()
-                row[2] = max(row[2], word in self.persons)
+            apart = SPELLED.findall(body)
+            raw = TOKEN.findall(SPELLED.sub(" ", body) if apart else body)
+            joined = ["".join(filter(str.isalpha, run)) for run in apart]
+            parts = [(plain(part), part.lower()) for part in raw] + [(plain(part), "") for part in joined]
+            hits = sorted(((found, word != low) for word, low in parts if (found := self.weight(word))), reverse=True)
+            row[0], row[1], row[8] = sum(found for found, _ in hits), sum(changed for _, changed in hits), len(hits)
+            row[2], row[9], row[10] = any(word in self.persons for word, _ in parts), len(apart), max(1, len(parts))
+            row[11 : 11 + min(3, len(hits))] = [found for found, _ in hits[:3]]
             letters = [c for c in body if c.isalpha()]
-            row[3], row[4] = sum(map(str.isupper, body)), len(letters) > 2 and all(map(str.isupper, letters))
+            row[3], row[4] = sum(map(str.isupper, body)), sum(len(part) > 2 and part.isupper() for part in raw + joined)
             row[5], row[6], row[7] = token.count("!") + token.count("?"), token.count("!!"), len(letters) == 1
         self.known[token] = number
         return number
@@ -114,20 +120,20 @@ class Reader:
         numbers = [n if (n := get(t)) is not None else add(t) for t in tokens]
         rows = self.table[numbers]
         sums = rows.sum(axis=0, dtype=np.float64)
-        hits = np.flatnonzero(rows[:, 0])
-        weights = rows[hits, 0].tolist()
+        hits = np.flatnonzero(rows[:, 8])
         near = 0
         if len(hits) and sums[2]:
             persons = np.flatnonzero(rows[:, 2])
-            near = int((np.searchsorted(persons, hits + NEAR, "right") > np.searchsorted(persons, hits - NEAR)).sum())
+            close = np.searchsorted(persons, hits + NEAR, "right") > np.searchsorted(persons, hits - NEAR)
+            near = int(rows[hits[close], 8].sum())
         spelled = self.spelled(tokens, rows[:, 7] > 0) if sums[7] >= 3 else []
         more = [w for word in spelled if (w := self.weight(word))]
-        weights += more
-        count, size, changed = len(tokens), len(text), float(rows[hits, 1].sum()) + len(more)
-        top = sorted(weights, reverse=True)[:3]
+        top = sorted([*rows[hits, 11:].ravel().tolist(), *more, 0.0, 0.0, 0.0], reverse=True)[:3]
+        found, total, changed = sums[8] + len(more), sums[0] + sum(more), sums[1] + len(more)
+        count, size, apart = int(sums[10]), len(text), sums[9] + len(spelled)
         return [
-            len(weights) / count, math.log1p(len(weights)), sum(weights) / count, sum(weights), top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, top[2] if len(top) > 2 else 0.0,
-            near / count, float(near), changed / count, len(spelled) / count, sums[3] / size, sums[4] / count, sums[5] / size, sums[6] / size, math.log1p(count),
+            found / count, math.log1p(found), total / count, total, *top,
+            near / count, float(near), changed / count, apart / count, sums[3] / size, sums[4] / count, sums[5] / size, sums[6] / size, math.log1p(count),
         ]
 
 
