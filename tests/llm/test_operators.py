@@ -237,6 +237,19 @@ def test_toxicity_learns_words_and_stems(spark, words):
     assert found[900].predicted == found[901].predicted == 0 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found.values())
 
 
+def test_toxicity_samples_each_text_once(spark, monkeypatch):
+    """One labelled text repeated more often than the sample is long, whose hash is the smallest."""
+    sample, texts = 40, [f"text number {i} of many" for i in range(60)]
+    hashed = documents(spark, enumerate(texts)).select("text", F.xxhash64(F.lit(3), F.col("text")).alias("h")).orderBy("h").collect()
+    hot = hashed[0].text
+    rows = [*enumerate(texts), *((100 + i, hot) for i in range(200)), (400, None), (401, "y" * 20_001)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(100 + i, int(i == 7)) for i in range(200)] + [(401, 1)]
+    given, seen = spark.createDataFrame(labels, "doc_id bigint, toxic int"), []
+    monkeypatch.setattr(toxicity, "fit_sample", lambda rows, lexicon, persons: seen.extend(rows))
+    toxicity.train(documents(spark, rows), given, F.lit(True), sample=sample)
+    assert seen == [(r.text, int(r.text == hot or texts.index(r.text) % 3 == 0)) for r in hashed[:sample]]
+
+
 @pytest.mark.parametrize("text, hits, total, changed, apart", [
     ("what an i.d.i.o.t here", 1, 3, 1, 1), ("i-d-i-o-t, moron", 2, 5, 1, 1), ("(i_d_i_o_t.)", 1, 3, 1, 1), ("i d i o t", 1, 3, 1, 1),
     ("idiot/moron/scum", 3, 6.5, 0, 0), ("idiot,MORON,sc0m,fine", 2, 5, 0, 0), ("you-idiot--scum/m0ron\u2014i.d.i.o.t", 4, 9.5, 2, 1), ("idiot moron scum", 3, 6.5, 0, 0), ("e.g. fine", 0, 0, 0, 0),

@@ -158,20 +158,23 @@ def fit_sample(rows: list[tuple[str | None, int]], lexicon: dict[str, float], pe
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000, most_chars: int = 20_000, entries: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel:
     """Learn from the labelled documents that ``usable`` (a condition on the document id) allows.
 
-    ``sample`` bounds the rows the trees see: those of the smallest text hash among texts of at most ``most_chars``.
-    The lexicon's counts cover every usable labelled document. Rows without a label, and labels without a document,
-    take no part; of several labels of one id the larger counts.
+    ``sample`` bounds the texts the trees see: those of the smallest text hash among texts of at most ``most_chars``;
+    equal texts count once there, with the largest of their labels. The lexicon's counts cover every usable labelled
+    document. Rows without a label, and labels without a document, take no part; of several labels of one id the larger
+    counts.
     """
     wanted = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_d")).agg(F.max(label).alias("_y"))
-    rows = docs.where(usable).join(wanted, F.col(doc_id) == F.col("_d")).select(F.col(text), F.col("_y").cast("int").alias("_y"))
-    size = rows.groupBy("_y").agg(F.count("*").alias("n"), F.count(F.when(F.length(text) <= most_chars, 1)).alias("short")).collect()
+    value = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.where(usable).select(doc_id, text, F.when(F.length(value) <= most_chars, F.xxhash64(F.lit(3), value)).alias("_h"))
+    rows = texts.join(wanted, F.col(doc_id) == F.col("_d")).select(F.col(text), F.col("_y").cast("int").alias("_y"), "_h")
+    size = rows.groupBy("_y").agg(F.count("*").alias("n")).collect()
     toxic, other = sum(r["n"] for r in size if r["_y"] == 1), sum(r["n"] for r in size if r["_y"] != 1)
     lexicon = learn_lexicon(lexicon_counts(rows, F.col("_y"), text), toxic, other, entries)
-    short = max(1, sum(r["short"] for r in size))
-    bar = min(1.0, 1.3 * (sample + 50) / short)
-    near = rows.where(F.length(F.coalesce(F.col(text), F.lit(""))) <= most_chars).withColumn("_h", F.xxhash64(F.lit(3), F.coalesce(F.col(text), F.lit(""))))
-    near = near.where(F.pmod("_h", F.lit(1_000_003)) <= int(bar * 1_000_003))
-    picked = sorted((r["_h"], r[text] or "", r["_y"]) for r in near.select("_h", text, "_y").collect())[:sample]
+    # hashes first, so that copies are one row each before any text moves
+    near = rows.where(F.col("_h").isNotNull())
+    labelled = {r["_h"]: r["_y"] for r in near.groupBy("_h").agg(F.max("_y").alias("_y")).orderBy("_h").limit(sample).collect()}
+    chosen = near.where(F.col("_h") <= max(labelled, default=0)).groupBy("_h").agg(F.min(value).alias("_t"))
+    picked = [(r["_h"], r["_t"], labelled[r["_h"]]) for r in chosen.orderBy("_h").limit(sample).collect()] if labelled else []
     return fit_sample([(value, int(y == 1)) for _, value, y in picked], lexicon, frozenset(SECOND_PERSONS))
 
 
