@@ -112,6 +112,17 @@ def test_codewords_are_apart(count):
     assert apart[~np.eye(count, dtype=bool)].min() >= max(1, code.shape[1] / 5)
 
 
+def test_language_samples_copies_once_and_long_texts(spark):
+    rows = [("da", f"dansk tekst nummer {i}") for i in range(30) for _ in range(100)] + [("fi", "suomi " * 4000 + str(i)) for i in range(5)] + [("en", f"short {i}") for i in range(40)] + [("en", "long " * 5000)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found = langid.sample_documents(docs, F.lit(True), per_language=3)
+    by = {name: {t for n, t in found if n == name} for name in ("da", "fi", "en")}
+    assert len(found) == 8 and {name: len(texts) for name, texts in by.items()} == {"da": 3, "fi": 2, "en": 3}
+    assert all(name_text in rows for name_text in found) and max(map(len, by["en"])) < 20
+    found = langid.sample_documents(docs, F.lit(True), per_language=150)
+    assert sorted(found) == sorted({r for r in rows if r[0] != "en" or len(r[1]) < 20})
+
+
 def test_language_learns_nothing_from_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     assert langid.identify(docs, F.lit(True), {"doc_id": "bigint"}).count() == 0

@@ -22,6 +22,8 @@ BUCKETS = 1 << 13
 LETTER = regex.compile(r"\p{L}")
 #: Most languages for which all distinct two-way splits are used as bits.
 EXHAUSTIVE = 6
+#: Most characters of a text to learn from, where a language has such texts.
+LONGEST = 20_000
 
 
 @dataclasses.dataclass
@@ -75,20 +77,43 @@ def profile(text: str) -> np.ndarray:
 def sample_documents(docs: DataFrame, usable: Column, per_language: int = 150, most: int = 2400, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """(lang, text) of at most ``per_language`` documents of each language, ``most`` in all: those of the smallest text hash.
 
-    The first cut by hash happens in the JVM with counts per language, so only about the sample itself is ranked and
-    sent; texts beyond 20,000 characters are passed over here to bound what reaches the driver.
+    Equal texts of a language count once. The first cut by hash happens in the JVM with counts of distinct texts per
+    language, so only about the sample itself is ranked and sent. Texts beyond 20,000 characters are passed over to bound
+    what reaches the driver, but for languages that have no shorter one: of those the shortest are taken, whole, while
+    they hold ``per_language`` times 20,000 characters together, and one at least.
     """
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= 20_000) & F.col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n")).collect()
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.xxhash64(F.lit(1), F.col(text)).alias("_h"), F.length(text).alias("_n"))
+    short = F.col("_n") <= LONGEST
+    hashes = rows.groupBy("_l", "_h").agg(F.min("_n").alias("_n"))
+    counts = hashes.groupBy("_l").agg(F.count(F.when(short, 1)).alias("short")).collect()
     per_language = max(1, min(per_language, most // max(1, len(counts))))
     share = F.lit(False)
     for row in counts:
-        bar = min(1.0, 1.5 * (per_language + 20) / row["_n"])
-        share = share | ((F.col(lang) == row["_l"]) & (F.pmod(F.xxhash64(text), F.lit(1_000_003)) < int(bar * 1_000_003) + 1))
-    picked = rows.where(share).select(lang, text, F.xxhash64(F.lit(1), text).alias("_h")).dropDuplicates(["_h"]) if counts else rows.limit(0).select(lang, text, F.lit(0).alias("_h"))
+        bar = min(1.0, 1.5 * (per_language + 20) / max(1, row["short"]))
+        share = share | ((F.col("_l") == row["_l"]) & (F.pmod("_h", F.lit(1_000_003)) < int(bar * 1_000_003) + 1))
     found: dict[str, list[tuple[int, str]]] = {}
-    for row in picked.collect():
-        found.setdefault(row[0], []).append((row[2], row[1]))
+
+    def take(picked: DataFrame) -> None:
+        for row in picked.groupBy("_l", "_h").agg(F.min("_t").alias("_t")).collect():
+            found.setdefault(row["_l"], []).append((row["_h"], row["_t"]))
+
+    if counts:
+        take(rows.where(short & share))
+    for row in counts:
+        name = row["_l"]
+        own = F.col("_l") == name
+        if len(found.get(name, [])) < min(per_language, row["short"]):  # the share gave too few
+            smallest = [r["_h"] for r in hashes.where(own & short).orderBy("_h").limit(per_language).collect()]
+            found.pop(name, None)
+            take(rows.where(own & short & F.col("_h").isin(smallest)))
+        elif not row["short"]:
+            chosen, held = [], 0
+            for r in hashes.where(own).orderBy("_n", "_h").limit(per_language).collect():
+                held += r["_n"]
+                if not chosen or held <= per_language * LONGEST:
+                    chosen.append(r["_h"])
+            take(rows.where(own & F.col("_h").isin(chosen)))
     return [(name, value) for name in sorted(found) for _, value in sorted(found[name])[:per_language]]
 
 
