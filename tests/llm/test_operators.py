@@ -79,6 +79,17 @@ def test_html_decoding_never_keeps_a_child_of_a_dropped_node():
         assert all(kept[n.parent] for n, k in zip(nodes, kept) if k and n.parent >= 0)
 
 
+def test_html_hidden_is_an_attribute_not_a_word():
+    marks = {page: html.parse(page)[1].hidden for page in ('<a title="the hidden cost">x</a>', "<figure title='a hidden gem' class=b>x</figure>", "<p data-x = hidden >x</p>", "<p hidden>x</p>", '<p class="a" hidden="">x</p>', "<p HIDDEN/>", '<p title="a"hidden>x</p>')}
+    assert list(marks.values()) == [False, False, False, True, True, True, True]
+
+
+def test_html_keeps_embedded_text_of_kept_elements():
+    nodes = html.parse("<article><p>sum <math><mi>x</mi></math> <object><p>plan</p><script>no</script></object><canvas>chart <b hidden>no</b></canvas> <svg>no</svg></p></article><nav><math>no</math></nav>")
+    score = np.array([2.0 if n.tag in ("#root", "article", "p") else -9.0 for n in nodes])
+    assert html.text_of(nodes, html.decode(nodes, score)).split() == ["sum", "x", "plan", "chart"]
+
+
 def test_html_on_unseen_layouts():
     model, right = html.train(), 0
     layouts = html.training_pages(60, seed=5)

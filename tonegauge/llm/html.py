@@ -25,7 +25,9 @@ from tonegauge.llm.common import map_columns, ship
 
 # Fixed word lists: HTML's element classes, and tokens of class, id, role and aria attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title head select option".split())
+RAW = frozenset("script style noscript template iframe svg audio video textarea title head select option".split())
+#: Embedded content whose text belongs to the element around it: kept exactly when that is.
+EMBEDDED = frozenset("math object canvas".split())
 OPAQUE = frozenset("script style textarea title iframe noscript template".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -51,6 +53,8 @@ TOKEN_KINDS = [
 ]
 TOKEN_SETS = [frozenset(kind.split()) for kind in TOKEN_KINDS]
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""")
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)""")
+HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|$)", re.I)
 TOKEN = re.compile(r"[a-z]+")
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 WHITE = re.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -136,7 +140,7 @@ def parse(page: str) -> list[Node]:
                             kinds |= 1 << k
                 elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", one or two or three, re.I):
                     hidden = True
-        if rest and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", rest):
+        if rest and "hidden" in rest.lower() and HIDDEN.search(QUOTED.sub("= ", rest)):  # the attribute's name, not a word of some value
             hidden = True
         up = open_[-1]
         nodes.append(Node(tag, up, nodes[up].depth + 1, len(nodes[up].children), kinds, hidden, [], []))
@@ -201,13 +205,17 @@ def decode(nodes: list[Node], score: np.ndarray) -> list[bool]:
     An element whose subtree cannot repay the ancestors it needs is dropped with everything below it.
     """
     best = np.clip(score, -12, 3).tolist()
+    follows = [False] * len(nodes)  # elements of embedded content, which add nothing to the choice
+    for number, node in enumerate(nodes):
+        follows[number] = node.parent >= 0 and (follows[node.parent] or node.tag in EMBEDDED)
     for number in range(len(nodes) - 1, -1, -1):
         node = nodes[number]
         gain = best[number] + sum([best[child] for child in node.children]) if node.children else best[number]
-        best[number] = gain if gain > 0 and not node.hidden and node.tag not in RAW else 0.0
+        best[number] = gain if gain > 0 and not follows[number] and not node.hidden and node.tag not in RAW else 0.0
     kept = [False] * len(nodes)
     for number, node in enumerate(nodes):
-        kept[number] = best[number] > 0 and (node.parent < 0 or kept[node.parent])
+        able = best[number] > 0 or follows[number] and not node.hidden and node.tag not in RAW
+        kept[number] = able and (node.parent < 0 or kept[node.parent])
     return kept
 
 
