@@ -295,3 +295,9 @@ def test_audit_reads_whole_texts(spark):
     texts = spark.createDataFrame([("s1", "x " * 20_000 + "inflation"), ("s3", "inflation")], "speech_id string, speech_text string")
     rows = {r["speech_id"]: r for r in A.assess(scored, texts, hawkish=["inflation"], dovish=["ease"]).collect()}
     assert rows["s1"]["hawkish_terms"] == ["inflation"] and rows["s2"]["assessment"].startswith("ERROR")
+
+
+def test_dataset_contents_names_columns_groups_and_years(spark):
+    rows = [(day(1), "X"), (day(2), "X"), (day(1, year=2023), "Y"), (None, "Y"), (day(3), None)]
+    found = {tuple(r) for r in P.dataset_contents(spark.createDataFrame(rows, "date date, country string")).select("part", "label", "place", "rows").collect()}
+    assert found == {("column", "date", 0, None), ("column", "country", 1, None), ("group", "X", None, 2), ("group", "Y", None, 2), ("year", "2022", None, 3), ("year", "2023", None, 1)}

@@ -130,3 +130,14 @@ SELECT count(*) AS total_rows, count(DISTINCT country) AS groups, min(date) AS e
   CAST(max(date) - min(date) AS BIGINT) AS span_days, {len(B.PREPARED_COLUMNS)} AS columns FROM prepared""")
 def a11(spark, sf):
     return profile.describe_dataset(B.prepared(spark, sf))
+
+
+_A11_COLUMNS = " UNION ALL ".join(f"SELECT 'column' AS part, '{name}' AS label, CAST({i} AS INT) AS place, CAST(NULL AS BIGINT) AS rows" for i, name in enumerate(B.PREPARED_COLUMNS))
+
+
+@query("a11_dataset_contents", f"""WITH {B.PREPARED}
+{_A11_COLUMNS}
+UNION ALL SELECT 'group', country, NULL, count(*) FROM prepared WHERE country IS NOT NULL GROUP BY country
+UNION ALL SELECT 'year', CAST(year(date) AS VARCHAR), NULL, count(*) FROM prepared WHERE date IS NOT NULL GROUP BY year(date)""")
+def a11_contents(spark, sf):
+    return profile.dataset_contents(B.prepared(spark, sf))

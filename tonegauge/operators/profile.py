@@ -51,6 +51,18 @@ def describe_dataset(df: DataFrame, date: str = "date", group: str = "country")
     )
 
 
+def dataset_contents(df: DataFrame, date: str = "date", group: str = "country") -> DataFrame:
+    """What ``describe_dataset`` counts, in full: part (column, group or year), label, place of a column, rows.
+
+    One scan: rows are counted per group and year, and the few counts are folded to each. NULL groups and dates have no row.
+    """
+    cells = df.groupBy(F.col(group).cast("string").alias("g"), F.year(date).cast("string").alias("y")).agg(_rows().alias("n"))
+    sides = F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.col(c).alias("label")) for part, c in (("group", "g"), ("year", "y"))])).alias("side")
+    folded = cells.select(sides, "n").where("side.label IS NOT NULL").groupBy("side.part", "side.label").agg(F.sum("n").alias("rows"))
+    columns = df.sparkSession.createDataFrame([("column", name, i) for i, name in enumerate(df.columns)], "part string, label string, place int")
+    return columns.withColumn("rows", F.lit(None).cast("bigint")).unionByName(folded.withColumn("place", F.lit(None).cast("int")))
+
+
 def date_span(df: DataFrame, date: str = "date") -> DataFrame:
     return df.agg(
         F.min(date).alias("first_date"), F.max(date).alias("last_date"),
