@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegauge.llm import bpe, html, langid, licences, simhash, suffix, topk, toxicity, warc, winnow
+from tonegauge.llm import bpe, html, langid, licences, prefixes, simhash, suffix, topk, toxicity, warc, winnow
 from tonegauge.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,29 @@ def op10(spark, sf_dir):
     found = licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     every = F.array_sort(F.array_union("base_labels", "found_labels"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", licences.joined(F.col("base_labels")).alias("base_labels"), licences.joined(every).alias("labels"), "score")
+
+
+OP11_SQL = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(octet_length(encode(r)) || ':' || r || x), 32)) - 1 AS at FROM t),
+m AS (SELECT c, h.* FROM (SELECT DISTINCT conv_id AS c FROM t) k, LATERAL (SELECT c - c % 5 AS base, crc AS first FROM (SELECT CAST(list_reduce(
+list_concat([4294967295], list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: ord(CAST(c AS VARCHAR)[i]))),
+lambda a, b: xor(a // 256, list_reduce(list_concat([xor(a, b) % 256], range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS BIGINT) AS raw,
+xor(raw, 4294967295) % 9 AS crc)) h),
+b AS (SELECT m.c, o.at, o.r, o.x FROM m JOIN o ON o.conv_id = m.base AND m.c <> m.base AND o.at < m.first
+UNION ALL SELECT m.c, o.at + 1000000000, o.r, o.x FROM m JOIN o ON o.conv_id = m.c AND (m.c = m.base OR o.at >= m.first)),
+p AS (SELECT c, row_number() OVER w AS d, x, string_agg(sha256(octet_length(encode(r)) || ':' || r || x), '') OVER w AS k FROM b WINDOW w AS (PARTITION BY c ORDER BY at)),
+q AS (SELECT c, d, md5(k) AS k, CASE WHEN d > 1 THEN md5(left(k, -64)) ELSE '' END AS up, octet_length(encode(x)) AS n FROM p UNION ALL SELECT c, 0, '', NULL, 0 FROM m),
+e AS (SELECT q.* FROM q JOIN (SELECT c, max(d) AS d FROM q GROUP BY c) USING (c, d)),
+s AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM e GROUP BY d, k),
+v AS (SELECT d, k, any_value(up) AS up, min(c) AS c, count(*) AS n, any_value(n) AS size FROM q GROUP BY d, k),
+f AS (SELECT d - 1 AS d, up AS k, count(*) AS children FROM v WHERE d > 0 GROUP BY d, up),
+g AS (SELECT v.*, coalesce(f.children, 0) AS children FROM v LEFT JOIN f ON v.d = f.d AND v.k = f.k),
+a AS (SELECT q.d, q.k, sum(CASE WHEN g.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((g.n - 1) * g.size) AS saved FROM g JOIN q ON q.c = g.c AND q.d <= g.d GROUP BY q.d, q.k)
+SELECT g.c AS conv_id, g.d AS depth, u.c AS parent_conv_id, g.n AS n_convs, g.children AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens,
+sha256(coalesce(s.ids, '')) AS ends_sha256
+FROM g JOIN a ON g.d = a.d AND g.k = a.k LEFT JOIN s ON g.d = s.d AND g.k = s.k LEFT JOIN v u ON g.d = u.d + 1 AND g.up = u.k"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
