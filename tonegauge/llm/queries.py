@@ -124,14 +124,14 @@ def op10(spark, sf_dir):
 
 
 OP11_SQL = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(octet_length(encode(r)) || ':' || r || x), 32)) - 1 AS at FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(octet_length(encode(r)) || ':' || r || x), 32)) - 1 AS spot FROM t),
 m AS (SELECT c, h.* FROM (SELECT DISTINCT conv_id AS c FROM t) k, LATERAL (SELECT c - c % 5 AS base, crc AS first FROM (SELECT CAST(list_reduce(
 list_concat([4294967295], list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: ord(CAST(c AS VARCHAR)[i]))),
 lambda a, b: xor(a // 256, list_reduce(list_concat([xor(a, b) % 256], range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS BIGINT) AS raw,
 xor(raw, 4294967295) % 9 AS crc)) h),
-b AS (SELECT m.c, o.at, o.r, o.x FROM m JOIN o ON o.conv_id = m.base AND m.c <> m.base AND o.at < m.first
-UNION ALL SELECT m.c, o.at + 1000000000, o.r, o.x FROM m JOIN o ON o.conv_id = m.c AND (m.c = m.base OR o.at >= m.first)),
-p AS (SELECT c, row_number() OVER w AS d, x, string_agg(sha256(octet_length(encode(r)) || ':' || r || x), '') OVER w AS k FROM b WINDOW w AS (PARTITION BY c ORDER BY at)),
+b AS (SELECT m.c, o.spot, o.r, o.x FROM m JOIN o ON o.conv_id = m.base AND m.c <> m.base AND o.spot < m.first
+UNION ALL SELECT m.c, o.spot + 1000000000 AS spot, o.r, o.x FROM m JOIN o ON o.conv_id = m.c AND (m.c = m.base OR o.spot >= m.first)),
+p AS (SELECT c, row_number() OVER w AS d, x, string_agg(sha256(octet_length(encode(r)) || ':' || r || x), '') OVER w AS k FROM b WINDOW w AS (PARTITION BY c ORDER BY spot)),
 q AS (SELECT c, d, md5(k) AS k, CASE WHEN d > 1 THEN md5(left(k, -64)) ELSE '' END AS up, octet_length(encode(x)) AS n FROM p UNION ALL SELECT c, 0, '', NULL, 0 FROM m),
 e AS (SELECT q.* FROM q JOIN (SELECT c, max(d) AS d FROM q GROUP BY c) USING (c, d)),
 s AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM e GROUP BY d, k),
