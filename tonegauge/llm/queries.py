@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegauge.llm import bpe, html, langid, licences, prefixes, simhash, suffix, topk, toxicity, warc, winnow
+from tonegauge.llm import bpe, html, langid, licences, prefixes, quality, simhash, suffix, topk, toxicity, warc, winnow
 from tonegauge.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,11 @@ FROM g JOIN a ON g.d = a.d AND g.k = a.k LEFT JOIN s ON g.d = s.d AND g.k = s.k
 @query("op11_prefix_trie", OP11_SQL)
 def op11(spark, sf_dir):
     return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_quality")
+def op12(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, crc_bucket(F.col("doc_id"), 5) != 0)
+    found = quality.score_texts(docs, model, {"doc_id": "bigint"})
+    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
