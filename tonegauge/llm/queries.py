@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegauge.llm import bpe, html, langid, licences, prefixes, quality, simhash, suffix, topk, toxicity, warc, winnow
+from tonegauge.llm import bpe, html, langid, licences, manifest, prefixes, quality, simhash, suffix, topk, toxicity, warc, winnow
 from tonegauge.llm.common import crc_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,12 +123,13 @@ def op10(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", licences.joined(F.col("base_labels")).alias("base_labels"), licences.joined(every).alias("labels"), "score")
 
 
-OP11_SQL = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+#: The unsigned crc32 of an ASCII text, byte by byte.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({0}) + 1), lambda i: ord({0}[i])::BIGINT)),
+lambda a, b: xor(a // 256, list_reduce(list_concat([xor(a, b) % 256], range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))), 4294967295)"""
+
+OP11_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha256(octet_length(encode(r)) || ':' || r || x), 32)) - 1 AS spot FROM t),
-m AS (SELECT c, h.* FROM (SELECT DISTINCT conv_id AS c FROM t) k, LATERAL (SELECT c - c % 5 AS base, crc AS first FROM (SELECT CAST(list_reduce(
-list_concat([4294967295], list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: ord(CAST(c AS VARCHAR)[i]))),
-lambda a, b: xor(a // 256, list_reduce(list_concat([xor(a, b) % 256], range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) AS BIGINT) AS raw,
-xor(raw, 4294967295) % 9 AS crc)) h),
+m AS (SELECT c, h.* FROM (SELECT DISTINCT conv_id AS c FROM t) k, LATERAL (SELECT c - c % 5 AS base, {_CRC.format("CAST(c AS VARCHAR)")} % 9 AS first) h),
 b AS (SELECT m.c, o.spot, o.r, o.x FROM m JOIN o ON o.conv_id = m.base AND m.c <> m.base AND o.spot < m.first
 UNION ALL SELECT m.c, o.spot + 1000000000 AS spot, o.r, o.x FROM m JOIN o ON o.conv_id = m.c AND (m.c = m.base OR o.spot >= m.first)),
 p AS (SELECT c, row_number() OVER w AS d, x, string_agg(sha256(octet_length(encode(r)) || ':' || r || x), '') OVER w AS k FROM b WINDOW w AS (PARTITION BY c ORDER BY spot)),
@@ -155,3 +156,26 @@ def op12(spark, sf_dir):
     model = quality.train(docs, labels, crc_bucket(F.col("doc_id"), 5) != 0)
     found = quality.score_texts(docs, model, {"doc_id": "bigint"})
     return found.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_SIDES = """SELECT {1}lev, i, coalesce(string_agg(d, '') OVER (PARTITION BY {1}lev, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+coalesce(string_agg(d, '') OVER (PARTITION BY {1}lev, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM (SELECT *, count(*) OVER (PARTITION BY {1}lev) AS c FROM {0}) WHERE c > 1"""
+OP13_SQL = f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (SELECT doc_id, coalesce('1' || source, '0') AS g,
+{_LEAF.format("text")} AS leaf, CASE WHEN {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '')")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} END AS bad FROM documents)),
+n AS (SELECT g, 0 AS lev, i, leaf AS d FROM l UNION ALL SELECT g, lev + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM n) WHERE c > 1 GROUP BY g, lev, i // 3),
+s AS (SELECT g, arg_max(d, lev) AS d, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM n GROUP BY g),
+t AS (SELECT 0 AS lev, i, d FROM s UNION ALL SELECT lev + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM t) WHERE c > 1 GROUP BY lev, i // 3),
+x AS ({_SIDES.format("n", "g, ")}), y AS ({_SIDES.format("t", "")}),
+f AS (SELECT id, g, 0 AS lev, i, coalesce(bad, leaf) AS v, '' AS p FROM l UNION ALL SELECT f.id, f.g, f.lev + 1, f.i // 3, sha256(x.l || v || x.r), p || x.l || x.r FROM f JOIN x ON f.g = x.g AND f.lev = x.lev AND f.i = x.i),
+a AS (SELECT id, g, arg_max(v, lev) AS v, arg_max(p, lev) AS p FROM f GROUP BY id, g),
+h AS (SELECT a.id, 0 AS lev, s.i, a.v, a.p FROM a JOIN s ON a.g = s.g UNION ALL SELECT h.id, h.lev + 1, h.i // 3, sha256(y.l || v || y.r), p || y.l || y.r FROM h JOIN y ON h.lev = y.lev AND h.i = y.i),
+o AS (SELECT id, arg_max(v, lev) AS v, arg_max(p, lev) AS p FROM h GROUP BY id), z AS (SELECT arg_max(d, lev) AS root FROM t)
+SELECT l.doc_id, l.leaf, s.d AS subroot, z.root, sha256(o.p) AS proof_sha256, o.v AS folded_root, o.v = z.root AS verified
+FROM l JOIN s ON l.g = s.g JOIN o ON l.id = o.id, z"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark, sf_dir):
+    return manifest.manifest(table(spark, sf_dir, "documents"))
