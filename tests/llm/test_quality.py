@@ -62,7 +62,7 @@ def test_sample_counts_copies_once(spark, table):
     copies = spark.createDataFrame([(i, "one text", 0.1, "c") for i in range(500)] + [(1000, "other", 0.1, "c"), (1000, "other", 0.1, "c"), (1001, "long " * 9000, 0.1, "c")], DOCS)
     labels = spark.createDataFrame([(i, int(i == 7), "c") for i in range(500)] + [(1000, None, "c"), (1000, 0, "c"), (1001, 1, "c"), (None, 1, "c"), (5000, 1, "c")], LABELS)
     kept, chosen = quality.labelled_sample(copies, labels, F.lit(True), "quality", 10_000, 3, 20_000)
-    assert sorted(chosen) == [("one text", 1), ("other", 0)] and kept.count() == 502
+    assert sorted(c[:2] for c in chosen) == [("one text", 1), ("other", 0)] and kept.count() == 2
 
 
 def test_pieces_cut_at_passages(monkeypatch):

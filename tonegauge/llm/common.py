@@ -85,14 +85,14 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label: str, rows: int, sample: int, most_chars: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[tuple[str, int]]]:
-    """A bounded number of labelled texts: the table of all chosen rows (``_t``, ``_y``) and a list for the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label: str, rows: int, sample: int, most_chars: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """A bounded number of labelled texts: all of them as a table (``_t``, ``_y``, ``_h``), and a list for the driver.
 
     Labels meet document ids, never texts: of the ids that ``usable`` (a condition on the id) allows and that have a label,
     the ``rows`` with the smallest hash are broadcast, and the documents are filtered where they lie. Texts above
-    ``most_chars`` characters are left out. For the list, equal texts count once, with the largest of their labels, and
-    the ``sample`` smallest text hashes stay. Of several labels of one id the larger counts; rows without an id or a label, and
-    labels without a document, take no part.
+    ``most_chars`` characters are left out. Equal texts count once, with the largest of their labels; the list holds
+    (text, is the label 1, text hash) of the ``sample`` smallest text hashes. Of several labels of one id the larger
+    counts; rows without an id or a label, and labels without a document, take no part.
     """
     wanted = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_d")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     ids = docs.where(usable).select(F.col(doc_id).alias("_d")).join(wanted, "_d").distinct()
@@ -101,5 +101,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label: s
     value = F.coalesce(F.col(text), F.lit(""))
     found = docs.where(usable & (F.length(value) <= most_chars)).select(F.col(doc_id).alias("_d"), value.alias("_t")).join(picked, "_d")
     kept = settle(found.select("_t", "_y", F.xxhash64(F.lit(3), "_t").alias("_h")), "labelled")
-    once = kept.groupBy("_h").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t")).orderBy("_h").limit(sample)
-    return kept, [(r["_t"], int(r["_y"] == 1)) for r in once.collect()]
+    once = kept.groupBy("_h").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t"))
+    return once, [(r["_t"], int(r["_y"] == 1), r["_h"]) for r in once.orderBy("_h").limit(sample).collect()]

@@ -245,15 +245,19 @@ def score_bags(model: Attention, read: Passages, texts: list[str | None]) -> np.
     return _sigmoid((pooled / total[:, None]) @ model.judge)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 12_000, sample: int = 3000, most_chars: int = 20_000, label: str = "quality", epochs: int = 60) -> Attention:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 12_000, sample: int = 3000, most_chars: int = 8_000, label: str = "quality", epochs: int = 60) -> Attention:
     """Learn from the labelled documents that ``usable`` (a condition on the document id) allows.
 
     At most ``rows`` labelled documents are looked at and at most ``sample`` distinct texts of up to ``most_chars`` characters
     learned from (``labelled_sample``). No labelled document: every score is one half.
     """
     _, chosen = labelled_sample(docs, labels, usable, label, rows, sample, most_chars)
-    found, bag = Passages().rows([(text or "").split() for text, _ in chosen]) if chosen else (np.zeros((0, WIDTH)), np.zeros(0, int))
-    return fit(found, bag, np.array([y for _, y in chosen], float), epochs=epochs)
+    read, found, bags = Passages(), [np.zeros((0, WIDTH))], [np.zeros(0, int)]
+    for first in range(0, len(chosen), 64):  # the table of tokens is bounded between calls only
+        part, bag = read.rows([text.split() for text, _, _ in chosen[first : first + 64]])
+        found.append(part)
+        bags.append(bag + first)
+    return fit(np.concatenate(found), np.concatenate(bags), np.array([y for _, y, _ in chosen], float), epochs=epochs)
 
 
 def score_texts(docs: DataFrame, model: Attention, keys: dict[str, str], text: str = "text", least: float = 0.3) -> DataFrame:
