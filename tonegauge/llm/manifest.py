@@ -1,6 +1,6 @@
 """Merkle manifest of a table: bitmap ranks give every row its leaf, keyed arrays of slots reduce the levels.
 
-The ids of each group (source) are kept as compressed bitmaps of 65,536 neighbouring ids: sorted 16-bit numbers or plain bits,
+The ids of each group (source) are kept as compressed bitmaps of 4,096 neighbouring ids: sorted short numbers or plain bits,
 with a short list of ids that occur more than once. Bitmaps made batch by batch are merged per (group, block); running
 totals of their population counts are the directory, and the rank of an id (directory entry plus the bits before it)
 is its leaf's place in the group, without sorting the rows. Runs of ``FAN`` neighbouring leaves then meet as one keyed
@@ -23,9 +23,9 @@ from tonegauge.operators.scan import running
 
 ARITY, LEVELS = 3, 8
 FAN = ARITY**LEVELS
-BLOCK_BITS = 16
+BLOCK_BITS = 12
 #: Rows of one block above which its rows are dealt to several tasks (only repeated ids can be that many).
-HOT = 1 << 18
+HOT = 1 << 14
 #: Block of the rows without an id: before all others.
 NO_ID = -(1 << 62)
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -59,8 +59,8 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def pack(low: np.ndarray) -> bytes:
-    """Distinct sorted 16-bit numbers, as they are or as bits, whichever is shorter."""
-    if len(low) <= 4096:
+    """Distinct sorted numbers below 2 ** BLOCK_BITS, as they are or as bits, whichever is shorter."""
+    if len(low) * 16 <= 1 << BLOCK_BITS:
         return b"A" + low.astype("<u2").tobytes()
     bits = np.zeros(1 << BLOCK_BITS, np.uint8)
     bits[low] = 1
@@ -122,7 +122,7 @@ def _counted(low: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, int]:
 
 
 def _merge(part: pa.Table) -> pa.Table:
-    """The bitmaps of one (group, block) as one: as many rows as batches that hold ids of it, 8 kB each at most."""
+    """The bitmaps of one (group, block) as one: as many rows as batches that hold ids of it, 512 bytes each at most."""
     low, n = [], []
     for bits, extra in zip(part.column("bits").to_pylist(), part.column("extra").to_pylist()):
         ids, pairs = unpack(bits), np.frombuffer(extra, "<i8").reshape(-1, 2)
