@@ -267,7 +267,7 @@ def test_toxicity_samples_each_text_once(spark, monkeypatch):
     rows = [*enumerate(texts), *((100 + i, hot) for i in range(200)), (400, None), (401, "y" * 20_001)]
     labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(100 + i, int(i == 7)) for i in range(200)] + [(401, 1)]
     given, seen = spark.createDataFrame(labels, "doc_id bigint, toxic int"), []
-    monkeypatch.setattr(toxicity, "fit_sample", lambda rows, lexicon, persons: seen.extend(rows))
+    monkeypatch.setattr(toxicity, "fit_sample", lambda rows, lexicons, persons: seen.extend(r[:2] for r in rows))
     toxicity.train(documents(spark, rows), given, F.lit(True), sample=sample)
     assert seen == [(r.text, int(r.text == hot or texts.index(r.text) % 3 == 0)) for r in hashed[:sample]]
 
@@ -284,6 +284,36 @@ def test_toxicity_counts_every_word_of_a_token(text, hits, total, changed, apart
     assert found[8] == (hits if "you" in text else 0)
 
 
+def test_toxicity_moves_no_text(spark, tmp_path, monkeypatch):
+    """Labels that are too large to broadcast still meet ids only."""
+    from tonegauge.llm import common
+
+    rows = [(i, f"text {i} " + ("blarg" if i % 3 == 0 else "fine")) for i in range(60)]
+    given = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    seen, settle = [], common.settle
+    monkeypatch.setattr(common, "settle", lambda df, label: seen.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        common.labelled_sample(documents(spark, rows).coalesce(2), given, F.lit(True), "toxic", 50, 20, 100)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(seen) == 1 and "SortMergeJoin" not in seen[0] and "BroadcastHashJoin" in seen[0]
+
+
+def test_toxicity_long_texts_and_words(spark):
+    read = toxicity.Reader({"idiot": 3.0}, frozenset(["you"]), most=50, chars=2000, step=7)
+    plain = toxicity.Reader({"idiot": 3.0}, frozenset(["you"]))
+    draw = random.Random(1)
+    text = " ".join(draw.choice(["you", "idiot", "i.d.i.o.t", "i d i o t", "x" * 300, f"w{i}"]) for i in range(3000))
+    assert read.features(text) == plain.features(text)
+    many = " ".join(f"w{i}" for i in range(3000))
+    assert plain.features(many) == toxicity.Reader({}, frozenset(), step=50).features(many)
+    letters = "ab" * 40
+    once = spark.createDataFrame([("plain same", 0, i) for i in range(20)] + [(letters, 1, 30 + i) for i in range(20)], "_t string, _y int, _h bigint")
+    found = toxicity.learn_lexicons(once, 5, 100, prefixes=())
+    assert len(found) == 6 and all(letters in f for f in found) and not any(len(word) < len(letters) for f in found for word in f if word != "same")
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b c")])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"), F.lit(True))

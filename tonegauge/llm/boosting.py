@@ -33,7 +33,7 @@ class Boosted:
 
 
 def fit(rows: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.2, ridge: float = 1.0, least: float = 3.0) -> Boosted:
-    """Second-order boosting of the logistic loss over histograms of at most ``BINS`` quantile bins for each feature.
+    """Second-order boosting of the logistic loss over histograms of at most ``BINS`` bins for each feature, even over its distinct values.
 
     One class only, or no row: the constant score of that class (0 for no row).
     """
@@ -86,19 +86,20 @@ def _cuts(values: np.ndarray) -> np.ndarray:
 def isotonic(score: np.ndarray, label: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots of a non-decreasing map from scores to probabilities.
 
-    Equal scores are pooled first; every pool's mean is drawn a little to one half, so no probability is 0 or 1.
+    Equal scores are pooled first; every pool's mean is drawn a little to one half, so no probability is 0 or 1. A pool's
+    knot stands at the mean of its scores, so that scores between two knots keep their order (centred isotonic
+    regression).
     """
     order = np.argsort(score, kind="stable")
     values, first = np.unique(score[order], return_index=True)
     sums, counts = np.add.reduceat(label[order].astype(float), first), np.diff(np.r_[first, len(order)]).astype(float)
-    pools: list[list[float]] = []
+    pools: list[list[float]] = []  # sum of scores, labels, rows
     for x, s, n in zip(values, sums, counts):
-        pools.append([x, x, s, n])
-        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
-            low, high = pools[-2], pools.pop()
-            low[1], low[2], low[3] = high[1], low[2] + high[2], low[3] + high[3]
-    x = [edge for low, high, _, _ in pools for edge in (low, high)]
-    y = [(s + prior / 2) / (n + prior) for _, _, s, n in pools for _ in range(2)]
+        pools.append([x * n, s, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            high = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], high)]
+    x, y = [total / n for total, _, n in pools], [(s + prior / 2) / (n + prior) for _, s, n in pools]
     return np.array(x), np.maximum.accumulate(np.array(y))
 
 

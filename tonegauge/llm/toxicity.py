@@ -1,9 +1,10 @@
 """Toxicity: boosted trees over dense features of a text, calibrated by isotonic regression.
 
-The lexicon is learned: every labelled training document counts once for each of its words and word beginnings, Spark
-sums the counts by label, and the entries whose presence speaks most for the label are kept (``entries`` of them, a
-fixed bound). Other features are rates: lexicon hits near a second person, capitals, punctuation, spelled-out and
-substituted letters. The trees and the calibration are fitted on a bounded sample of the training rows.
+Everything is learned from a bounded number of labelled texts, found by joining labels with document ids, so no text is
+shuffled. The lexicon: each of these texts counts once for each of its words and word beginnings, Spark sums the
+counts by label, and the entries whose presence speaks most for the label are kept (``entries`` of them, a fixed bound).
+Other features are rates: lexicon hits near a second person, capitals, punctuation, spelled-out and substituted letters.
+The calibration sees scores of texts that neither the lexicon nor the trees behind them have seen.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ import math
 
 import numpy as np
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegauge.llm import boosting
-from tonegauge.llm.common import map_columns, ship
+from tonegauge.llm.common import labelled_sample, map_columns, ship
 
 #: Fixed word list: second persons in the four languages of the tables.
 SECOND_PERSONS = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "tu", "toi", "te", "ton", "ta", "vous", "votre", "usted", "ustedes", "ti", "tus"]
@@ -39,23 +40,32 @@ def plain(token: str) -> str:
     return regex.sub(r"(.)\1{2,}", r"\1", low)
 
 
-def lexicon_counts(docs: DataFrame, label: Column, text: str = "text", prefixes=PREFIXES) -> DataFrame:
-    """entry, toxic, other: in how many labelled documents a word, or a word beginning (with `*`), occurs."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{2,40}"), F.lit(0)))
-    starts = [F.transform(F.filter("t", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in prefixes]
-    rows = docs.select(label.cast("int").alias("y"), tokens.alias("t"))
-    rows = rows.select("y", F.explode(F.array_distinct(F.concat("t", *starts))).alias("entry"))
-    return rows.groupBy("entry").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("other"))
-
+def learn_lexicons(texts: DataFrame, folds: int, entries: int, least: int = 3, prefixes=PREFIXES) -> list[dict[str, float]]:
+    """A lexicon without each fold's texts, and as the last one a lexicon of all texts.
 
-def learn_lexicon(counts: DataFrame, toxic: int, other: int, entries: int = 1000, least: int = 3) -> dict[str, float]:
-    """The entries with the largest gain in log likelihood whose smoothed log odds exceed one."""
-    if not toxic or not other:
-        return {}
-    odds = F.log(((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("other") + 0.5) / (other + 1)))
-    best = counts.where(F.col("toxic") >= least).select("entry", odds.alias("odds"), (F.col("toxic") * odds).alias("gain")).where("odds > 1")
-    rows = best.orderBy(F.desc("gain"), "entry").limit(entries).collect()
-    return {row["entry"]: row["odds"] for row in rows}
+    Every text (``_t``, ``_y``, ``_h``; its fold is its hash modulo ``folds``) counts once for each of its words and word
+    beginnings (with `*`). Kept are the entries with the largest gain in log likelihood whose smoothed log odds exceed one.
+    """
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}{2,}"), F.lit(0)))
+    starts = [F.transform(F.filter("t", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in prefixes]
+    rows = texts.select((F.col("_y") == 1).alias("y"), F.pmod("_h", F.lit(folds)).alias("fold"), tokens.alias("t"))
+    sizes = {(r["y"], r["fold"]): r["n"] for r in rows.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
+    entry = rows.select("y", "fold", F.explode(F.array_distinct(F.concat("t", *starts))).alias("entry"))
+    counts = entry.groupBy("entry").agg(*[F.count(F.when((F.col("fold") == k) & (F.col("y") == y), 1)).alias(f"n{k}_{int(y)}") for k in range(folds) for y in (True, False)])
+
+    def without(k: int) -> Column:
+        found = [sum(F.col(f"n{j}_{y}") for j in range(folds) if j != k) for y in (1, 0)]
+        whole = [sum(n for (y, j), n in sizes.items() if y == kind and j != k) for kind in (True, False)]
+        usable = F.lit(bool(whole[0] and whole[1]))
+        odds = F.log(((found[0] + 0.5) / (whole[0] + 1)) / ((found[1] + 0.5) / (whole[1] + 1)))
+        return F.struct(F.lit(k).alias("k"), found[0].alias("toxic"), odds.alias("odds"), usable.alias("usable"))
+
+    each = counts.select("entry", F.inline(F.array(*[without(k) for k in range(folds + 1)]))).where((F.col("toxic") >= least) & F.col("usable") & (F.col("odds") > 1))
+    best = Window.partitionBy("k").orderBy(F.desc(F.col("toxic") * F.col("odds")), "entry")
+    kept: list[dict[str, float]] = [{} for _ in range(folds + 1)]
+    for r in each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= entries).collect():
+        kept[r["k"]][r["entry"]] = r["odds"]
+    return kept
 
 
 class Reader:
@@ -65,11 +75,21 @@ class Reader:
     #: hits, spelled-out words, words, the three largest weights.
     WIDTH = 14
 
-    def __init__(self, lexicon: dict[str, float], persons: frozenset[str], most: int = 200_000):
-        self.lexicon, self.persons, self.most = lexicon, persons, most
+    def __init__(self, lexicon: dict[str, float], persons: frozenset[str], most: int = 200_000, chars: int = 8_000_000, step: int = 100_000):
+        self.lexicon, self.persons, self.most, self.chars, self.step = lexicon, persons, most, chars, step
         self.known: dict[str, int] = {}
+        self.held = 0
         self.table = np.zeros((1024, self.WIDTH), np.float32)
 
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """The table's rows of some tokens; the table is emptied when it holds too many entries or characters."""
+        if len(self.known) > self.most or self.held > self.chars:
+            self.known.clear()
+            self.held = 0
+        get, add = self.known.get, self.add
+        numbers = [n if (n := get(t)) is not None else add(t) for t in tokens]  # may put a longer table in place
+        return self.table[numbers]
+
     def weight(self, word: str) -> float:
         best = self.lexicon.get(word, 0.0)
         for n in PREFIXES:
@@ -101,6 +121,7 @@ class Reader:
             row[3], row[4] = sum(map(str.isupper, body)), sum(len(part) > 2 and part.isupper() for part in raw + joined)
             row[5], row[6], row[7] = token.count("!") + token.count("?"), token.count("!!"), len(letters) == 1
         self.known[token] = number
+        self.held += len(token)
         return number
 
     def spelled(self, tokens: list[str], single: np.ndarray) -> list[str]:
@@ -110,25 +131,26 @@ class Reader:
         return [plain("".join(c for i in run for c in tokens[i] if c.isalpha())) for run in runs if len(run) >= 3]
 
     def features(self, text: str | None) -> list[float]:
-        """All zero for a text without words."""
+        """All zero for a text without words. Whole texts, ``step`` tokens at a time."""
         tokens = (text or "").split()
         if not tokens:
             return [0.0] * 16
-        if len(self.known) + len(tokens) > self.most + 100_000:
-            self.known.clear()
-        get, add = self.known.get, self.add
-        numbers = [n if (n := get(t)) is not None else add(t) for t in tokens]
-        rows = self.table[numbers]
-        sums = rows.sum(axis=0, dtype=np.float64)
-        hits = np.flatnonzero(rows[:, 8])
-        near = 0
-        if len(hits) and sums[2]:
-            persons = np.flatnonzero(rows[:, 2])
-            close = np.searchsorted(persons, hits + NEAR, "right") > np.searchsorted(persons, hits - NEAR)
-            near = int(rows[hits[close], 8].sum())
-        spelled = self.spelled(tokens, rows[:, 7] > 0) if sums[7] >= 3 else []
+        sums, persons, hits, single = np.zeros(self.WIDTH), [], [], []
+        for first in range(0, len(tokens), self.step):
+            rows = self.rows(tokens[first : first + self.step])
+            sums += rows.sum(axis=0, dtype=np.float64)
+            found = np.flatnonzero(rows[:, 8])
+            hits.append((first + found, rows[found, 8], rows[found, 11:]))
+            persons.append(first + np.flatnonzero(rows[:, 2]))
+            single.append(rows[:, 7] > 0)
+        place, many, best = (np.concatenate(part) for part in zip(*hits))
+        near, person = 0, np.concatenate(persons)
+        if len(place) and len(person):
+            close = np.searchsorted(person, place + NEAR, "right") > np.searchsorted(person, place - NEAR)
+            near = int(many[close].sum())
+        spelled = self.spelled(tokens, np.concatenate(single)) if sums[7] >= 3 else []
         more = [w for word in spelled if (w := self.weight(word))]
-        top = sorted([*rows[hits, 11:].ravel().tolist(), *more, 0.0, 0.0, 0.0], reverse=True)[:3]
+        top = sorted([*best.ravel().tolist(), *more, 0.0, 0.0, 0.0], reverse=True)[:3]
         found, total, changed = sums[8] + len(more), sums[0] + sum(more), sums[1] + len(more)
         count, size, apart = int(sums[10]), len(text), sums[9] + len(spelled)
         return [
@@ -144,38 +166,38 @@ class ToxicModel:
     reader: Reader
 
 
-def fit_sample(rows: list[tuple[str | None, int]], lexicon: dict[str, float], persons: frozenset[str]) -> ToxicModel:
-    """Trees on four fifths of the sample, isotonic calibration on the rest."""
-    read = Reader(lexicon, persons).features
-    x = np.array([read(text) for text, _ in rows]) if rows else np.zeros((0, 16))
-    y = np.array([label for _, label in rows], float)
-    held = np.arange(len(rows)) % 5 == 0
-    trees = boosting.fit(x[~held], y[~held], trees=60, depth=4, rate=0.15)
-    knots = boosting.isotonic(trees.score(x[held]), y[held]) if held.any() else (np.zeros(0), np.zeros(0))
-    return ToxicModel(trees, knots, Reader(lexicon, persons))
+def fit_sample(rows: list[tuple[str, int, int]], lexicons: list[dict[str, float]], persons: frozenset[str]) -> ToxicModel:
+    """Trees on all rows, and isotonic calibration of scores each fold gets from a lexicon and trees made without it."""
+    y = np.array([label for _, label, _ in rows], float)
+    folds = len(lexicons) - 1
+    fold = np.array([key % folds for _, _, key in rows], int)
+
+    def fitted(lexicon: dict[str, float], held: np.ndarray) -> tuple[boosting.Boosted, np.ndarray]:
+        read = Reader(lexicon, persons).features
+        x = np.array([read(text) for text, _, _ in rows]) if rows else np.zeros((0, 16))
+        trees = boosting.fit(x[~held], y[~held], trees=60, depth=4, rate=0.15)
+        return trees, trees.score(x[held])
+
+    apart = np.zeros(len(rows))
+    for k in range(folds):
+        held = fold == k
+        if held.any():
+            apart[held] = fitted(lexicons[k], held)[1]
+    trees, _ = fitted(lexicons[-1], np.zeros(len(rows), bool))
+    knots = boosting.isotonic(apart, y) if rows else (np.zeros(0), np.zeros(0))
+    return ToxicModel(trees, knots, Reader(lexicons[-1], persons))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000, most_chars: int = 20_000, entries: int = 1000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 12_000, sample: int = 3000, most_chars: int = 8_000, entries: int = 1000, folds: int = 5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel:
     """Learn from the labelled documents that ``usable`` (a condition on the document id) allows.
 
-    ``sample`` bounds the texts the trees see: those of the smallest text hash among texts of at most ``most_chars``;
-    equal texts count once there, with the largest of their labels. The lexicon's counts cover every usable labelled
-    document. Rows without a label, and labels without a document, take no part; of several labels of one id the larger
-    counts.
+    At most ``rows`` labelled documents of up to ``most_chars`` characters are looked at (``labelled_sample``): the lexicon
+    counts their distinct texts, the trees and the calibration see ``sample`` of them. No labelled document: every score
+    is one half.
     """
-    wanted = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_d")).agg(F.max(label).alias("_y"))
-    value = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.where(usable).select(doc_id, text, F.when(F.length(value) <= most_chars, F.xxhash64(F.lit(3), value)).alias("_h"))
-    rows = texts.join(wanted, F.col(doc_id) == F.col("_d")).select(F.col(text), F.col("_y").cast("int").alias("_y"), "_h")
-    size = rows.groupBy("_y").agg(F.count("*").alias("n")).collect()
-    toxic, other = sum(r["n"] for r in size if r["_y"] == 1), sum(r["n"] for r in size if r["_y"] != 1)
-    lexicon = learn_lexicon(lexicon_counts(rows, F.col("_y"), text), toxic, other, entries)
-    # hashes first, so that copies are one row each before any text moves
-    near = rows.where(F.col("_h").isNotNull())
-    labelled = {r["_h"]: r["_y"] for r in near.groupBy("_h").agg(F.max("_y").alias("_y")).orderBy("_h").limit(sample).collect()}
-    chosen = near.where(F.col("_h") <= max(labelled, default=0)).groupBy("_h").agg(F.min(value).alias("_t"))
-    picked = [(r["_h"], r["_t"], labelled[r["_h"]]) for r in chosen.orderBy("_h").limit(sample).collect()] if labelled else []
-    return fit_sample([(value, int(y == 1)) for _, value, y in picked], lexicon, frozenset(SECOND_PERSONS))
+    once, chosen = labelled_sample(docs, labels, usable, label, rows, sample, most_chars, doc_id, text)
+    lexicons = learn_lexicons(once, folds, entries) if chosen else [{}] * (folds + 1)
+    return fit_sample(chosen, lexicons, frozenset(SECOND_PERSONS))
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, keys: dict[str, str], text: str = "text") -> DataFrame:
