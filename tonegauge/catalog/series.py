@@ -9,7 +9,9 @@ from tonegauge.catalog.responses import CLASSIFIED
 from tonegauge.operators import calendar, indices
 from tonegauge.plans.jobs import index_job
 from tonegauge.session import scratch_path
+from tonegauge.sources import tables
 from tonegauge.streaming.ingest import collect_responses
+from tonegauge.streaming.windows import collect_daily_index
 
 VALUES = [*K.MEAN_METRICS, *K.DIFFUSION_METRICS]
 
@@ -164,3 +166,24 @@ def set_aside(spark, sf):
     B.responses(spark, sf).select("raw").write.text(inbox)
     collect_responses(spark, inbox, table, checkpoint)
     return spark.read.parquet(f"{table}_set_aside").select(F.md5(F.col("raw").cast("binary")).alias("raw_md5"), "custom_id", "reason")
+
+
+_DELAY = 1200
+_LATE = f"date < (SELECT max(date) FROM prepared WHERE order_key % 3 <> 0) - INTERVAL {_DELAY} DAY"
+
+
+@query("l_daily_window", f"""WITH {B.PREPARED.replace("prepared AS", "every AS")}, prepared AS (SELECT * FROM every WHERE order_key % 3 <> 0),
+taken AS (SELECT * FROM prepared UNION ALL SELECT * FROM every WHERE order_key % 3 = 0 AND NOT ({_LATE})),
+{DAILY.replace("FROM prepared", "FROM taken")} SELECT country, date, {_ROUNDED}, speech_count FROM daily
+UNION ALL SELECT 'late', date, {", ".join("NULL" for _ in VALUES)}, CAST(count(*) AS INT) FROM every WHERE order_key % 3 = 0 AND {_LATE} GROUP BY date""")
+def daily_window(spark, sf):
+    """Two deliveries, the second with rows behind the watermark: the windows' index, and the late rows of each day."""
+    inbox, folder = scratch_path(spark, "inbox"), scratch_path(spark, "windows")
+    rows = B.prepared(spark, sf)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    for delivery in (F.col("order_key") % 3 != 0, F.col("order_key") % 3 == 0):
+        rows.where(delivery).write.mode("append").parquet(inbox)
+        collect_daily_index(spark, inbox, schema, folder, _DELAY)
+    index = spark.read.parquet(f"{folder}/index").drop(tables.MONTH)
+    late = spark.read.parquet(f"{folder}/late").groupBy("date").agg(F.count("*").cast("int").alias("speech_count")).withColumn("country", F.lit("late"))
+    return rounded(index.unionByName(late, allowMissingColumns=True), *VALUES)

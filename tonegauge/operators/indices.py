@@ -25,6 +25,14 @@ def diffusion_name(column: str) -> str:
     return column.replace("market_impact_", "") + "_diffusion_index"
 
 
+def daily_aggregates(means: Sequence[str] = K.MEAN_METRICS, impacts: Sequence[str] = K.IMPACT_METRICS, valid_only: bool = False) -> list[Column]:
+    return [
+        *[F.avg(c).alias(c) for c in means],
+        *[diffusion_index(F.col(c), valid_only).alias(diffusion_name(c)) for c in impacts],
+        F.count(F.lit(1)).cast("int").alias("speech_count"),
+    ]
+
+
 def daily_indices(
     prepared: DataFrame, keys: Sequence[str] = ("country",), date: str = "date",
     means: Sequence[str] = K.MEAN_METRICS, impacts: Sequence[str] = K.IMPACT_METRICS, valid_only: bool = False,
@@ -33,11 +41,7 @@ def daily_indices(
     return (
         prepared.where(F.col(date).isNotNull())
         .groupBy(*keys, F.col(date).alias("date"))
-        .agg(
-            *[F.avg(c).alias(c) for c in means],
-            *[diffusion_index(F.col(c), valid_only).alias(diffusion_name(c)) for c in impacts],
-            F.count(F.lit(1)).cast("int").alias("speech_count"),
-        )
+        .agg(*daily_aggregates(means, impacts, valid_only))
     )
 
 
