@@ -10,7 +10,7 @@ from tonegauge.operators import contracts, profile
 from tonegauge.operators.parse import classify_responses
 from tonegauge.operators.requests import build_requests, request_lines
 from tonegauge.session import scratch_path
-from tonegauge.sources import readers, writers
+from tonegauge.sources import readers, splits, writers
 
 
 @query("a1_parquet_scan", "SELECT * FROM customer")
@@ -39,6 +39,14 @@ def a2(spark, sf):
     return _sample_view(readers.read_csv(spark, path, _SAMPLE_SCHEMA))
 
 
+@query("a2_split_csv", _SAMPLE_SQL)
+def a2_split(spark, sf):
+    """Files with line breaks and quotes inside their fields, each read by several tasks."""
+    path = scratch_path(spark, "split_csv")
+    writers.write_table(B.speeches(spark, sf), path, "csv")
+    return _sample_view(splits.read_split_csv(spark, path, _SAMPLE_SCHEMA, size=1 << 17))
+
+
 @query("a3_preferred_scan", _SAMPLE_SQL)
 def a3(spark, sf):
     path = scratch_path(spark, "preferred")

@@ -240,6 +240,18 @@ def e12(spark, sf):
     return requests.request_file_errors(lines).select("doc_id", "error")
 
 
+@query("e12_line_context", f"""WITH lines AS (SELECT doc_id // 100000 AS part, row_number() OVER (PARTITION BY doc_id // 100000 ORDER BY doc_id) AS line_number, {_REQUEST_LINE} AS raw FROM documents)
+SELECT part, line_number, CASE WHEN NOT json_valid(raw) THEN 'Invalid JSON' ELSE 'Missing required field ''url''' END AS error FROM lines
+WHERE NOT json_valid(raw) OR json_extract(raw, '$.url') IS NULL""")
+def e12_context(spark, sf):
+    """Files of up to 100,000 request lines, read in splits of 16 kB."""
+    path = scratch_path(spark, "request_files")
+    lines = B.table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 100000").alias("part"), F.expr(_REQUEST_LINE).alias("raw"))
+    lines.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "raw").write.partitionBy("part").text(path)
+    found = requests.request_file_context(spark, path, size=1 << 14)
+    return found.select(F.regexp_extract("file_name", r"part=(\d+)", 1).cast("bigint").alias("part"), "line_number", "error")
+
+
 @query("k1_scored_requests", f"""WITH {B.SPEECHES}, {PROMPT_SQL}, s AS (SELECT speech_id,
   greatest(-100, least(100, 20 * ({_count_sql(UP_TERMS, 'sent')} - {_count_sql(DOWN_TERMS, 'sent')}))) AS score,
   {_count_sql(UP_TERMS, 'sent')} AS up, {_count_sql(DOWN_TERMS, 'sent')} AS down FROM cut)

@@ -6,12 +6,13 @@ import json
 from collections.abc import Sequence
 from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
 from tonegauge.functions.scoring import cost_per_million, cost_per_thousand
 from tonegauge.functions.text import clip_to_limit, escaped_length, no_strings, token_estimate
+from tonegauge.sources.splits import checked_lines, read_split_lines
 
 # The template is a parameter everywhere; callers with their own wording pass it with the same four slots.
 DEFAULT_TEMPLATE = f"""Rate the monetary policy tone of the speech below.
@@ -151,6 +152,20 @@ def flat_estimates(chunk_totals: DataFrame) -> DataFrame:
     )
 
 
+def request_problem(raw: str = "raw") -> Column:
+    """First failing rule of a request line, NULL for a good one: a JSON object with the four request fields."""
+    value = F.try_parse_json(F.col(raw))
+    problem = F.when(value.isNull(), F.lit("Invalid JSON"))
+    for field in K.REQUEST_FIELDS:
+        problem = problem.when(F.try_variant_get(value, f"$.{field}", "variant").isNull(), F.lit(f"Missing required field '{field}'"))
+    return problem
+
+
+def request_file_context(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """file_name, line_number and error of every bad line of the request files at ``path``, whatever their size."""
+    return checked_lines(read_split_lines(spark, path), request_problem(), size)
+
+
 def request_file_errors(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Lines that are no JSON object with the four request fields: first failing rule per line.
 

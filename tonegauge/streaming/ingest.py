@@ -36,16 +36,18 @@ def write_batch(df: DataFrame, table: str, batch: str) -> None:
     df.write.mode("overwrite").parquet(f"{table.rstrip('/')}/{BATCH}={batch}")
 
 
-def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Everything that is there, micro-batch by micro-batch, then stop."""
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> int:
+    """Everything that is there, micro-batch by micro-batch, then stop: the number of input rows read."""
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(progress["numInputRows"] for progress in query.recentProgress)
 
 
 def collect_responses(
     spark: SparkSession, inbox: str, table: str, checkpoint: str, profile: str = "full", max_files: int = 1000,
     set_aside: str | None = None,
-) -> None:
-    """Append everything new in ``inbox`` to the Parquet table, then stop.
+) -> int:
+    """Append everything new in ``inbox`` to the Parquet table, then stop; the number of lines read.
 
     Each file is read and each line is parsed once for both outputs: flat records go to ``table``, lines that cannot be
     used to ``set_aside`` (by default beside it). Both tables are folders of micro-batches (column ``batch``), so a batch
@@ -62,4 +64,4 @@ def collect_responses(
         finally:
             parsed.unpersist()
 
-    run_batches(response_stream(spark, inbox, max_files), checkpoint, both)
+    return run_batches(response_stream(spark, inbox, max_files), checkpoint, both)
