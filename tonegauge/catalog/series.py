@@ -7,6 +7,8 @@ from tonegauge.catalog import base as B
 from tonegauge.catalog.base import query, rounded
 from tonegauge.catalog.responses import CLASSIFIED
 from tonegauge.operators import calendar, indices
+from tonegauge.operators.aggregates import aggregate_by
+from tonegauge.operators.incremental import update_index
 from tonegauge.plans.jobs import index_job
 from tonegauge.session import scratch_path
 from tonegauge.sources import tables
@@ -187,3 +189,54 @@ def daily_window(spark, sf):
     index = spark.read.parquet(f"{folder}/index").drop(tables.MONTH)
     late = spark.read.parquet(f"{folder}/late").groupBy("date").agg(F.count("*").cast("int").alias("speech_count")).withColumn("country", F.lit("late"))
     return rounded(index.unionByName(late, allowMissingColumns=True), *VALUES)
+
+
+@query("h3_incremental_index", f"WITH {filled_sql()} SELECT country, date, {_ROUNDED}, speech_count FROM filled")
+def h3_incremental(spark, sf):
+    """The filled index after two deliveries, the second of which only touches its own days and what follows them."""
+    folder = scratch_path(spark, "kept_index")
+    rows = B.prepared(spark, sf)
+    update_index(rows.where("order_key % 3 <> 0"), folder, "first")
+    update_index(rows.where("order_key % 3 = 0"), folder, "second")
+    return rounded(spark.read.parquet(f"{folder}/index").drop(tables.MONTH), *VALUES)
+
+
+class DiffusionState:
+    """g2's diffusion indices as an aggregate a user could have written: counts per label."""
+
+    def __init__(self, names):
+        self.names = names
+
+    def start(self):
+        return {}
+
+    def update(self, state, columns):
+        for name, values in columns.items():
+            for label, n in values.value_counts(dropna=False).items():
+                key = (name, label if isinstance(label, str) else None)
+                state[key] = state.get(key, 0) + int(n)
+        return state
+
+    def merge(self, one, other):
+        return {key: one.get(key, 0) + other.get(key, 0) for key in {*one, *other}}
+
+    def finish(self, state):
+        out = {}
+        for name, out_name in self.names.items():
+            count = lambda *labels, name=name: sum(state.get((name, label), 0) for label in labels)
+            points, rows, known = count("rise") + 0.5 * count("neutral"), sum(n for (c, _), n in state.items() if c == name), count("rise", "neutral", "fall")
+            out[out_name] = points * 100 / rows
+            out[f"{out_name}_valid"] = points * 100 / known if known else None
+        return out
+
+
+@query("k2_user_aggregate", "WITH {} SELECT country, date, {} FROM prepared GROUP BY country, date".format(
+    B.PREPARED, ", ".join(
+        f"round(CAST({_diffusion_sql(m)} AS DOUBLE), 6) AS {indices.diffusion_name(m)}, "
+        f"round(CAST({_diffusion_sql(m, _VALID.format(m))} AS DOUBLE), 6) AS {indices.diffusion_name(m)}_valid" for m in K.IMPACT_METRICS
+    )))
+def k2_user(spark, sf):
+    names = [n for m in K.IMPACT_METRICS for n in (indices.diffusion_name(m), f"{indices.diffusion_name(m)}_valid")]
+    kind = "struct<" + ", ".join(f"{n}: double" for n in names) + ">"
+    found = aggregate_by(B.prepared(spark, sf), ["country", "date"], K.IMPACT_METRICS, DiffusionState({m: indices.diffusion_name(m) for m in K.IMPACT_METRICS}), kind)
+    return rounded(found.select("country", "date", "value.*"), *names)
