@@ -26,16 +26,21 @@ def fold(tokens, limit):
     return chunks
 
 
+def after(steps, carry, before):
+    out, opened = steps.at(carry)
+    return out, before + opened
+
+
 def chained(slices, limit):
     """Chunks in all, by summaries only."""
     carry, before = limit + 1, 0
-    frames = [pd.DataFrame(P._summarise(np.array(s, dtype=np.int64), limit), columns=P._STEP) for s in slices if s]
-    for steps in frames:
-        carry, before = P._enter(steps, carry, before)
+    parts = [P._summarise(np.array(s, dtype=np.int64), limit) for s in slices if s]
+    for steps in parts:
+        carry, before = after(steps, carry, before)
     folded = None
-    for steps in frames:
+    for steps in parts:
         folded = steps if folded is None else P._compose(folded, steps)
-    assert folded is None or P._enter(folded, limit + 1, 0) == (carry, before)
+    assert folded is None or after(folded, limit + 1, 0) == (carry, before)
     return before
 
 
@@ -52,8 +57,15 @@ def test_summaries_chain_like_the_fold(slices, limit):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 12), min_size=1, max_size=15), st.lists(st.integers(0, 12), min_size=1, max_size=15), st.integers(1, 20), st.integers(0, 30))
 def test_composition_equals_two_entries(a, b, limit, carry):
-    first, second = (pd.DataFrame(P._summarise(np.array(x, dtype=np.int64), limit), columns=P._STEP) for x in (a, b))
-    assert P._enter(P._compose(first, second), carry, 0) == P._enter(second, *P._enter(first, carry, 0))
+    first, second = (P._summarise(np.array(x, dtype=np.int64), limit) for x in (a, b))
+    assert after(P._compose(first, second), carry, 0) == after(second, *after(first, carry, 0))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=6), min_size=3, max_size=3), st.integers(1, 20), st.integers(0, 30))
+def test_composition_is_associative(parts, limit, carry):
+    a, b, c = (P._summarise(np.array(x, dtype=np.int64), limit) for x in parts)
+    assert after(P._compose(P._compose(a, b), c), carry, 0) == after(P._compose(a, P._compose(b, c)), carry, 0)
 
 
 @pytest.mark.parametrize("tokens, limit, expected", [
@@ -84,6 +96,20 @@ def test_packing_equals_the_fold(spark, seed, rows, slices, limit):
     assert (total["num_chunks"], total["num_requests"], total["total_tokens"]) == (max(got), rows, sum(tokens))
 
 
+def test_a_thousand_slices_fold_on_many_levels(spark, monkeypatch):
+    draw, limit = random.Random(8), 500
+    slices = [[draw.randint(0, 90) for _ in range(draw.randint(1, 40))] for _ in range(1000)]
+    summaries = [P._summarise(np.array(s), limit) for s in slices]
+    want, carry, before = {}, limit + 1, 0
+    for number, steps in enumerate(summaries):
+        want[number] = (carry, before)
+        carry, before = after(steps, carry, before)
+    monkeypatch.setattr(P, "FOLDED_STEPS", 8 * max(len(s.low) for s in summaries))
+    frame = spark.createDataFrame(pd.concat([P._columns(n, s) for n, s in enumerate(summaries)]), P._SUMMARY)
+    found = P._entries(frame, 1000, limit + 1).collect()
+    assert {r[P.SLICE]: (r["_carry"], r["_before"]) for r in found} == want
+
+
 def test_packing_of_equal_rows_never_merges_phases(spark):
     df = spark.range(1000).select("id", F.lit(7).alias("tokens"))
     got = [r["chunk_id"] for r in P.greedy_chunks(df, ["id"], max_tokens=100, slices=11).orderBy("id").collect()]

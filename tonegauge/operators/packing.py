@@ -1,15 +1,16 @@
 """Token-bounded greedy chunking along a row order: exact, and parallel over slices of the order.
 
-Whether a row opens a chunk depends on all rows before it. What one slice does is, however, a small
-step function of a single number, the tokens already in the chunk left open by the slice before:
-each slice is summarised on its own, the summaries are chained in two levels (tens of numbers per
-slice), and every slice then numbers its chunks knowing how it was entered.
+Whether a row opens a chunk depends on all rows before it. What some rows in a row do is, however, a small step function
+of a single number, the tokens already in the chunk left open before them, and step functions compose: each slice is
+summarised batch by batch, the summaries are folded upward in groups until one group is left (a prefix scan with as many
+levels as there need be), the way down tells every slice how it is entered, and each slice then numbers its chunks.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,13 +20,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonegauge.operators.positions import OFFSET, SLICE, default_slices, ordered_slices
-from tonegauge.session import cut_lineage
+from tonegauge.session import cut_lineage, settle
 
 # the small task-side functions travel with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_SUMMARY = "_slice int, _low bigint, _out bigint, _opened bigint, _adds boolean"
-_ENTRY = "_slice int, _carry bigint, _before bigint"
+#: Rows meant for one slice; steps that are folded in one task.
+SLICE_ROWS, FOLDED_STEPS = 1_000_000, 2_000_000
+_SUMMARY = "_slice bigint, _low array<bigint>, _out array<bigint>, _opened array<bigint>, _adds array<boolean>"
+_ENTRY = "_slice bigint, _carry bigint, _before bigint"
+
+
+class Steps(NamedTuple):
+    """From the tokens carried in (at least ``low``, below the next step's) to the tokens carried out and the chunks opened.
+
+    A step that ``adds`` opens nothing yet: ``out`` tokens join those carried in. Only the first step can.
+    """
+
+    low: np.ndarray
+    out: np.ndarray
+    opened: np.ndarray
+    adds: np.ndarray
+
+    def at(self, carry: int) -> tuple[int, int]:
+        i = int(np.searchsorted(self.low, carry, side="right")) - 1
+        return int(self.out[i]) + (carry if self.adds[i] else 0), int(self.opened[i])
+
+
+def _joined(parts: Sequence[Steps]) -> Steps:
+    """Steps in order, neighbours that do the same made one."""
+    low, out, opened, adds = (np.concatenate(column) for column in zip(*parts))
+    new = np.ones(len(low), bool)
+    new[1:] = (out[1:] != out[:-1]) | (opened[1:] != opened[:-1]) | (adds[1:] != adds[:-1])
+    return Steps(low[new], out[new], opened[new], adds[new])
+
+
+def _constant(low: np.ndarray, out: np.ndarray, opened: np.ndarray) -> Steps:
+    return Steps(low, out, opened, np.zeros(len(low), bool))
 
 
 def _next_openings(total: np.ndarray, limit: int) -> np.ndarray:
@@ -35,8 +66,8 @@ def _next_openings(total: np.ndarray, limit: int) -> np.ndarray:
     return np.maximum(first_over, np.arange(1, rows + 1))
 
 
-def _summarise(tokens: np.ndarray, limit: int) -> list[tuple[int, int, int, bool]]:
-    """Steps (lowest carry, resulting carry or tokens to add, chunks opened, adds?) of one slice."""
+def _summarise(tokens: np.ndarray, limit: int) -> Steps:
+    """The steps of some neighbouring rows."""
     total = np.concatenate(([0], np.cumsum(tokens, dtype=np.int64)))
     rows = len(tokens)
     hop, opened, last = _next_openings(total, limit), np.ones(rows, dtype=np.int64), np.arange(rows)
@@ -45,58 +76,76 @@ def _summarise(tokens: np.ndarray, limit: int) -> list[tuple[int, int, int, bool
         opened[inside] += opened[target]
         last[inside] = last[target]
         hop[inside] = hop[target]
-    steps = [(0, int(total[-1]), 0, True)] if total[-1] <= limit else []
-    reachable = np.flatnonzero((total[:-1] <= limit) & (total[1:] > total[:-1]))
-    for row in reachable[::-1]:
-        low = max(limit - int(total[row + 1]) + 1, 0)
-        steps.append((low, int(total[-1] - total[last[row]]), int(opened[row]), False))
+    left = total[-1] - total[last]
+    parts = [Steps(np.array([0]), total[-1:], np.array([0]), np.array([True]))] if total[-1] <= limit else []
+    # the rows at which a carried chunk can overflow, from the last one on
+    reachable = np.flatnonzero((total[:-1] <= limit) & (total[1:] > total[:-1]))[::-1]
+    parts.append(_constant(np.maximum(limit - total[reachable + 1] + 1, 0), left[reachable], opened[reachable]))
     if total[1] == 0:  # an over-full chunk is closed even by a first row without tokens
-        steps.append((limit + 1, int(total[-1] - total[last[0]]), int(opened[0]), False))
-    return _merge(steps)
-
-
-def _merge(steps: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int, bool]]:
-    merged: list[tuple[int, int, int, bool]] = []
-    for step in steps:
-        if not merged or merged[-1][1:] != step[1:]:
-            merged.append(step)
-    return merged
-
-
-def _enter(steps: pd.DataFrame, carry: int, before: int) -> tuple[int, int]:
-    """Carry and chunk count after a slice entered with ``carry`` and ``before`` chunks."""
-    step = steps.iloc[int(np.searchsorted(steps["_low"].to_numpy(), carry, side="right")) - 1]
-    out = carry + int(step["_out"]) if step["_adds"] else int(step["_out"])
-    return out, before + int(step["_opened"])
-
-
-def _compose(first: pd.DataFrame, second: pd.DataFrame) -> pd.DataFrame:
-    """One step function for two neighbouring slices."""
-    lows, steps = second["_low"].to_numpy(), []
-    for index, step in enumerate(first.itertuples(index=False)):
-        low, out, opened, adds = int(step[0]), int(step[1]), int(step[2]), bool(step[3])
-        if not adds:
-            after, count = _enter(second, out, opened)
-            steps.append((low, after, count, False))
-            continue
-        end = int(first["_low"].iloc[index + 1]) if index + 1 < len(first) else None
-        start_at = int(np.searchsorted(lows, low + out, side="right")) - 1
-        for at in range(start_at, len(second)):
-            shifted = max(int(lows[at]) - out, low)
-            if end is not None and shifted >= end:
-                break
-            inner = second.iloc[at]
-            value = int(inner["_out"]) + (out if inner["_adds"] else 0)
-            steps.append((shifted, value, opened + int(inner["_opened"]), bool(inner["_adds"])))
-    return pd.DataFrame(_merge(steps), columns=["_low", "_out", "_opened", "_adds"])
-
-
-_STEP = ["_low", "_out", "_opened", "_adds"]
-
-
-def _slices_of(pdf: pd.DataFrame, by: str) -> Iterator[tuple[int, pd.DataFrame]]:
-    for number, steps in pdf.sort_values([by, "_low"]).groupby(by, sort=True):
-        yield int(number), steps[_STEP].reset_index(drop=True)
+        parts.append(_constant(np.array([limit + 1]), left[:1], opened[:1]))
+    return _joined(parts)
+
+
+def _compose(first: Steps, second: Steps) -> Steps:
+    """What two neighbours do one after the other."""
+    parts, rest = [], 0
+    if first.adds[0]:
+        rest, more = 1, int(first.out[0])
+        end = int(first.low[1]) if len(first.low) > 1 else None
+        begin = int(np.searchsorted(second.low, first.low[0] + more, side="right")) - 1
+        stop = len(second.low) if end is None else int(np.searchsorted(second.low, end + more, side="left"))
+        part = Steps(*(column[begin:stop] for column in second))
+        parts.append(Steps(np.maximum(part.low - more, first.low[0]), part.out + np.where(part.adds, more, 0), part.opened + first.opened[0], part.adds))
+    out = first.out[rest:]
+    at = np.searchsorted(second.low, out, side="right") - 1
+    parts.append(_constant(first.low[rest:], second.out[at] + np.where(second.adds[at], out, 0), first.opened[rest:] + second.opened[at]))
+    return _joined(parts)
+
+
+def _steps_of(pdf: pd.DataFrame) -> Iterator[tuple[int, Steps]]:
+    """Summaries in the order of their slices."""
+    ordered = pdf.sort_values(SLICE)
+    for number, *parts, adds in zip(*[ordered[name] for name in (SLICE, "_low", "_out", "_opened", "_adds")]):
+        yield int(number), Steps(*[np.asarray(part, np.int64) for part in parts], np.asarray(adds, bool))
+
+
+def _columns(number: int, steps: Steps) -> pd.DataFrame:
+    return pd.DataFrame({SLICE: [number], "_low": [steps.low], "_out": [steps.out], "_opened": [steps.opened], "_adds": [steps.adds]})
+
+
+def _entries(summaries: DataFrame, count: int, carry: int) -> DataFrame:
+    """How every slice is entered: tokens carried in and chunks opened before it."""
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for _, steps in _steps_of(pdf):
+            whole = steps if whole is None else _compose(whole, steps)
+        return _columns(int(key[0]), whole)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, before, found = int(pdf["_carry"].iloc[0]), int(pdf["_before"].iloc[0]), []
+        for number, steps in _steps_of(pdf):
+            found.append((number, held, before))
+            held, opened = steps.at(held)
+            before += opened
+        return pd.DataFrame(found, columns=[SLICE, "_carry", "_before"])
+
+    longest = summaries.agg(F.max(F.size("_low"))).first()[0] or 1
+    width = int(np.clip(FOLDED_STEPS // longest, 2, 256))
+    above = F.expr(f"{SLICE} div {width}L").alias("_above")
+    levels = [summaries]
+    while count > width:
+        levels.append(settle(levels[-1].groupBy(above).applyInPandas(fold, _SUMMARY), "folded"))
+        count = -(-count // width)
+    entered = None
+    for level in reversed(levels):
+        grouped = level.withColumn("_above", above)
+        if entered is None:
+            known = grouped.withColumns({"_carry": F.lit(carry).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+        else:
+            known = grouped.join(entered.withColumnRenamed(SLICE, "_above"), "_above")
+        entered = known.groupBy("_above").applyInPandas(walk, _ENTRY)
+    return entered
 
 
 def greedy_chunks(
@@ -106,55 +155,28 @@ def greedy_chunks(
     """Add ``chunk_id`` (1-based): a row that would overflow a non-empty chunk opens the next one.
 
     A row above ``max_tokens`` forms its own chunk. Pass the key, the order and the tokens only and
-    join wide columns back by key: the rows are range-partitioned and checkpointed here.
+    join wide columns back by key: the rows are range-partitioned and checkpointed here. ``slices`` follow from the
+    number of rows unless given.
     """
-    slices = slices or default_slices(df)
     # range partitioning reads its input twice, first for a sample of the keys: count tokens once
     counted = df.withColumn("_tokens", F.coalesce(F.col(tokens).cast("bigint"), F.lit(0))).persist(StorageLevel.DISK_ONLY)
+    slices = slices or max(default_slices(df), -(-counted.count() // SLICE_ROWS))
     # a checkpoint keeps partitions and row order, which the numbering below relies on
     sliced = cut_lineage(ordered_slices(counted, order_by, slices))
     counted.unpersist()
     empty_start = max_tokens + 1  # "no open chunk" acts like a chunk that is already over-full
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if sum(len(part) for part in parts):
-            whole = pd.concat(parts)
-            steps = _summarise(whole["_tokens"].to_numpy(np.int64), max_tokens)
-            out = pd.DataFrame(steps, columns=_STEP)
-            out.insert(0, "_slice", whole["_slice"].iloc[0])
-            yield out
-
-    width = max(1, int(slices**0.5))
-    block = (F.col(SLICE) / F.lit(width)).cast("int")
-    # a few steps per slice, used twice
-    summaries = cut_lineage(sliced.select(SLICE, "_tokens").mapInPandas(summarise, _SUMMARY).withColumn("_block", block))
-
-    def fold_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        folded = None
-        for _, steps in _slices_of(pdf, "_slice"):
-            folded = steps if folded is None else _compose(folded, steps)
-        return folded.assign(_block=int(pdf["_block"].iloc[0]), _all=0)[["_all", "_block", *_STEP]]
-
-    def walk(pdf: pd.DataFrame, by: str, carry: int, before: int) -> list[tuple[int, int, int]]:
-        entries = []
-        for number, steps in _slices_of(pdf, by):
-            entries.append((number, carry, before))
-            carry, before = _enter(steps, carry, before)
-        return entries
-
-    def enter_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(walk(pdf, "_block", empty_start, 0), columns=["_block", "_carry", "_before"])
-
-    def enter_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries = walk(pdf, "_slice", int(pdf["_carry"].iloc[0]), int(pdf["_before"].iloc[0]))
-        return pd.DataFrame(entries, columns=["_slice", "_carry", "_before"])
-
-    folded = summaries.groupBy("_block").applyInPandas(
-        fold_block, "_all int, _block int, _low bigint, _out bigint, _opened bigint, _adds boolean"
-    )
-    blocks = folded.groupBy("_all").applyInPandas(enter_blocks, "_block int, _carry bigint, _before bigint")
-    entries = summaries.join(blocks, "_block").groupBy("_block").applyInPandas(enter_slices, _ENTRY)
+        whole, number = None, None
+        for pdf in batches:
+            if len(pdf):
+                steps = _summarise(pdf["_tokens"].to_numpy(np.int64), max_tokens)
+                whole, number = steps if whole is None else _compose(whole, steps), int(pdf[SLICE].iloc[0])
+        if whole is not None:
+            yield _columns(number, whole)
+
+    summaries = settle(sliced.select(SLICE, "_tokens").mapInPandas(summarise, _SUMMARY), "summaries")
+    entries = _entries(summaries, slices, empty_start)
 
     plain = [f.name for f in df.schema.fields]
     schema = T.StructType([*df.schema.fields, T.StructField("chunk_id", T.LongType())])
