@@ -6,6 +6,8 @@ from tonegauge import constants as K
 from tonegauge.catalog import base as B
 from tonegauge.catalog.base import query, rounded
 from tonegauge.operators import ledger as L
+from tonegauge.operators import sketches
+from tonegauge.session import scratch_path
 from tonegauge.operators import profile as P
 
 _LATEST = "latest AS (SELECT chunk_name, arg_max(status, struct_pack(a := updated_at, b := event_id)) AS status, arg_max(batch_id, struct_pack(a := updated_at, b := event_id)) AS batch_id FROM ledger GROUP BY chunk_name)"
@@ -152,9 +154,16 @@ def g22(spark, sf):
     return rounded(P.average_per_month(B.prepared(spark, sf)), "avg_per_month")
 
 
-@query("h7_latest_state", f"""WITH {B.LEDGER}, {_LATEST}, b AS (SELECT chunk_name, batch_id, max(struct_pack(a := updated_at, b := event_id)) AS place FROM ledger GROUP BY 1, 2),
+_H7 = f"""WITH {B.LEDGER}, {_LATEST}, b AS (SELECT chunk_name, batch_id, max(struct_pack(a := updated_at, b := event_id)) AS place FROM ledger GROUP BY 1, 2),
 prev AS (SELECT b.chunk_name, arg_max(b.batch_id, b.place) AS previous_batch_id FROM b JOIN latest l ON l.chunk_name = b.chunk_name AND l.batch_id <> b.batch_id GROUP BY 1)
-SELECT l.chunk_name, l.status, l.batch_id, previous_batch_id, previous_batch_id IS NOT NULL AS resubmitted FROM latest l LEFT JOIN prev USING (chunk_name)""")
+SELECT l.chunk_name, l.status, l.batch_id, previous_batch_id, previous_batch_id IS NOT NULL AS resubmitted FROM latest l LEFT JOIN prev USING (chunk_name)"""
+
+
+def h7_sql() -> str:
+    return _H7
+
+
+@query("h7_latest_state", _H7)
 def h7(spark, sf):
     states = L.with_previous_batch(B.ledger(spark, sf), order_by=_ORDER)
     return states.select("chunk_name", "status", "batch_id", "previous_batch_id", "resubmitted")
@@ -164,3 +173,34 @@ def h7(spark, sf):
 ORDER BY count DESC, date, country LIMIT 10""")
 def i3(spark, sf):
     return P.busiest_days(B.prepared(spark, sf))
+
+
+_SKETCHED = f"WITH {B.PREPARED} SELECT CAST(year(date) AS INT) AS year, count(*) AS rows, {{}} FROM prepared GROUP BY 1"
+
+
+@query("g18_distinct_sketch", _SKETCHED.format("count(DISTINCT order_key) AS exact, TRUE AS within"))
+def g18_sketch(spark, sf):
+    """Distinct orders of a year from the sketches kept for its days, within four standard deviations."""
+    path = scratch_path(spark, "sketches")
+    rows = B.prepared(spark, sf)
+    sketches.daily_sketches(rows, [], ["order_key"], []).write.parquet(path)
+    year = F.year("date").cast("int").alias("year")
+    found = sketches.estimates(sketches.merged_sketches(spark.read.parquet(path), [year]), ["year"])
+    exact = rows.groupBy(year).agg(F.countDistinct("order_key").alias("exact"))
+    within = F.abs(F.col("order_key_distinct") - F.col("exact")) <= 4 * sketches.distinct_error() * F.col("exact") + 1
+    return found.join(exact, "year").select("year", "rows", "exact", within.alias("within"))
+
+
+@query("g10_quantile_sketch", _SKETCHED.format("TRUE AS within"))
+def g10_sketch(spark, sf):
+    """Median score of a year from the sketches kept for its days: its rank is within twice the stated error of one half."""
+    path = scratch_path(spark, "sketches")
+    rows = B.prepared(spark, sf)
+    sketches.daily_sketches(rows, [], [], ["uncertainty"]).write.parquet(path)
+    year = F.year("date").cast("int").alias("year")
+    found = sketches.estimates(sketches.merged_sketches(spark.read.parquet(path), [year]), ["year"], [0.5])
+    ranks = rows.where("uncertainty IS NOT NULL").select(year, "uncertainty").join(found, "year").groupBy("year").agg(
+        F.avg((F.col("uncertainty") < F.col("uncertainty_q0")).cast("double")).alias("below"), F.avg((F.col("uncertainty") <= F.col("uncertainty_q0")).cast("double")).alias("upto"))
+    slack = 2 * sketches.rank_error() + 0.001
+    within = (F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)
+    return found.join(ranks, "year").select("year", "rows", within.alias("within"))

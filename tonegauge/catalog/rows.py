@@ -12,6 +12,8 @@ from tonegauge.operators.indices import daily_indices
 from tonegauge.operators.ledger import latest_states
 from tonegauge.operators.positions import add_positions, sequential_ids
 from tonegauge.operators.profile import invalid_dates
+from tonegauge.session import scratch_path
+from tonegauge.sources.bucketed import latest_of, write_bucketed
 
 
 @query("b1_year_sample", f"""WITH {B.PREPARED}
@@ -245,3 +247,21 @@ def j1_latest(spark, sf):
 @query("j2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def j2(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id").join(B.table(spark, sf, "labels"), "doc_id", "left_anti")
+
+
+@query("f2_bucketed_join", f"""WITH {B.SPEECHES}
+SELECT s.speech_id, date, author, country, title, quality, toxic
+FROM speeches s JOIN labels l ON s.speech_id = concat('speech_', CAST(l.doc_id AS VARCHAR))""")
+def f2_bucketed(spark, sf):
+    """Both sides bucketed by the id: the join needs no exchange."""
+    columns = B.speeches(spark, sf).select("speech_id", "date", "author", "country", "title")
+    sides = [write_bucketed(df, scratch_path(spark, "bucketed"), "speech_id", 8) for df in (columns, _scored_documents(spark, sf))]
+    return joins.join_by_key(*sides)
+
+
+@query("j1_bucketed_latest", f"""WITH {B.LEDGER}
+SELECT batch_id, max(event_id) AS event_id, arg_max(status, event_id) AS status, count(*) AS n FROM ledger GROUP BY batch_id""")
+def j1_bucketed(spark, sf):
+    """The latest event of each batch of a bucketed table, without an exchange."""
+    events = B.ledger(spark, sf).select("batch_id", "event_id", "status")
+    return latest_of(write_bucketed(events, scratch_path(spark, "bucketed"), "batch_id", 8), "batch_id", "event_id", ["event_id", "status"], count="n")

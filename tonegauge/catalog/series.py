@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tonegauge import constants as K
 from tonegauge.catalog import base as B
 from tonegauge.catalog.base import query, rounded
+from tonegauge.catalog.profiles import h7_sql
 from tonegauge.catalog.responses import CLASSIFIED
 from tonegauge.operators import calendar, indices
 from tonegauge.operators.aggregates import aggregate_by
@@ -13,6 +14,7 @@ from tonegauge.plans.jobs import index_job
 from tonegauge.session import scratch_path
 from tonegauge.sources import tables
 from tonegauge.streaming.ingest import collect_responses
+from tonegauge.streaming.ledger import collect_ledger, current_states
 from tonegauge.streaming.windows import collect_daily_index
 
 VALUES = [*K.MEAN_METRICS, *K.DIFFUSION_METRICS]
@@ -240,3 +242,14 @@ def k2_user(spark, sf):
     kind = "struct<" + ", ".join(f"{n}: double" for n in names) + ">"
     found = aggregate_by(B.prepared(spark, sf), ["country", "date"], K.IMPACT_METRICS, DiffusionState({m: indices.diffusion_name(m) for m in K.IMPACT_METRICS}), kind)
     return rounded(found.select("country", "date", "value.*"), *names)
+
+
+@query("l_ledger_state", h7_sql())
+def ledger_state(spark, sf):
+    """Three deliveries of chunk events out of order, held as keyed state."""
+    inbox, table, checkpoint = (scratch_path(spark, name) for name in ("events", "states", "stream"))
+    events = B.ledger(spark, sf).select("chunk_name", "batch_id", "status", F.col("updated_at").cast("timestamp").alias("updated_at"), F.col("event_id").cast("bigint").alias("event_id"))
+    for part in (2, 0, 1):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(inbox)
+        collect_ledger(spark, inbox, table, checkpoint)
+    return current_states(spark, table).drop("stuck")
