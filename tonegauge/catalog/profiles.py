@@ -137,9 +137,8 @@ def _rollup_sql(profile: str) -> str:
 
 @query("g19_status_rollup", f"WITH {B.LEDGER}, {_LATEST} {_rollup_sql('full')} UNION ALL {_rollup_sql('reduced')}")
 def g19(spark, sf):
-    latest = L.latest_states(B.ledger(spark, sf), order_by=_ORDER)
-    rollups = [L.status_rollup(latest, p).select(F.lit(p).alias("profile"), "*") for p in ("full", "reduced")]
-    return rounded(rollups[0].unionByName(rollups[1]), "progress")
+    latest = L.latest_states(B.ledger(spark, sf).select("chunk_name", "status", *_ORDER), order_by=_ORDER)
+    return rounded(L.status_rollups(latest), "progress")
 
 
 @query("g21_most_active_month", f"""WITH {B.PREPARED}, m AS (SELECT country, CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS count FROM prepared GROUP BY 1, 2),

@@ -48,3 +48,12 @@ def status_rollup(latest: DataFrame, profile: str = "full") -> DataFrame:
         *[F.count_if(F.col("_class") == c).alias(c) for c in ("completed", "in_progress", "failed", "other")],
     )
     return counts.withColumn("progress", F.when(F.col("total") > 0, F.col("completed") / F.col("total") * 100).otherwise(F.lit(0.0)))
+
+
+def status_rollups(latest: DataFrame, profiles: Sequence[str] = ("full", "reduced")) -> DataFrame:
+    """``status_rollup`` of several profiles, one row each (column ``profile``), from one pass over the states."""
+    classes = ("completed", "in_progress", "failed", "other")
+    counts = latest.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(status_class(F.col("status"), p) == c).alias(f"{p}_{c}") for p in profiles for c in classes])
+    progress = lambda p: F.when(F.col("total") > 0, F.col(f"{p}_completed") / F.col("total") * 100).otherwise(F.lit(0.0))
+    rows = [F.struct(F.lit(p).alias("profile"), "total", *[F.col(f"{p}_{c}").alias(c) for c in classes], progress(p).alias("progress")) for p in profiles]
+    return counts.select(F.inline(F.array(*rows)))
