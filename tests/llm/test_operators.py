@@ -90,6 +90,23 @@ def test_html_keeps_embedded_text_of_kept_elements():
     assert html.text_of(nodes, html.decode(nodes, score)).split() == ["sum", "x", "plan", "chart"]
 
 
+@pytest.mark.parametrize("page, words", [
+    ("<p>a<!-->b</p><p>c", "ab c"), ("<p>a<!--->b", "ab"), ("<p>a<!-- x --!>b", "ab"), ("<p>a<!-- x -- >y-->b", "ab"), ('<p title="abc>text</p><p>more', "text more"),
+    ("<p title=don't>one</p><p>it's</p>", "one it's"), ('<a href="x>y">k</a>', "k"), ("<p class='a' id=\"b>c\">z</p>", "z"), ("<p>a</i></b>b", "ab"),
+])
+def test_html_markup_that_is_not_well_formed(page, words):
+    nodes = html.parse(page)
+    assert html.text_of(nodes, [True] * len(nodes)).split() == words.split()
+
+
+def test_html_stray_end_tags_cost_no_walk():
+    import time
+
+    started = time.perf_counter()
+    nodes = html.parse("<b>" * 100_000 + "x</i>" * 100_000)
+    assert len(nodes) == 100_001 and time.perf_counter() - started < 20
+
+
 def test_html_on_unseen_layouts():
     model, right = html.train(), 0
     layouts = html.training_pages(60, seed=5)

@@ -14,6 +14,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -56,7 +57,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<
 QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)""")
 HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|$)", re.I)
 TOKEN = re.compile(r"[a-z]+")
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Quotes count right after an equals sign only; a quoted value without its closing quote ends with the tag.
+MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 WHITE = re.compile("[" + "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 
 
@@ -77,11 +79,15 @@ def parse(page: str) -> list[Node]:
     """Elements in page order, the root first. Unclosed and stray tags are allowed; comments, markup and raw elements hold no text."""
     nodes = [Node("#root", -1, 0, 0, 0, False, [], [])]
     open_, at, size = [0], 0, len(page)
+    held: Counter[str] = Counter()  # open elements of each tag
 
     def close(tags: Iterable[str], stop: frozenset[str]) -> bool:
+        if not any(held[tag] for tag in tags):  # a stray end tag costs no walk
+            return False
         for i in range(len(open_) - 1, 0, -1):
             name = nodes[open_[i]].tag
             if name in tags:
+                held.subtract(nodes[n].tag for n in open_[i:])
                 del open_[i:]
                 return True
             if name in stop:
@@ -149,6 +155,7 @@ def parse(page: str) -> list[Node]:
         nodes[up].items.append(number)
         if tag not in VOID and not rest.rstrip().endswith("/") or tag in ("p", "div", "li", "section", "article"):
             open_.append(number)
+            held[tag] += 1
     return nodes
 
 

@@ -262,8 +262,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 
     NULL texts have no bytes. Documents come in the order of their ids, NULL ids after all others; rows of one id are
     one document, so a string counts as earlier only by id or by start. Texts shorter than ``length`` keep all bytes.
-    ``bound``: distinct surroundings of an anchor that are sorted in one task.
+    ``bound``: distinct surroundings of an anchor that are sorted in one task. A ``length`` with more than 127 places for
+    an anchor is an error, as their number has seven bits.
     """
+    if length - gram + 1 > 127:
+        raise ValueError("length may exceed gram by 126 at most")
     extra = [f"_{name}" for name in keep]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{name}`").alias(f"_{name}") for name in keep])
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("ord"), "text", *extra)
