@@ -66,6 +66,15 @@ def test_cache_is_filled_once(spark, tmp_path):
     assert R.read_cached(spark, cache, source, refresh=True).count() == 5
 
 
+def test_cache_with_a_schema_and_an_unfinished_write(spark, tmp_path):
+    source, cache = str(tmp_path / "s"), tmp_path / "c"
+    spark.range(3).write.parquet(source)
+    cache.mkdir()
+    assert R.read_cached(spark, str(cache), source, "id BIGINT").count() == 3
+    again = R.read_cached(spark, str(cache), str(tmp_path / "gone"), "id BIGINT")
+    assert again.schema.simpleString() == "struct<id:bigint>" and again.count() == 3
+
+
 def test_missing_chunk_results(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="no chunk results"):
         R.read_chunk_results(spark, str(tmp_path))
@@ -199,3 +208,17 @@ print("ROWS", [entry.queries()[n](spark, {str(DATA)!r}).count() for n in ("h6_to
 """
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS [200, 200]" in done.stdout, done.stderr[-2000:]
+
+
+def test_large_chunks_become_several_files_in_order(spark, tmp_path):
+    lines = spark.range(4000).selectExpr("id", "CAST(id AS STRING) AS request", "IF(id < 3900, 1, 2) AS chunk_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        W.write_chunks(lines, str(tmp_path / "split"), order=["id"], split=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "split" / "chunk_file=chunk01_input").glob("part-*"))
+    assert len(parts) > 1
+    assert [int(n) for p in parts for n in p.read_text().split()] == list(range(3900))
+    W.write_chunks(lines, str(tmp_path / "whole"), order=["id"])
+    assert all(len(list(folder.glob("part-*"))) == 1 for folder in (tmp_path / "whole").glob("chunk_file=*"))

@@ -1,6 +1,8 @@
 """Contracts, filters, joins, profiles, audit and ledger on small frames."""
 
 import datetime as dt
+import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +247,16 @@ def test_middle_sample_stays_in_the_middle(spark):
     assert sorted(map(tuple, picks)) == sorted(map(tuple, A.middle_rows(df.repartition(7)).collect()))
 
 
+def test_middle_sample_of_keys_that_repeat_or_are_missing(spark):
+    rows = [("us", "s1" if i % 2 else "s0", day(1), float(i)) for i in range(20)] + [("ea", None, day(i + 1), float(i)) for i in range(10)] + [(None, f"n{i}", day(i + 1), 0.0) for i in range(10)]
+    df = spark.createDataFrame(rows, "country string, speech_id string, date date, hawkish_dovish_score double")
+    picks = {r["country"]: r["speech_id"] for r in A.middle_rows(df).collect()}
+    least = min(("s0", "s1"), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    assert picks.keys() == {"us", "ea", None} and picks["us"] == least and picks["ea"] is None
+    inner = [f"n{i}" for i in range(2, 8)]
+    assert picks[None] == min(inner, key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+
+
 def test_assessment_of_every_row(spark):
     scored = spark.createDataFrame([("a", 50.0), ("b", -50.0), ("c", 0.0), ("d", 0.0)], "speech_id string, hawkish_dovish_score double")
     texts = spark.createDataFrame([("a", "Inflation must be met: tighten"), ("b", "inflation"), ("c", "")], "speech_id string, speech_text string")
@@ -274,6 +286,23 @@ def test_latest_state_and_replaced_batch(events):
     assert rows["chunk01"] == ("b2", "b1", True) and rows["chunk02"] == ("b3", None, False) and rows["chunk03"] == (None, None, False)
 
 
+def test_replaced_batch_of_chunks_with_many_batches(spark):
+    draw = random.Random(3)
+    rows = [(f"chunk{draw.randint(1, 5)}", draw.choice([None, "a", "b", "c", "d"]), i) for i in range(120)] + [("chunk9", "a", 500), ("chunk9", None, 501)]
+    found = {r["chunk_name"]: (r["batch_id"], r["previous_batch_id"]) for r in L.with_previous_batch(spark.createDataFrame(rows, "chunk_name string, batch_id string, updated_at int")).collect()}
+    for chunk in {r[0] for r in rows}:
+        own = [r[1] for r in sorted((r for r in rows if r[0] == chunk), key=lambda r: -r[2])]
+        earlier = [b for b in own if b is not None and own[0] is not None and b != own[0]]
+        assert found[chunk] == (own[0], earlier[0] if earlier else None)
+
+
+def test_latest_by_one_column_is_a_hash_aggregate(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 3, "z")], "k string, n int, v string")
+    latest = N.latest_per_key(df, ["k"], ["n"], columns=["k", "n"], count="rows")
+    assert sorted(map(tuple, latest.collect()), key=str) == [("a", 2, 2), (None, 3, 1)]
+    assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
 def test_status_rollup(events):
     latest = L.latest_states(events)
     full, reduced = (L.status_rollup(latest, p).first().asDict() for p in ("full", "reduced"))

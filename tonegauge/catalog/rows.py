@@ -240,8 +240,7 @@ def j1(spark, sf):
 SELECT batch_id, max(event_id) AS event_id, count(*) AS n FROM ledger GROUP BY batch_id""")
 def j1_latest(spark, sf):
     events = B.ledger(spark, sf)
-    latest = ingest.latest_per_key(events.select("batch_id", "event_id", "status"), ["batch_id"], ["event_id"], count="n")
-    return latest.drop("status")
+    return ingest.latest_per_key(events, ["batch_id"], ["event_id"], columns=["batch_id", "event_id"], count="n")
 
 
 @query("j2_set_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

@@ -15,7 +15,8 @@ from tonegauge.sources import readers, splits, writers
 
 @query("a1_parquet_scan", "SELECT * FROM customer")
 def a1(spark, sf):
-    return readers.read_cached(spark, scratch_path(spark, "cache"), f"{sf}/customer.parquet")
+    source = f"{sf}/customer.parquet"
+    return readers.read_cached(spark, scratch_path(spark, "cache"), source, readers.read_parquet(spark, source).schema)
 
 
 _SAMPLE_COLUMNS = "speech_id, date, author, country, title, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_length"
@@ -101,7 +102,7 @@ def a7(spark, sf):
 SELECT concat('chunk0', CAST(chunk_number AS VARCHAR), '_input') AS chunk_file, count(*) AS lines FROM responses GROUP BY chunk_number""")
 def a8(spark, sf):
     path = scratch_path(spark, "sink")
-    writers.write_chunks(B.responses(spark, sf), path, "raw", "chunk_number", ["doc_id"])
+    writers.write_chunks(B.responses(spark, sf), path, "raw", "chunk_number", ["doc_id"], split=True)
     return spark.read.schema("value STRING, chunk_file STRING").text(path).groupBy("chunk_file").agg(F.count("*").alias("lines"))
 
 

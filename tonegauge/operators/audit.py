@@ -62,8 +62,9 @@ def middle_rows(
 ) -> DataFrame:
     """Per group one seeded pick among the rows between the 20 % and the 80 % position.
 
-    The pick is the least seeded hash. Positions come from one range-partitioned order over all
-    groups, so a group that holds most rows is still spread over many tasks.
+    The pick is the least seeded hash, among equal ones the least key. Positions come from one range-partitioned order
+    over all groups, so a group that holds most rows is still spread over many tasks. The first 60 bits of the hash are
+    reduced by a hash aggregate; only the rows that have a group's least ones are compared as text.
     """
     narrow = scored.select(*dict.fromkeys([group, *order_by, key, *columns]))
     placed = add_positions(narrow, [group, *order_by], name="_at")
@@ -72,7 +73,10 @@ def middle_rows(
         (F.col("_at") - F.col("_first") >= F.floor(F.col("_n") * low)) & (F.col("_at") - F.col("_first") < F.floor(F.col("_n") * high))
     )
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    inside = inside.withColumn("_draw", F.conv(F.substring(draw, 1, 15), 16, 10).cast("bigint"))
+    least = inside.groupBy(F.col(group).alias("_h")).agg(F.coalesce(F.min("_draw"), F.lit(-1)).alias("_least"))
+    near = inside.join(least, F.col(group).eqNullSafe(F.col("_h")) & (F.coalesce("_draw", F.lit(-1)) == F.col("_least")))
     row = F.struct(*[c for c in columns])
-    return inside.groupBy(group).agg(F.min_by(row, F.struct(draw, F.col(key))).alias("_row")).select(
+    return near.groupBy(group).agg(F.min_by(row, F.struct(draw, F.col(key))).alias("_row")).select(
         group, *[F.col(f"_row.{c}").alias(c) for c in columns]
     )

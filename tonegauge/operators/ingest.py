@@ -100,11 +100,14 @@ def union_chunks(parts: Sequence[DataFrame]) -> DataFrame:
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str] | None = None, count: str | None = None) -> DataFrame:
     """One row per key, the greatest by ``order_by``, with ``columns`` (all by default) and the number of rows as ``count``.
 
-    A map-side combined aggregate over structs, which Spark sorts by key: name the columns that are needed.
+    A map-side combined aggregate over structs, which Spark sorts by key: name the columns that are needed. Where these
+    are the keys and a single order column, it is a hash aggregate.
     """
     wanted = list(df.columns if columns is None else columns)
     others = [c for c in wanted if c not in keys]
     rows = F.count("*").alias("_count")
+    if others == list(order_by) and len(others) == 1:
+        return df.groupBy(*keys).agg(F.max(others[0]).alias(others[0]), *([F.count("*").alias(count)] if count else [])).select(*wanted, *([count] if count else []))
     latest = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order_by)).alias("_row"), *([rows] if count else []))
     found = latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others], *([F.col("_count").alias(count)] if count else []))
     return found.select(*wanted, *([count] if count else []))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegauge import constants as K
@@ -25,8 +25,10 @@ def with_previous_batch(
     others = [c for c in events.columns if c != key]
     # one reduction of the events, to the latest row of each chunk and batch; the rest works on that
     batches = kept.groupBy(key, batch).agg(F.max(place).alias("_place"), F.max_by(F.struct(*[c for c in others if c != batch]), place).alias("_row"))
-    per_key = batches.groupBy(key).agg(
-        F.max_by(F.struct(batch, "_row"), "_place").alias("_last"),
+    # the latest row, and of the named batches the one or two latest, are among a chunk's first three
+    recent = batches.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_place"), F.desc(batch)))).where("_r <= 3")
+    per_key = recent.groupBy(key).agg(
+        F.min_by(F.struct(batch, "_row"), "_r").alias("_last"),
         F.sort_array(F.collect_list(F.when(F.col(batch).isNotNull(), F.struct("_place", batch))), asc=False).alias("_batches"),
     )
     earlier = F.filter("_batches", lambda b: b[batch] != F.col(f"_last.{batch}"))

@@ -190,10 +190,16 @@ def error_histogram(validated: DataFrame) -> DataFrame:
 def invalid_sample(validated: DataFrame, order_by: Sequence[str], key: str = "custom_id", rows: int = 5, errors: int = 3) -> DataFrame:
     """First ``rows`` invalid records and their first ``errors`` messages.
 
-    An id that comes again keeps its first place and shows its last errors.
+    An id that comes again keeps its first place and shows its last errors. A NULL place comes first. One order column
+    is reduced by a hash aggregate of ids and places; messages are taken from the few chosen ids' rows only.
     """
     place = F.struct(*order_by)
-    per_key = validated.where(~F.col("is_valid")).groupBy(key).agg(
-        F.min(place).alias("_first"), F.max_by("errors", place).alias("errors")
-    )
-    return per_key.orderBy("_first").limit(rows).select(key, F.slice("errors", 1, errors).alias("errors"))
+    invalid = validated.where(~F.col("is_valid"))
+    if len(order_by) == 1:
+        first = F.when(~F.bool_or(F.col(order_by[0]).isNull()), F.min(order_by[0]))
+    else:
+        first = F.min(place)
+    chosen = invalid.groupBy(F.col(key).alias("_k")).agg(first.alias("_first")).orderBy("_first").limit(rows)
+    found = invalid.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("_k")))
+    last = found.groupBy(key).agg(F.max_by("errors", place).alias("errors"), F.min("_first").alias("_first"))
+    return last.orderBy("_first").select(key, F.slice("errors", 1, errors).alias("errors"))

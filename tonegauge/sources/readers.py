@@ -52,16 +52,21 @@ def read_preferred(spark: SparkSession, parquet_path: str, csv_path: str, schema
     ])
 
 
-def read_cached(spark: SparkSession, cache_path: str, source_path: str, refresh: bool = False) -> DataFrame:
-    """Parquet cache if present; otherwise (or on ``refresh``) fill it from the source first."""
+def read_cached(spark: SparkSession, cache_path: str, source_path: str, schema: str | T.StructType | None = None, refresh: bool = False) -> DataFrame:
+    """Parquet cache if present; otherwise (or on ``refresh``) fill it from the source first.
+
+    With ``schema`` no footer is read for it. A folder whose write did not end (no ``_SUCCESS``) counts as absent.
+    """
     if not refresh:
         try:
-            return read_parquet(spark, cache_path)
+            spark.read.format("binaryFile").load(f"{cache_path.rstrip('/')}/_SUCCESS")
+            return read_parquet(spark, cache_path, schema)
         except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-    read_parquet(spark, source_path).write.mode("overwrite").parquet(cache_path)
-    return read_parquet(spark, cache_path)
+    source = read_parquet(spark, source_path, schema)
+    source.write.mode("overwrite").parquet(cache_path)
+    return read_parquet(spark, cache_path, source.schema)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:

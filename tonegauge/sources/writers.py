@@ -25,14 +25,16 @@ def chunk_file_name(chunk_id: Column) -> Column:
     return F.concat(F.lit("chunk"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits), F.lit("_input"))
 
 
-def write_chunks(df: DataFrame, path: str, line: str = "request", chunk_id: str = "chunk_id", order: Sequence[str] = ("row_index",)) -> None:
+def write_chunks(df: DataFrame, path: str, line: str = "request", chunk_id: str = "chunk_id", order: Sequence[str] = ("row_index",), split: bool = False) -> None:
     """JSON Lines, one folder ``chunk_file=chunkNN_input`` per chunk, lines in request order.
 
-    A chunk is bounded by its token budget, so one task per chunk is bounded too.
+    A chunk that is bounded by its token budget is one file, written by one task. ``split`` is for chunks without such a
+    bound: rows are range-partitioned on chunk and order, so a large chunk becomes several files, in order by name.
     """
+    named = df.withColumn("chunk_file", chunk_file_name(F.col(chunk_id)))
+    dealt = named.repartitionByRange("chunk_file", *order) if split else named.repartition("chunk_file")
     (
-        df.withColumn("chunk_file", chunk_file_name(F.col(chunk_id)))
-        .repartition("chunk_file").sortWithinPartitions("chunk_file", *order)
+        dealt.sortWithinPartitions("chunk_file", *order)
         .select(F.col(line).alias("value"), "chunk_file")
         .write.mode("overwrite").partitionBy("chunk_file").text(path)
     )
