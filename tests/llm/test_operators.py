@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tonegauge.llm import boosting, bpe, html, langid, licences, simhash, suffix, topk, toxicity, warc, winnow
+from tonegauge.llm import boosting, bpe, html, langid, licences, queries, simhash, suffix, topk, toxicity, warc, winnow
 
 DOCS = "doc_id bigint, text string, fingerprint string, score double"
 
@@ -622,6 +622,55 @@ def test_licences_of_texts_that_begin_inside_a_template(spark):
     assert [found[i].score for i in (1, 2, 3, 7)] == [5 / 8, 10 / 13, 5 / 8, 3 / 5]
 
 
+def plain_labels(text):
+    own, found = [w.decode() for w in split_words(text)], {}
+    for template in licences.TEMPLATES:
+        body = template.text.split()
+        placed = [(licences.place_of(p.split(), body), p.split()) for p in template.mandatory]
+        for start in range(-len(body), len(own)):
+            if all(start + at >= 0 and own[start + at : start + at + len(p)] == p for at, p in placed):
+                share = sum(0 <= start + j < len(own) and own[start + j] == word for j, word in enumerate(body)) / len(body)
+                if share >= 0.6:
+                    found[template.label] = max(share, found.get(template.label, 0))
+    return sorted(found), max([*found.values(), 0.5 if plain_places(text)[1] else 0.0])
+
+
+def test_licences_lose_no_alignment(spark):
+    """Pieces of templates, changed words and licence words in any order, against every start of every template."""
+    draw = random.Random(12)
+    bodies = [t.text.split() for t in licences.TEMPLATES]
+    pool = sorted({word for body in bodies for word in body} | {"alpha", "beta", "Gamma", "ß"})
+    rows = []
+    for i in range(160):
+        parts = []
+        for _ in range(draw.randint(1, 5)):
+            body = list(draw.choice(bodies))
+            for _ in range(draw.randint(0, 3)):
+                body[draw.randrange(len(body))] = draw.choice(pool)
+            cut = draw.choice([0, 0, draw.randint(0, 6)])
+            parts += draw.choices(pool, k=draw.randint(0, 12)) + body[cut : len(body) - draw.choice([0, 0, draw.randint(0, 6)])]
+        rows.append((i, " ".join(parts)))
+    rows += [(900 + i, t.text) for i, t in enumerate(licences.TEMPLATES)] + [(990, ""), (991, None), (992, "license " * 3000)]
+    found = {r.doc_id: (r.found_labels, r.score) for r in licences.scan(documents(spark, rows), ["doc_id"]).collect()}
+    assert found == {i: plain_labels(text) for i, text in rows}
+    assert all(t.label in found[900 + i][0] for i, t in enumerate(licences.TEMPLATES))
+
+
+def test_licence_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "x Licensed under the Apache License, Version 2.0."), (2, None), (3, ""), (4, "cc by cc by nc 4 0"), (4, "cc by cc by nc 4 0"), (5, "License version 2.0 " * 40)]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op10_licence_scan"]
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = base.execute(queries.ORACLES["op10_licence_scan"])
+    names = [c[0] for c in wanted.description]
+    expected = sorted(map(str, wanted.fetchall()))
+    mine = found(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in mine) == expected
+
+
 def test_native_plans_have_no_python(spark, corpus):
     bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     for frame in (winnow.find_items(documents(spark, corpus), bench), licences.scan(documents(spark, corpus), ["doc_id"])):

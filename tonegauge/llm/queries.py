@@ -116,7 +116,7 @@ def op9(spark, sf_dir):
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), winnow.contaminated().alias("contaminated"))
 
 
-@query("op10_licence_scan")
+@query("op10_licence_scan", licences.scan_sql(_WORDS.format("coalesce(text, '')")))
 def op10(spark, sf_dir):
     found = licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     every = F.array_sort(F.array_union("base_labels", "found_labels"))
