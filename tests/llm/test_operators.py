@@ -491,13 +491,37 @@ def test_top_k(spark, block):
     centers = draw.normal(size=(6, 8))
     rows = [(i, [float(x) for x in (centers[i % 6] + draw.normal(0, 0.1, 8)).astype(np.float32)]) for i in range(400)]
     rows += [(i, rows[0][1]) for i in range(400, 520)]  # one vector many times
-    rows += [(1000, None), (1050, [1.0] * 7 + [None]), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (None, [1.0] * 8), (1200, [2.0, 3.0]), (50, rows[50][1])]
+    rows += [(1000, None), (1050, [1.0] * 7 + [None]), (1100, [float("nan")] * 8), (1150, [float("inf")] * 8), (None, [1.0] * 8), (1200, [2.0, 3.0]), (50, rows[50][1]), (1250, []), (1251, [])]
     frame = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id bigint, embedding array<float>, score double").repartition(4)
     found = topk.top_k(frame, F.col("vec_id") % 50 == 0, 5, data_block=block, query_block=block)
     assert sorted(tuple(r) for r in found.collect()) == plain_top(rows)
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_sends_queries_to_groups_that_can_hold_a_result(spark):
+    """Many clusters, most of them outside the sample's first choice: few (query, group) pairs are left, none is lost."""
+    draw = np.random.default_rng(8)
+    centers = draw.normal(size=(30, 12)) * 4
+    rows = [(i, [float(v) for v in centers[i % 30] + draw.normal(0, 0.05, 12)]) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0, 5, data_block=40, query_block=4, groups=32, sample=400)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(rows)
+    whole = [[int(np.floor(256 * x)) for x in v] for _, v in rows]
+    tree = topk.upper_tree([(v, 1) for v in whole[:400]], 32)
+    count = len(tree.centers[12])
+    assert count > 20
+    placed = topk.place_points(spark.createDataFrame([(v, [i]) for i, v in enumerate(whole)], "v array<bigint>, ids array<bigint>"), lambda: tree)
+    radii = {(r.d, r.g): r.r for r in placed.groupBy("d", "g").agg(F.max("apart").alias("r")).collect()}
+    probes = spark.createDataFrame([(v, i) for i, v in enumerate(whole) if i % 50 == 0], "v array<bigint>, qkey bigint")
+    sent = topk.needed_groups(probes, lambda: tree, radii, 6).agg(F.sum(F.size("needs"))).first()[0]
+    assert 30 <= sent < 0.2 * 30 * count
+
+
+def test_top_k_refuses_products_beyond_64_bits():
+    with pytest.raises(OverflowError):
+        topk.DualSearch(np.array([[2**40]]), np.array([[2**30]]), [np.array([0])], 1)
+
+
 def test_top_k_prunes_and_covers():
     draw = np.random.default_rng(5)
     centers = draw.integers(-400, 400, (40, 6))
