@@ -178,6 +178,24 @@ def test_bpe_agrees_with_the_library(spark, corpus):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
+def test_bpe_parts_of_long_runs_in_several_tasks(spark):
+    """Runs beyond the part length, between other words, repeated and in other alphabets: as if encoded in one piece."""
+    draw = random.Random(21)
+    run = lambda n, letters: "".join(draw.choices(letters, k=n))
+    texts = [run(5000, "abcdefghijklmnop"), "some words " + run(700, "etaoinshrdlu") + ". Ünd " + run(333, "éüßñ") + "'s, end", run(900, "漢字かな"), run(260, "1234567890!?") * 2, "[CLS] " + run(1000, "ab")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, texts[0]), (20, None), (21, ""), (22, "short words only"), (23, "x " * 400), (24, run(199, "abc") + " " + run(201, "abc"))]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    by_part = lambda part: sorted(map(tuple, bpe.encode_texts(documents(spark, rows), F.col("text"), path, {"doc_id": "bigint"}, with_ids=True, part=part).collect()), key=str)
+    assert by_part(200) == by_part(1 << 20) and len(by_part(200)) == len(rows)
+    library = Tokenizer.from_file(path)
+    for found in by_part(200):
+        text = dict(rows)[found[0]] or ""
+        assert found[4] == library.encode(text, add_special_tokens=False).ids
+    model = bpe.BpeModel(bpe.load_spec(path))
+    cut = bpe.encode_parts(spark.createDataFrame([("s", texts[0])], "s string, t string"), lambda: model, 200)
+    assert cut.select(F.spark_partition_id()).distinct().count() > 1 and cut.where("seq = 1").count() == 25
+
+
 def test_bpe_tree_equals_one_merge():
     model = bpe.BpeModel(bpe.load_spec(public_tokenizers.path("word_bpe_49k.json")))
     draw = random.Random(2)

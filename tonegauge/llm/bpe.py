@@ -4,7 +4,9 @@ A long unsplit run of letters is cut into leaves that are encoded independently,
 joined by encoding a window of tokens around the seam again, and the window grows until its outermost tokens are the
 ones both sides already had there. A token sequence is the encoding of its text exactly if each adjacent pair of
 tokens is the encoding of its own text; agreement at both ends of the window therefore makes the joined sequence
-exact. Whole texts are encoded, with a per-task table of words already seen.
+exact. Whole texts are encoded, with a per-task table of words already seen. Texts with an unsplit run of ``PART`` letters
+or more are taken apart: the parts of a run are encoded in tasks of their own, and neighbours are joined in the same way,
+``FAN`` at a time; other texts are encoded where they lie.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from tonegauge.llm.common import map_columns, ship
 
 #: Letters in a leaf: short ones recur, so most are looked up, and so are most windows.
 LEAF = 6
+#: Letters of a part of a long run; parts joined at a time; levels, enough for the longest string Spark holds (2**31 bytes).
+PART, FAN, LEVELS = 1 << 15, 16, 4
 #: White space as the tokenizer files' patterns mean it (Unicode White_Space).
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -141,16 +145,40 @@ class BpeModel:
 
     def encode_piece(self, piece: str) -> tuple[str, ...]:
         """Tokens of one unsplit piece: leaves first, then their joins level by level."""
-        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return self.encode_letters(self.byte_form(piece), True)
+
+    def byte_form(self, piece: str) -> str:
+        return piece.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def encode_letters(self, letters: str, last: bool) -> tuple[str, ...]:
+        """Tokens of a piece, or of a part of one; ``last``: the word ends with it."""
         size = len(letters)
         if size <= LEAF:
-            return self.leaf(letters, True)
-        level = [self.leaf(letters[i : i + LEAF], i + LEAF >= size) for i in range(0, size, LEAF)]
+            return self.leaf(letters, last)
+        return self.join([self.leaf(letters[i : i + LEAF], last and i + LEAF >= size) for i in range(0, size, LEAF)])
+
+    def join(self, level: list[tuple[str, ...]]) -> tuple[str, ...]:
+        """The encoding of neighbours' joint text, two by two and level by level."""
         while len(level) > 1:
             pairs = [self.concatenate(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
             level = pairs + level[len(pairs) * 2 :]
         return level[0]
 
+    def segments(self, text: str, part: int) -> list[tuple[str | None, list[str]]]:
+        """A text in order: letters of a piece of ``part`` letters or more, not encoded yet, or the tokens between two such."""
+        result: list[tuple[str | None, list[str]]] = [(None, [])]
+        for chunk in self.chunks(text):
+            if chunk in self.added or len(chunk) * 4 < part:
+                result[-1][1].extend(self.chunk_tokens(chunk))
+                continue
+            for piece in [chunk] if chunk.isalpha() else self.pieces.findall(chunk):
+                letters = self.byte_form(piece)
+                if len(letters) < part:
+                    result[-1][1].extend(self.encode_letters(letters, True))
+                else:
+                    result += [(letters, []), (None, [])]
+        return result
+
     # texts
 
     def chunks(self, text: str) -> list[str]:
@@ -202,36 +230,106 @@ def load_spec(path: str) -> dict:
         return json.load(file)
 
 
-def encode_texts(df: DataFrame, text: Column, tokenizer: str, keys: dict[str, str], with_ids: bool = False) -> DataFrame:
+def has_long_run(text: Column, part: int) -> Column:
+    """Whether white space leaves a run of ``part`` or more; only texts of that length are split to see."""
+    runs = F.exists(F.split(text, r"\s+"), lambda run: F.octet_length(run) >= part)
+    return F.coalesce(F.when(F.octet_length(text) >= part, runs), F.lit(False))
+
+
+def encode_parts(texts: DataFrame, shipped, part: int) -> DataFrame:
+    """(s, seq, part, tokens) of texts (s, t): every part of a long run is a row, encoded in whatever task it is dealt to."""
+
+    def cut():
+        model = shipped()
+
+        def step(names, values):
+            rows = []
+            for name, value in zip(names, values):
+                for seq, (letters, tokens) in enumerate(model.segments(value or "", part)):
+                    if letters is None:
+                        rows.append((name, seq, 0, None, True, tokens))
+                    else:
+                        rows += [(name, seq, i // part, letters[i : i + part], i + part >= len(letters), None) for i in range(0, len(letters), part)]
+            return list(map(list, zip(*rows))) if rows else [[]] * 6
+
+        return step
+
+    def encode():
+        model = shipped()
+
+        def step(names, seqs, parts, letters, last, tokens):
+            return [names, seqs, parts, [t if l is None else list(model.encode_letters(l, e)) for l, e, t in zip(letters, last, tokens)]]
+
+        return step
+
+    kind = "s string, seq int, part int, "
+    rows = map_columns(texts, [F.col("s"), F.col("t")], kind + "letters string, last boolean, tokens array<string>", cut)
+    tasks = texts.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.repartition(tasks, "s", "seq", "part")  # a fixed number: the rows are few, but each takes time
+    return map_columns(dealt, [F.col(c) for c in dealt.columns], kind + "tokens array<string>", encode)
+
+
+def join_parts(parts: DataFrame, shipped) -> DataFrame:
+    """(s, tokens): neighbouring parts joined ``FAN`` at a time, then the text's segments in order."""
+
+    def make():
+        model = shipped()
+
+        def step(names, seqs, at, groups):
+            return [names, seqs, at, [list(model.join([tuple(tokens) for tokens in group])) if len(group) > 1 else group[0] for group in groups]]
+
+        return step
+
+    for _ in range(LEVELS):
+        near = parts.groupBy("s", "seq", F.floor(F.col("part") / FAN).cast("int").alias("up")).agg(F.array_sort(F.collect_list(F.struct("part", "tokens")))["tokens"].alias("group"))
+        parts = map_columns(near, [F.col(c) for c in ("s", "seq", "up", "group")], "s string, seq int, part int, tokens array<string>", make)
+    return parts.groupBy("s").agg(F.flatten(F.array_sort(F.collect_list(F.struct("seq", "tokens")))["tokens"]).alias("tokens"))
+
+
+def encode_texts(df: DataFrame, text: Column, tokenizer: str, keys: dict[str, str], with_ids: bool = False, part: int = PART) -> DataFrame:
     """Token count and digests of every whole text, beside the key columns (name to type).
 
     ``tokenizer`` is the path of the tokenizer file, read where the plan is made and sent to the tasks once. NULL and
     empty texts have no tokens: count 0 and the digests of the empty text. Repeated rows give a row each.
-    ``with_ids`` adds the ids and the decoded text.
+    ``with_ids`` adds the ids and the decoded text. Texts with an unsplit run of ``part`` bytes or more are encoded in
+    several tasks, equal ones once; no other text is shuffled.
     """
     # what a task has seen stays with the broadcast model in its worker, for the tasks that follow there
     shipped = ship(df.sparkSession, BpeModel(load_spec(tokenizer)))
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    if with_ids:
-        schema += ", ids array<int>, decoded string"
+    results = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
-    def make():
+    def digests(pairs: list[tuple[str, str]]) -> tuple:
+        """The result's values of one text, from (ids, names) of its pieces in order."""
+        ids, decoded = " ".join([a for a, _ in pairs]), " ".join([b for _, b in pairs])
+        row = ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+        return (*row, [int(i) for i in ids.split(" ")] if ids else [], decoded) if with_ids else row
+
+    def whole():
         model = shipped()
         table = model.words
 
         def step(*columns):
-            counts, ids_digest, text_digest, all_ids, all_texts = [], [], [], [], []
-            for value in columns[-1]:
-                found = list(map(table.__getitem__, model.chunks(value or "")))
-                ids, decoded = " ".join([a for a, _ in found]), " ".join([b for _, b in found])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                ids_digest.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_digest.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                if with_ids:
-                    all_ids.append([int(i) for i in ids.split(" ")] if ids else [])
-                    all_texts.append(decoded)
-            return [*columns[:-1], counts, ids_digest, text_digest, *([all_ids, all_texts] if with_ids else [])]
+            rows = [digests(list(map(table.__getitem__, model.chunks(value or "")))) for value in columns[-1]]
+            return [*columns[:-1], *map(list, zip(*rows))]
 
         return step
 
-    return map_columns(df, [*[F.col(f"`{name}`").cast(kind) for name, kind in keys.items()], text], schema, make)
+    def joined():
+        written = shipped().written
+
+        def step(names, tokens):
+            rows = [digests([(written[token], token) for token in own]) for own in tokens]
+            return [names, *map(list, zip(*rows))]
+
+        return step
+
+    named = [F.col(f"`{name}`").cast(kind).alias(f"k{i}") for i, (name, kind) in enumerate(keys.items())]
+    frame, value = df.select(*named, text.alias("t")), F.col("t")
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in keys.items()) + ", " + results
+    plain = map_columns(frame.where(~has_long_run(value, part)), [F.col(c) for c in frame.columns], schema, whole)
+
+    long = frame.where(has_long_run(value, part)).withColumn("s", F.sha2(value, 256))
+    parts = encode_parts(long.select("s", "t").dropDuplicates(["s"]), shipped, part)
+    found = map_columns(join_parts(parts, shipped), [F.col("s"), F.col("tokens")], "s string, " + results, joined)
+    own = long.drop("t").join(found, "s").drop("s")
+    return plain.unionByName(own.toDF(*plain.columns))
