@@ -19,7 +19,8 @@ COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "st
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go, and those whose nearest codewords tie."""
+    """Documents with a language: those without a letter go, and those whose nearest codewords tie. Where no document has a
+    language to learn from, none is recognised and all go."""
     found = langid.identify(docs, crc_bucket(F.col("doc_id"), 3) != 1, COLUMNS)
     return found.where((F.col("lang_pred") != "und") & ~F.col("tied")).select(*COLUMNS)
 
@@ -43,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token count, digests and ids of every document; a NULL or empty text has no ids."""
     return bpe.encode_texts(docs, F.col("text"), public_tokenizers.path("word_bpe_49k.json"), {"doc_id": "bigint"}, with_ids=True).drop("decoded")
 
 
