@@ -587,8 +587,8 @@ def plain_hits(docs, items, size=13):
     return result
 
 
-@pytest.mark.parametrize("rows", [0, 500_000])
-def test_winnowing(spark, corpus, words, rows):
+@pytest.mark.parametrize("rows, filter_words", [(0, winnow.FILTER_WORDS), (500_000, winnow.FILTER_WORDS), (500_000, 1)])
+def test_winnowing(spark, corpus, words, rows, filter_words):
     draw = random.Random(21)
     items = [(i, " ".join(draw.choices(words, k=draw.choice([3, 1, 12, 13, 14, 30])))) for i in range(25)]
     items += [(100, None), (101, ""), (102, items[0][1]), (0, items[0][1]), (103, "w " * 20)]
@@ -599,11 +599,21 @@ def test_winnowing(spark, corpus, words, rows):
         docs.append((3000 + i, " ".join(own[1:14]) + " " + " ".join(own[:12])))
     docs.append((4000, "w " * 50))
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id bigint, text string, n_hit int")
-    found = winnow.find_items(documents(spark, docs), bench, broadcast_rows=rows).collect()
+    found = winnow.find_items(documents(spark, docs), bench, broadcast_rows=rows, filter_words=filter_words).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted([(r.doc_id, r.n_words, r.n_hit, ",".join(r.item_ids)) for r in found], key=key) == sorted(plain_hits(docs, items), key=key)
 
 
+def test_filter_lets_every_hit_through(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("row"))
+    hit = rows.where("row % 40 = 0")
+    for filter_words, most in ((winnow.FILTER_WORDS, 5), (64, 4000)):
+        marked = winnow.with_mark(rows, hit, filter_words)
+        assert marked.count() == 20_000 and marked.where("row % 40 = 0 AND NOT _maybe").count() == 0
+        assert marked.where("row % 40 <> 0 AND _maybe").count() <= most
+    assert winnow.with_mark(rows, hit.limit(0)).where("_maybe").count() == 0
+
+
 def test_winnowing_without_items(spark, corpus):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     found = winnow.find_items(documents(spark, corpus), bench)

@@ -4,6 +4,9 @@ The hashes of all runs of ``run`` words are taken; of every ``window - run + 1``
 A span of ``window`` words that a document shares with a benchmark item has the same smallest hash on both sides, so no
 such span is missed. Kept hashes of both sides are joined, each hit is extended to all windows around it, and these are
 compared word by word. Items shorter than a window are one window each; for their lengths documents keep every hash.
+
+Texts without a kept hash of the benchmark are counted where they lie: a filter of bounded size, made from the keys of
+the documents with hits, lets those and a few others through to be joined with their hits.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.functions.once import with_columns_once
-from tonegauge.llm.common import row_key, words
+from tonegauge.llm.common import row_key, settle_lean, words
 
 WINDOW, RUN = 13, 5
 #: Kept hashes of the benchmark up to which they are broadcast (24 bytes each), and so many bytes of items with them;
 #: beyond, the joins are shuffled.
 BROADCAST_ROWS = 500_000
+#: Words of 64 bits in the filter of documents with hits, a power of two: it is broadcast, with at most so many rows of 16
+#: bytes however many documents there are. Where they are many, it lets more documents without hits pass; results are the same.
+FILTER_WORDS = 2**20
 
 
 def run_hashes(run: int, column: str = "w") -> str:
@@ -79,7 +85,19 @@ def extended(window: int = WINDOW, run: int = RUN) -> str:
         WHEN size(k) > 0 THEN flatten(transform({places}, i -> {around})) ELSE array() END)) END"""
 
 
-def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, run: int = RUN, broadcast_rows: int = BROADCAST_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+def with_mark(rows: DataFrame, hit: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """Adds ``_maybe``: true for every (doc_id, row) of ``hit``, and for few others."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        key = F.xxhash64("doc_id", "row")
+        return df.withColumns({"_slot": F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(filter_words - 1)), "_bit": key.bitwiseAND(F.lit(63)).cast("int")})
+
+    marks = placed(hit.select("doc_id", "row")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = placed(rows).join(F.broadcast(marks), "_slot", "left")
+    return marked.withColumn("_maybe", F.coalesce(F.expr("bit_get(_bits, _bit) = 1"), F.lit(False))).drop("_slot", "_bit", "_bits")
+
+
+def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, run: int = RUN, broadcast_rows: int = BROADCAST_ROWS, filter_words: int = FILTER_WORDS, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, row, n_words, n_hit, item_ids (sorted as text) of every document, and its columns ``keep``.
 
     n_hit counts the words inside any occurrence of an item's window. NULL texts have no words and no hits; items without
@@ -92,20 +110,27 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     size = prints.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.array_join("item", " ")) + 16 * F.size("ids") + 64), F.lit(0)).alias("bytes")).first()
     known = prints.select("len", "fp").distinct()
     found = document_prints(docs, doc_id, text, short, window, run).join(F.broadcast(known) if size["rows"] <= broadcast_rows else known, ["len", "fp"])
+    # a small table, read for the filter and for the hits
+    found = settle_lean(found.select("doc_id", "row", "len", "fp"), "hits")
     # only what hit is joined to the items' words
     hits = found.join(F.broadcast(prints) if size["bytes"] <= 24 * broadcast_rows else prints, ["len", "fp"])
     hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set(F.struct("len", "fp", "at", "item", "ids")).alias("hits"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), row_key(F.col(text)).alias("row"), *[F.col(f"`{name}`").alias(f"_keep_{name}") for name in keep])
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
-    rows = rows.select("doc_id", "row", "hits", words(F.col("_text")).alias("w"), *kept)
-    rows = rows.withColumn("k", F.when(F.col("hits").isNotNull(), F.expr(run_hashes(run))))
-    rows = rows.select("doc_id", "row", F.size("w").cast("bigint").alias("n_words"), F.expr(extended(window, run)).alias("windows"), *kept)
+    marked = with_mark(rows, found, filter_words)
+    clean = marked.where(~F.col("_maybe")).select("doc_id", "row", F.size(words(F.col("_text"))).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), *kept)
+    # left: the filter lets some documents without hits through
+    near = marked.where("_maybe").join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
+    near = near.select("doc_id", "row", "hits", words(F.col("_text")).alias("w"), *kept)
+    near = near.withColumn("k", F.when(F.col("hits").isNotNull(), F.expr(run_hashes(run))))
+    near = near.select("doc_id", "row", F.size("w").cast("bigint").alias("n_words"), F.expr(extended(window, run)).alias("windows"), *kept)
     # once: a filter on these would copy all of the above below itself
-    found = with_columns_once(rows, {
+    near = with_columns_once(near, {
         "n_hit": F.size(F.array_distinct(F.flatten(F.expr("transform(windows, x -> sequence(x.start, x.start + x.len - 1))")))).cast("bigint"),
         "item_ids": F.array_sort(F.array_distinct(F.flatten("windows.ids"))),
     })
-    return found.select("doc_id", "row", "n_words", "n_hit", "item_ids", *[F.col(f"_keep_{name}").alias(name) for name in keep])
+    columns = ["doc_id", "row", "n_words", "n_hit", "item_ids", *kept]
+    result = clean.select(columns).unionByName(near.select(columns))
+    return result.select(*columns[:5], *[F.col(f"_keep_{name}").alias(name) for name in keep])
 
 
 def contaminated() -> Column:
