@@ -271,6 +271,18 @@ def test_simhash_keeps_one_of_each(spark, corpus):
     assert simhash.near_duplicates(documents(spark, [], 1)).count() == 0
 
 
+def test_simhash_keeps_one_without_ids(spark, words):
+    """Near copies without ids: one of them stays, or none where the group has a document with an id."""
+    draw = random.Random(12)
+    texts = [" ".join(draw.choices(words, k=60)) for _ in range(3)]
+    near = lambda text: next(t for k in range(2000) if (t := f"{text} {k}") and 0 < (plain_fingerprint(t) ^ plain_fingerprint(text)).bit_count() <= 2)
+    rows = [(None, texts[0]), (None, near(texts[0])), (None, texts[0]), (7, texts[1]), (None, near(texts[1])), (8, texts[1]), (9, texts[2]), (9, texts[2])]
+    frame = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id bigint, text string, _hash int, __row int, _DOC int")
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 7, 9]
+
+
 # 5 toxicity
 
 

@@ -49,6 +49,54 @@ def test_stages(spark, tmp_path):
     assert set(kept["bpe"]) == set(kept["decontamination"]) and all(r.n_tokens == len(r.ids) for r in kept["bpe"].values())
 
 
+EXTRA = ["_hash", "_doc", "_row", "row", "hits", "w", "k", "ord", "told", "kept", "kept_text", "spans", "tied", "lang_pred", "ids", "n_tokens", "fp"]
+
+
+def awkward(spark, tmp_path):
+    """NULLs in every column, an empty and a very long text, repeated rows, and columns named like the operators' own."""
+    rows, _ = table(spark, tmp_path / "plain")
+    draw = random.Random(3)
+    long = " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 6))) for _ in range(60_000))
+    unnamed = " ".join("".join(draw.choices("abcdefgh", k=draw.randint(2, 6))) for _ in range(70))
+    rows = [*rows[:82], (200, long, "en"), (201, "", "fr"), (None, unnamed, None), (None, None, None), rows[5], rows[5]]
+    frame = spark.createDataFrame([(i, t, n, None if i is None else "s", None if i is None else len(t or ""), *["x"] * len(EXTRA)) for i, t, n in rows], SCHEMA + "".join(f", {name} string" for name in EXTRA))
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, rows[7][1]), (None, None), (2, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return rows
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    rows = awkward(spark, tmp_path)
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # gone: copies (100, 101), texts without a letter (201 and the NULL one), the benchmark's passage (7)
+    wanted = {i for i, _, _ in rows[:80]} - {7} | {200, None}
+    assert len(found) == len(wanted) and {r.doc_id for r in found} == wanted
+    assert all(r.n_tokens == len(r.ids) > 0 for r in found) and max(found, key=lambda r: r.n_tokens).doc_id == 200
+
+
+def test_each_stage_on_awkward_rows(spark, tmp_path):
+    """Every stage by itself: its own rows in, with the extra columns; only the columns of documents out."""
+    rows = awkward(spark, tmp_path)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    # 80 texts, 200, the one without an id, and 201 for both empty ones
+    want = {"simhash_near_dedup": 80 + 3, "suffix_dedup": len(rows), "decontamination": len(rows) - 1, "bpe": len(rows)}
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        result = stage(spark, docs, str(tmp_path))
+        assert result.count() == want[name], name
+        if name != "bpe":
+            assert result.columns == list(corpus_pipeline.COLUMNS)
+
+
+@pytest.mark.parametrize("text", ["nothing", None, "12 !"])
+def test_run_without_languages(spark, tmp_path, text):
+    """An empty table, one of NULL texts, and one in which nothing can be learned: no rows, the same columns."""
+    rows = [] if text == "nothing" else [(1, text, None, None, None), (1, text, "en", "s", 4)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.count() == 0 and {"doc_id", "n_tokens", "ids"} <= set(found.columns)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name.split("_")[0][2:]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)

@@ -85,6 +85,14 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many more underscores before it as no column of ``df`` has it."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, label: str, rows: int, sample: int, most_chars: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[tuple[str, int, int]]]:
     """A bounded number of labelled texts: all of them as a table (``_t``, ``_y``, ``_h``), and a list for the driver.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import map_columns, row_key
+from tonegauge.llm.common import free_name, map_columns, row_key
 from tonegauge.session import cut_lineage, settle
 
 BITS, DISTANCE = 64, 2
@@ -252,23 +252,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     id). NULL and empty texts have fingerprint zero and are linked like any other. Repeated rows give a row each; an
     empty table gives none.
     """
+    return _grouped(docs, doc_id, text, size, bound).drop("root")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, size: int, bound: int) -> DataFrame:
+    """``near_duplicates`` with ``root``, a fingerprint that names the component also where none of its documents has an id."""
     prints = settle(fingerprints(docs, doc_id, text, size), "fingerprints")
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(values.select("fp"), bound))
     rooted = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, bound: int = 512) -> DataFrame:
     """The documents, all columns, less those whose group of near-duplicates has a document of smaller id.
 
-    Rows that share a smallest id: the one with the smallest text hash stays. Documents without an id form no group
-    with others that have one left to stay for it; of a group without any id one row stays.
+    Rows that share a smallest id: the one with the smallest text hash stays. A document without an id goes where its
+    group has one with an id; of a group in which none has an id, the row with the smallest text hash stays. Repeated rows
+    count once. Columns may have any names.
     """
-    found = near_duplicates(docs, doc_id, text)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("group", F.coalesce("component_id", F.conv("fingerprint", 16, -10).cast("bigint")))
-    stay = stay.groupBy("group", "doc_id").agg(F.min("row").alias("_row")).select(F.col("doc_id").alias("_doc"), "_row")
-    kept = docs.withColumn("_hash", row_key(F.col(text))).join(stay, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_hash"]).drop("_hash")
-
+    found = _grouped(docs, doc_id, text, size, bound)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("group", F.coalesce("component_id", "root"))
+    hashed, id_kept, hash_kept = (free_name(docs, name) for name in ("_hash", "_doc", "_row"))
+    stay = stay.groupBy("group", "doc_id").agg(F.min("row").alias(hash_kept)).select(F.col("doc_id").alias(id_kept), hash_kept)
+    kept = docs.withColumn(hashed, row_key(F.col(text))).join(stay, F.col(doc_id).eqNullSafe(F.col(id_kept)) & (F.col(hashed) == F.col(hash_kept)), "left_semi")
+    return kept.dropDuplicates([doc_id, hashed]).drop(hashed)
