@@ -45,7 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token count, digests and ids of every document; a NULL or empty text has no ids."""
-    return bpe.encode_texts(docs, F.col("text"), public_tokenizers.path("word_bpe_49k.json"), {"doc_id": "bigint"}, with_ids=True).drop("decoded")
+    return bpe.encode_texts(docs, F.col("text"), public_tokenizers.path("word_bpe_49k.json"), {"doc_id": "bigint"}, with_ids=True, with_decoded=False)
 
 
 STAGES = [

@@ -196,6 +196,25 @@ def test_bpe_parts_of_long_runs_in_several_tasks(spark):
     assert cut.select(F.spark_partition_id()).distinct().count() > 1 and cut.where("seq = 1").count() == 25
 
 
+def test_bpe_tables_are_small(spark, corpus):
+    """Tables have a bound, hold the vocabulary's strings and no copies, and forgetting changes no result."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [t for _, t in corpus if t] + ["unbelievable hyperparameterisations " + "".join(random.Random(4).choices("etaoin", k=900))]
+    model, small = (bpe.BpeModel(bpe.load_spec(path)) for _ in range(2))
+    tables = [small.words, small.windows, *small.leaves]
+    for table in tables:
+        table.most = 7
+    assert [small.encode(t) for t in texts] == [model.encode(t) for t in texts]
+    assert [small.words[c] for t in texts for c in small.chunks(t)] == [model.words[c] for t in texts for c in model.chunks(t)]
+    assert max(map(len, tables)) <= 7
+    held = [token for table in (model.windows, *model.leaves) for tokens in table.values() for token in tokens if token in model.numbers]
+    assert len(held) > 100 and all(token is model.names[model.numbers[token]] for token in held)
+    found = bpe.encode_texts(documents(spark, corpus), F.col("text"), path, {"doc_id": "bigint"}, with_ids=True)
+    lean = bpe.encode_texts(documents(spark, corpus), F.col("text"), path, {"doc_id": "bigint"}, with_ids=True, with_decoded=False)
+    assert lean.columns == found.drop("decoded").columns
+    assert sorted(lean.collect(), key=str) == sorted(found.drop("decoded").collect(), key=str)
+
+
 def test_bpe_tree_equals_one_merge():
     model = bpe.BpeModel(bpe.load_spec(public_tokenizers.path("word_bpe_49k.json")))
     draw = random.Random(2)

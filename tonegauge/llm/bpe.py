@@ -17,6 +17,7 @@ import json
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ PART, FAN, LEVELS = 1 << 15, 16, 4
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 NEVER = 1 << 30
-WORD_TABLE = 250_000
+#: Entries of the tables of words, and of leaves and of windows: a worker holds them beside its rows.
+WORD_TABLE, PART_TABLE = 200_000, 150_000
 
 
 def byte_letters() -> list[str]:
@@ -42,6 +44,18 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Recent(dict):
+    """What was seen of late: emptied when ``size`` entries are full, so its size is bounded."""
+
+    def __init__(self, size: int):
+        self.most = size
+
+    def note(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+
+
 class BpeModel:
     """Merges and vocabulary of a tokenizer file with word ends; encodes and decodes."""
 
@@ -55,9 +69,8 @@ class BpeModel:
         self.end: str = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
         self.letters = dict(enumerate(byte_letters()))
-        self.leaves: tuple[dict, dict] = ({}, {})
-        self.windows: dict = {}
-        self.table = 200_000
+        self.leaves = Recent(PART_TABLE), Recent(PART_TABLE)
+        self.windows = Recent(PART_TABLE)
         self.spaces = regex.compile(f"[{SPACE}]+")
         self.pieces = regex.compile(splitter["pattern"]["Regex"].replace(r"\s", SPACE))
         self.added = {token["content"]: token["id"] for token in spec["added_tokens"]}
@@ -65,7 +78,7 @@ class BpeModel:
         self.numbers = {**self.vocab, **self.added}
         self.names = {number: name for name, number in self.numbers.items()}
         self.written = {name: str(number) for name, number in self.numbers.items()}
-        self.words = _Table()
+        self.words = Words(WORD_TABLE)
         self.words.model = self
 
     # merging
@@ -127,20 +140,20 @@ class BpeModel:
         """The encoding of a few tokens' text; what was seen before is looked up."""
         known = self.windows.get((inner, outer))
         if known is None:
-            known = tuple(self.merge([s for token in (*inner, *outer) for s in self.symbols(token)]))
+            known = self.named(self.merge([s for token in (*inner, *outer) for s in self.symbols(token)]))
             if len(inner) + len(outer) <= 8:
-                if len(self.windows) >= self.table:
-                    self.windows.clear()
-                self.windows[inner, outer] = known
+                self.windows.note((inner, outer), known)
         return known
 
+    def named(self, tokens: list[str]) -> tuple[str, ...]:
+        """The tokens as the vocabulary's own strings, so that tables hold no copies of them."""
+        return tuple([self.names[self.numbers[token]] if token in self.numbers else token for token in tokens])
+
     def leaf(self, letters: str, last: bool) -> tuple[str, ...]:
-        seen = self.leaves[last]
-        known = seen.get(letters)
+        known = self.leaves[last].get(letters)
         if known is None:
-            if len(seen) >= self.table:
-                seen.clear()
-            known = seen[letters] = tuple(self.merge([*letters[:-1], letters[-1] + self.end] if last else list(letters)))
+            known = self.named(self.merge([*letters[:-1], letters[-1] + self.end] if last else list(letters)))
+            self.leaves[last].note(letters, known)
         return known
 
     def encode_piece(self, piece: str) -> tuple[str, ...]:
@@ -210,18 +223,16 @@ class BpeModel:
         return " ".join(self.names[number] for number in ids)
 
 
-class _Table(dict):
-    """Ids and names by chunk, made when first asked for; emptied when full, so its size is bounded."""
+class Words(Recent):
+    """Ids and names by chunk, made when first asked for."""
 
     model: BpeModel
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
-        if len(self) >= WORD_TABLE:
-            self.clear()
         tokens = self.model.chunk_tokens(chunk)
         value = " ".join(map(self.model.written.__getitem__, tokens)), " ".join(tokens)
         if len(chunk) <= 64:
-            self[chunk] = value
+            self.note(chunk, value)
         return value
 
 
@@ -286,23 +297,28 @@ def join_parts(parts: DataFrame, shipped) -> DataFrame:
     return parts.groupBy("s").agg(F.flatten(F.array_sort(F.collect_list(F.struct("seq", "tokens")))["tokens"]).alias("tokens"))
 
 
-def encode_texts(df: DataFrame, text: Column, tokenizer: str, keys: dict[str, str], with_ids: bool = False, part: int = PART) -> DataFrame:
+def encode_texts(df: DataFrame, text: Column, tokenizer: str, keys: dict[str, str], with_ids: bool = False, part: int = PART, with_decoded: bool = True) -> DataFrame:
     """Token count and digests of every whole text, beside the key columns (name to type).
 
     ``tokenizer`` is the path of the tokenizer file, read where the plan is made and sent to the tasks once. NULL and
     empty texts have no tokens: count 0 and the digests of the empty text. Repeated rows give a row each.
-    ``with_ids`` adds the ids and the decoded text. Texts with an unsplit run of ``part`` bytes or more are encoded in
+    ``with_ids`` adds the ids and, unless ``with_decoded`` is false, the decoded text. Texts with an unsplit run of ``part`` bytes or more are encoded in
     several tasks, equal ones once; no other text is shuffled.
     """
     # what a task has seen stays with the broadcast model in its worker, for the tasks that follow there
     shipped = ship(df.sparkSession, BpeModel(load_spec(tokenizer)))
-    results = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    results = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        results += ", ids array<int>" + (", decoded string" if with_decoded else "")
 
     def digests(pairs: list[tuple[str, str]]) -> tuple:
         """The result's values of one text, from (ids, names) of its pieces in order."""
         ids, decoded = " ".join([a for a, _ in pairs]), " ".join([b for _, b in pairs])
         row = ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
-        return (*row, [int(i) for i in ids.split(" ")] if ids else [], decoded) if with_ids else row
+        if not with_ids:
+            return row
+        numbers = np.fromstring(ids, np.int32, sep=" ") if ids else np.empty(0, np.int32)  # no object for each id
+        return (*row, numbers, decoded) if with_decoded else (*row, numbers)
 
     def whole():
         model = shipped()
