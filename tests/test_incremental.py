@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tonegauge.operators.aggregates import aggregate_by
 from tonegauge.operators.incremental import update_index
@@ -100,3 +101,31 @@ def test_user_aggregate_shuffles_states(spark):
     plan = aggregate_by(frame, ["k"], ["v"], Span(), "struct<span: double, rows: bigint>")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange hashpartitioning(k"):]
     assert below.index("MapInArrow") > 0 and "_state" in below.split("\n")[0] + below.split("\n")[1]
+
+
+class Updates:
+    """Times a state took in rows, and the rows."""
+
+    def start(self):
+        return [0, 0]
+
+    def update(self, state, columns):
+        return [state[0] + 1, state[1] + len(columns["v"])]
+
+    def merge(self, one, other):
+        return [one[0] + other[0], one[1] + other[1]]
+
+    def finish(self, state):
+        return {"updates": state[0], "rows": state[1]}
+
+
+def test_user_aggregate_takes_many_rows_at_a_time(spark):
+    """Groups that are spread over all batches are updated once in a task, not once in a batch."""
+    frame = spark.range(0, 6000, 1, 3).select((F.col("id") % 50).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") * 1.0).alias("v"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "100")
+    try:
+        found = aggregate_by(frame, ["k"], ["v"], Updates(), "struct<updates: bigint, rows: bigint>").collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted((r.k, *r.value) for r in found) == [(k, 3, 120) for k in range(50)]

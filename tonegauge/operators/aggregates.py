@@ -7,6 +7,7 @@ import sys
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,6 +20,8 @@ from pyspark.sql.types import _parse_datatype_string
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE = "_state"
+#: Rows, and bytes, that a task gathers before it sorts them by group: a state takes in many rows at a time.
+GATHER_ROWS, GATHER_BYTES = 1 << 19, 1 << 26
 
 
 class Aggregate(Protocol):
@@ -47,11 +50,21 @@ def _by_value(aggregate: Aggregate) -> bytes:
         cloudpickle.cloudpickle.unregister_pickle_by_value(module)
 
 
+def _places(table: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their groups, as they came inside a group, and where each group begins."""
+    code = np.zeros(table.num_rows, np.int64)
+    for i in range(keys):
+        column = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(column.dictionary) + column.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    return order, np.flatnonzero(np.diff(code[order], prepend=-1))
+
+
 def aggregate_by(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], aggregate: Aggregate, result: str, name: str = "value", groups: int = 50_000) -> DataFrame:
     """One row per group: the keys and ``name``, of the DDL type ``result``.
 
-    Rows are updated into states batch by batch inside the tasks that read them; a task holds at most ``groups`` states
-    and lets them go when there are more. Only states cross the network, and a group of any size reaches its merging
+    Rows are updated into states inside the tasks that read them, ``GATHER_ROWS`` of them at a time; a task holds at most
+    ``groups`` states and lets them go when there are more. Only states cross the network, and a group of any size reaches its merging
     task as a few states from each task. Keys may be NULL. No row: no group.
     """
     keys, inputs = list(keys), list(inputs)
@@ -71,17 +84,31 @@ def aggregate_by(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], aggr
             held.clear()
             return made
 
+        def take(gathered: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(gathered)
+            gathered.clear()
+            order, begins = _places(table, len(keys))
+            table = table.take(pa.array(order))
+            values = table.select([len(keys) + i for i in range(len(inputs))]).rename_columns(inputs).to_pandas()
+            columns = {c: values[c] for c in inputs}
+            heads = table.take(pa.array(begins))
+            names = list(zip(*[heads.column(i).to_pylist() for i in range(len(keys))])) if keys else [()]
+            for group, first, end in zip(names, begins.tolist(), [*begins[1:].tolist(), len(order)]):
+                held[group] = aggregate.update(held[group] if group in held else aggregate.start(), {c: v.iloc[first:end] for c, v in columns.items()})
+                if len(held) >= groups:
+                    yield let_go()
+
+        gathered, rows, size = [], 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.select([len(keys) + i for i in range(len(inputs))]).rename_columns(inputs).to_pandas()
-            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))])) if keys else [()] * batch.num_rows
-            for key, places in pd.Series(range(len(names))).groupby(pd.Series(pd.factorize(pd.Series(names, dtype=object))[0]), sort=False):
-                rows = values.iloc[places.to_numpy()]
-                group = names[places.iloc[0]]
-                held[group] = aggregate.update(held[group] if group in held else aggregate.start(), {c: rows[c] for c in inputs})
-            if len(held) > groups:
-                yield let_go()
+            gathered.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= GATHER_ROWS or size >= GATHER_BYTES:
+                yield from take(gathered)
+                rows = size = 0
+        if gathered:
+            yield from take(gathered)
         if held:
             yield let_go()
 
