@@ -4,6 +4,7 @@ import importlib.util
 import json
 import subprocess
 import sys
+import weakref
 from pathlib import Path
 
 import pytest
@@ -147,6 +148,41 @@ def test_scorer_sees_prompts_and_keeps_ids(spark, speeches):
     assert {r["custom_id"]: json.loads(r["response"]["body"]["choices"][0]["message"]["content"])["n"] for r in rows} == lengths
 
 
+def test_scorer_sees_few_bytes_at_a_time(spark):
+    """Prompts of one batch reach the function in slices of bounded bytes; NULLs and their ids stay."""
+
+    def scorer(prompts):
+        seen = int(prompts.str.len().sum())
+        return prompts.map(lambda p: None if p is None else f"{len(p)} of {seen}")
+
+    size = F.when(F.col("id") == 17, 9_000_000).when(F.col("id") % 10 == 0, 0).otherwise(1_000_000).cast("int")
+    built = spark.range(0, 30, 1, 1).select(F.when(F.col("id") != 5, F.col("id").cast("string")).alias("custom_id"), F.when(F.col("id") != 3, F.repeat(F.lit("x"), size)).alias("prompt"))
+    rows = {r["custom_id"]: r["response"]["body"]["choices"][0]["message"]["content"] for r in score_with_function(built, scorer).collect()}
+    assert set(rows) == {None, *map(str, range(30))} - {"5"} and rows["3"] is None
+    seen = {name: tuple(map(int, answer.split(" of "))) for name, answer in rows.items() if answer}
+    assert all(own == (9_000_000 if name == "17" else 0 if name in ("0", "10", "20") else 1_000_000) for name, (own, _) in seen.items())
+    assert max(total for name, (_, total) in seen.items() if total < 9_000_000) <= 5_000_000 and seen["17"][1] <= 13_000_000
+
+
+def test_scored_prompts_are_let_go(spark):
+    """Batches whose Series pandas keeps in a cycle are gone when the next ones come."""
+    seen = []
+
+    def scorer(prompts):
+        alive = sum(ref() is not None for ref in seen)
+        seen.append(weakref.ref(prompts))
+        return prompts.str.len().map(lambda n: str(alive))
+
+    built = spark.range(0, 12, 1, 1).select(F.col("id").cast("string").alias("custom_id"), F.lit("prompt").alias("prompt"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "1")
+    try:
+        rows = score_with_function(built, scorer).collect()
+    finally:
+        spark.conf.unset(name)
+    assert [r["response"]["body"]["choices"][0]["message"]["content"] for r in rows] == ["0"] * 12
+
+
 def test_stream_takes_each_file_once(spark, tmp_path):
     inbox, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     inbox.mkdir()

@@ -1,15 +1,19 @@
 """The scoring stage as a plug-in: requests in, response envelopes out.
 
 A scorer is a function from the prompt column to a column of JSON answers; it stays in the JVM. A user's function
-over pandas Series of prompts is taken by ``score_with_function`` and sees Arrow batches inside the tasks.
+over pandas Series of prompts is taken by ``score_with_function`` and sees slices of Arrow batches inside the tasks.
 """
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Scorer = Callable[[Column], Column]
 BatchScorer = Callable[[pd.Series], pd.Series]
+#: Bytes of the prompts that are Python objects at a time; a longer prompt goes alone.
+SLICE_BYTES = 1 << 22
 
 
 def _envelopes(answered: DataFrame) -> DataFrame:
@@ -36,13 +42,27 @@ def score_requests(requests: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def score_with_function(requests: DataFrame, scorer: BatchScorer) -> DataFrame:
-    """Like ``score_requests``, with a Python function over batches of prompts."""
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"custom_id": pdf["custom_id"], "answer": scorer(pdf["prompt"])})
-
-    answered = requests.select("custom_id", "prompt").mapInPandas(answer, "custom_id string, answer string")
+    """Like ``score_requests``, with a Python function over slices of Arrow batches: prompts of ``SLICE_BYTES`` at a time.
+
+    What pandas keeps in cycles (a Series whose ``.str`` was used refers to itself) is collected after every slice; the
+    prompts would else pile up until the collector happens to count enough objects.
+    """
+
+    def scored(part: pa.RecordBatch) -> pa.RecordBatch:
+        names, prompts = (column.to_pandas() for column in part.columns)
+        pdf = pd.DataFrame({"custom_id": names, "answer": scorer(prompts)})
+        return pa.RecordBatch.from_arrays([pa.Array.from_pandas(pdf[c], type=pa.string()) for c in pdf], names=list(pdf))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(cuts, cuts[1:]):
+                yield scored(batch.slice(first, end - first))
+                gc.collect(1)  # the young objects, which are few
+            gc.collect()
+
+    answered = requests.select("custom_id", "prompt").mapInArrow(answer, "custom_id string, answer string")
     return _envelopes(answered)
 
 
