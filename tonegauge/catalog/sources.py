@@ -45,7 +45,7 @@ def a2_split(spark, sf):
     """Files with line breaks and quotes inside their fields, each read by several tasks."""
     path = scratch_path(spark, "split_csv")
     writers.write_table(B.speeches(spark, sf), path, "csv")
-    return _sample_view(splits.read_split_csv(spark, path, _SAMPLE_SCHEMA, size=1 << 17))
+    return _sample_view(splits.read_split_csv(spark, path, _SAMPLE_SCHEMA, size=splits.even_bytes(spark, path)))
 
 
 @query("a3_preferred_scan", _SAMPLE_SQL)
